@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.common import documents
+from ledgerloom.llm.language_id import identify
+from ledgerloom.llm.repetition import repetition_rules
 from ledgerloom.llm.substring_dedup import repeated_intervals
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_rules(documents(spark, sf_dir))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_intervals(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
 }
 
