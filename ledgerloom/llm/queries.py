@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.common import documents
 from ledgerloom.llm.language_id import identify
 from ledgerloom.llm.repetition import repetition_rules
+from ledgerloom.llm.simhash_graph import near_duplicates
 from ledgerloom.llm.substring_dedup import repeated_intervals
 
 
@@ -22,10 +23,15 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_intervals(documents(spark, sf_dir))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
 _TOKENS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r\f\v]+'), lambda x: x <> '')"
