@@ -6,15 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.common import documents
 from ledgerloom.llm.language_id import identify
+from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.repetition import repetition_rules
 from ledgerloom.llm.simhash_graph import near_duplicates
 from ledgerloom.llm.substring_dedup import repeated_intervals
 
+from ledgerloom.llm.suffix_merge import merged_intervals
+
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(documents(spark, sf_dir))
 
@@ -27,24 +34,37 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merged_intervals(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _TOKENS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r\f\v]+'), lambda x: x <> '')"
 
-ORACLE_SQL = {
-    "op5_substring_dedup": f"""
+
+
+def _repeats(width: int) -> str:
+    return f"""
 WITH tok AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE doc_id IS NOT NULL),
-win AS (SELECT doc_id, CAST(i AS INTEGER) AS p, md5(array_to_string(w[i+1:i+40], ' ')) AS h
-        FROM tok, unnest(range(0, greatest(len(w)-39, 0))) AS u(i)),
+win AS (SELECT doc_id, CAST(i AS INTEGER) AS p, md5(array_to_string(w[i+1:i+{width}], ' ')) AS h
+        FROM tok, unnest(range(0, greatest(len(w)-{width - 1}, 0))) AS u(i)),
 m AS (SELECT doc_id, p, count(*) OVER (PARTITION BY h) AS c, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS r FROM win),
 k AS (SELECT doc_id, p, 'repeat' AS kind FROM m WHERE c > 1 UNION ALL SELECT doc_id, p, 'remove' FROM m WHERE r > 1),
-g AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id, kind ORDER BY p) + 40 THEN 0 ELSE 1 END AS f FROM k),
+g AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id, kind ORDER BY p) + {width} THEN 0 ELSE 1 END AS f FROM k),
 s AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, kind ORDER BY p) AS island FROM g)
-SELECT doc_id, kind, min(p) AS start_token, CAST(max(p) + 40 AS INTEGER) AS end_token FROM s GROUP BY doc_id, kind, island
-""",
+SELECT doc_id, kind, min(p) AS start_token, CAST(max(p) + {width} AS INTEGER) AS end_token FROM s GROUP BY doc_id, kind, island
+"""
+
+
+ORACLE_SQL = {
+    "op5_substring_dedup": _repeats(40),
+    "op10_suffix_dedup": _repeats(50),
 }

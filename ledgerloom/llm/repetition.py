@@ -37,8 +37,12 @@ def _heads(keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))
 
 
-def suffix_array(symbols: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Order of all suffixes, each cut at stops[i], and ranks by their first 1, 2, 4, ... symbols."""
+def suffix_array(symbols: np.ndarray, stops: np.ndarray, longest: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Order of all suffixes, each cut at stops[i], and ranks by their first 1, 2, 4, ... symbols.
+
+    Suffixes that are equal whole go by position, if longest, the most symbols that one has, is given; without it there
+    must be none.
+    """
     n = len(symbols)
     order = np.argsort(symbols, kind="stable")
     rank = np.empty(n, np.int64)
@@ -46,7 +50,7 @@ def suffix_array(symbols: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, li
     levels, step = [rank], 1
     tied = np.bincount(rank, minlength=n)[rank[order]] > 1
     members = order[tied]
-    while len(members):
+    while len(members) and (longest is None or step < longest):
         after = np.minimum(members + step, n - 1)
         second = np.where(members + step < stops[members], rank[after] + 1, 0)
         composite = rank[members] * (n + 1) + second
