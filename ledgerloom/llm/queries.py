@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm.bpe import encode
 from ledgerloom.llm.common import documents
 from ledgerloom.llm.language_id import identify
 from ledgerloom.llm.packing import pack_documents
@@ -14,6 +15,10 @@ from ledgerloom.llm.substring_dedup import repeated_intervals
 from ledgerloom.llm.suffix_merge import merged_intervals
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(documents(spark, sf_dir))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
@@ -39,6 +44,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
