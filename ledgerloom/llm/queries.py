@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.bpe import encode
 from ledgerloom.llm.common import documents
 from ledgerloom.llm.language_id import identify
+from ledgerloom.llm.lattice import score
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.repetition import repetition_rules
 from ledgerloom.llm.simhash_graph import near_duplicates
@@ -35,6 +36,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_intervals(documents(spark, sf_dir))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(documents(spark, sf_dir))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_lm_scoring": op7_lm_scoring,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
