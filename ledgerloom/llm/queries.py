@@ -10,10 +10,12 @@ from ledgerloom.llm.language_id import identify
 from ledgerloom.llm.lattice import score
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.repetition import repetition_rules
+from ledgerloom.llm.rule_ensemble import classify
 from ledgerloom.llm.simhash_graph import near_duplicates
 from ledgerloom.llm.substring_dedup import repeated_intervals
 
 from ledgerloom.llm.suffix_merge import merged_intervals
+from ledgerloom.llm.transport import text_transport_index
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +38,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_intervals(documents(spark, sf_dir))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_transport_index(documents(spark, sf_dir))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -54,7 +64,9 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_media_columns": op8_media_columns,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
@@ -77,6 +89,13 @@ SELECT doc_id, kind, min(p) AS start_token, CAST(max(p) + {width} AS INTEGER) AS
 
 
 ORACLE_SQL = {
+    "op8_media_columns": """
+WITH t AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS n FROM documents WHERE doc_id IS NOT NULL AND text <> ''),
+u AS (SELECT doc_id, CAST(i AS INTEGER) AS unit, b[i*8192+1:i*8192+8192] AS payload FROM t, unnest(range(0, (n + 8191) // 8192)) AS x(i))
+SELECT doc_id, 1 AS program, 256 AS pid, 6 AS stream_type, unit, 189 AS stream_id, CAST((unit + 1) * 3600 AS BIGINT) AS pts,
+       CAST(unit * 3600 AS BIGINT) AS dts, unit % 4 = 0 AS random_access, CAST(octet_length(payload) AS INTEGER) AS size,
+       true AS complete, 0 AS breaks, md5(payload) AS digest FROM u
+""",
     "op5_substring_dedup": _repeats(40),
     "op10_suffix_dedup": _repeats(50),
 }
