@@ -32,7 +32,7 @@ from ledgerloom.llm import text as T
 from ledgerloom.llm.common import keyed, parts
 from ledgerloom.llm.repetition import suffix_array
 
-WIDTH, SEED, SHARDS = 50, 6, 4
+WIDTH, SEED, SHARDS, SLICE = 50, 6, 4, 500_000
 _SEGMENTS = "bucket int, seeds binary, sizes binary, symbols binary, docs binary, at binary"
 _MARKS = "doc_id long, at binary, size binary, later binary"
 
@@ -141,21 +141,27 @@ def interleave(symbols: np.ndarray, stops: np.ndarray, shard: np.ndarray, width:
     return merged, lcp
 
 
-def _solve(gram: np.ndarray, size: np.ndarray, symbols: np.ndarray, doc: np.ndarray, at: np.ndarray, width: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, first window, number of windows, later): runs of repeated windows; later: none is the first of its content."""
-    none = np.zeros(0, np.int64)
+def _solve(gram: np.ndarray, size: np.ndarray, symbols: np.ndarray, doc: np.ndarray, at: np.ndarray, width: int, shards: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc, first window, number of windows, later): runs of repeated windows; later: none is the first of its content.
+
+    Segments whose minimiser is alone are dropped; the others are taken by minimiser, about SLICE symbols at a time.
+    """
     order = np.argsort(gram, kind="stable")
     ranked = gram[order]
     same = ranked[1:] == ranked[:-1]
-    repeated = np.zeros(len(gram), bool)
-    repeated[order] = np.append(False, same) | np.append(same, False)
-    offset = np.cumsum(size) - size
-    at_ = np.flatnonzero(repeated)
-    if not len(at_):
-        return none, none, none, none.astype(bool)
-    gram, doc, at, offset, size = gram[at_], doc[at_], at[at_].astype(np.int64), offset[at_], size[at_]
+    order = order[np.append(False, same) | np.append(same, False)]
+    offset = (np.cumsum(size) - size)[order]
+    gram, doc, at, size = gram[order], doc[order], at[order].astype(np.int64), size[order]
+    fresh = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+    before = (np.cumsum(size) - size)[fresh]
+    cuts = fresh[np.append(True, before[1:] // SLICE != before[:-1] // SLICE)] if len(fresh) else fresh
+    for a, b in zip(cuts, np.append(cuts[1:], len(gram))):
+        yield _solve_slice(gram[a:b], size[a:b], symbols[_ranges(offset[a:b], size[a:b])], doc[a:b], at[a:b], width, shards)
+
+
+def _solve_slice(gram: np.ndarray, size: np.ndarray, words: np.ndarray, doc: np.ndarray, at: np.ndarray, width: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     # equal segments: by seed, size and two sums over symbols
-    words = symbols[_ranges(offset, size)].astype(np.uint64)
+    words = words.astype(np.uint64)
     inner = np.cumsum(size) - size
     place = np.arange(len(words), dtype=np.uint64) - np.repeat(inner, size).astype(np.uint64)
     whole = np.add.reduceat(T.mix(words + (place << np.uint64(32))), inner)
@@ -216,9 +222,10 @@ def _merge_bucket(width: int, shards: int):
             kinds = (np.uint64, np.uint8 if 2 * width < 256 else np.int32, np.uint32, np.int64, np.int32)
             gram, size, symbols, doc, at = (np.frombuffer(b"".join(x[i] for x in blobs), kind) for i, kind in enumerate(kinds))
             del blobs
-            d, p, n, later = _solve(gram, size.astype(np.int64), symbols, doc, at, width, shards)
-            if not len(d):
+            solved = list(_solve(gram, size.astype(np.int64), symbols, doc, at, width, shards))
+            if not solved:
                 continue
+            d, p, n, later = (np.concatenate([x[i] for x in solved]) for i in range(4))
             order = np.argsort(d, kind="stable")
             d, p, n, later = d[order], p[order].astype(np.int32), n[order].astype(np.int32), later[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1, [len(d)]])
