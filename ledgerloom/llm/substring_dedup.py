@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,32 +121,41 @@ def repeated_intervals(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return marks.mapInArrow(_merge(width), "doc_id long, kind string, start_token int, end_token int")
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in T.chunks(batches, "text"):
-        starts, ends, bounds = T.tokens(data, offsets)
-        keep = np.ones(len(data), bool)
-        at = rows.column("spans").to_pylist()
-        for i, spans in enumerate(at):
-            for s in spans:
-                a, b = bounds[i] + s["start_token"], min(bounds[i] + s["end_token"], bounds[i + 1])
-                if a < b:
-                    keep[starts[a] : starts[b] if b < bounds[i + 1] else ends[b - 1]] = False
-        sizes = np.concatenate([[0], np.cumsum(keep)])[offsets]
-        text = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(sizes.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[keep]))])
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), text.cast(pa.large_string()).cast(pa.string())], ["doc_id", "cleaned"])
+def _cut_out(text_col: str, count_col: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in T.chunks(batches, text_col):
+            starts, ends, bounds = T.tokens(data, offsets)
+            keep = np.ones(len(data), bool)
+            spans = rows.column("__spans").to_pylist()
+            for i, some in enumerate(spans):
+                for s in some or ():
+                    a, b = bounds[i] + s["start_token"], min(bounds[i] + s["end_token"], bounds[i + 1])
+                    if a < b:
+                        keep[starts[a] : starts[b] if b < bounds[i + 1] else ends[b - 1]] = False
+            sizes = np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int64)
+            old = rows.column(text_col)
+            text = pa.Array.from_buffers(pa.large_binary(), len(spans), [None, pa.py_buffer(sizes), pa.py_buffer(np.ascontiguousarray(data[keep]))])
+            text = pa.compute.if_else(old.is_null(), pa.scalar(None, pa.large_string()), text.cast(pa.large_string())).cast(old.type)
+            out = dict(zip(rows.schema.names, rows.columns))
+            out[text_col] = text
+            if count_col:
+                changed = pa.array([bool(s) for s in spans])
+                out[count_col] = pa.compute.if_else(changed, pa.compute.utf8_length(text).cast(out[count_col].type), out[count_col])
+            del out["__spans"]
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    return run
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """df with the 'remove' intervals taken out of the text column; n_chars, where there is one, is counted again.
 
-    Rows without such intervals, nulls among them, stay as they are. Where rows share an id, each loses its intervals
-    only if both have the same text; otherwise they stay unchanged. A text that is removed whole becomes ''.
+    Rows without such intervals, nulls among them, stay as they are, and so do all rows that share an id: their intervals
+    are those of the id, not of one of them. A text that is removed whole becomes ''. The text is shuffled once.
     """
-    spans = repeated_intervals(df, id_col, text_col, width).where("kind = 'remove'").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_token", "end_token"))).alias("spans"))
-    cleaned = keyed(df, id_col, text_col).join(spans, "doc_id").mapInArrow(_cut_out, "doc_id long, cleaned string")
-    one = cleaned.groupBy(F.col("doc_id").alias("__id")).agg(F.min("cleaned").alias("__text"), F.max("cleaned").alias("__other")).where("__text = __other").drop("__other")
-    out = df.join(one, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left")
-    out = out.withColumn(text_col, F.coalesce("__text", F.col(f"`{text_col}`")))
-    if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__id").isNull(), F.col("n_chars")).otherwise(F.length(f"`{text_col}`")).cast(df.schema["n_chars"].dataType))
-    return out.select(*(f"`{c}`" for c in df.columns))
+    key = F.col(f"`{id_col}`").cast("long")
+    several = df.groupBy(key.alias("doc_id")).count().where("count > 1").select("doc_id")
+    spans = repeated_intervals(df, id_col, text_col, width).where("kind = 'remove'").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_token", "end_token"))).alias("__spans"))
+    spans = spans.join(several, "doc_id", "left_anti").withColumnRenamed("doc_id", "__id")
+    joined = df.join(spans, key == F.col("__id"), "left").drop("__id")
+    return joined.mapInArrow(_cut_out(text_col, "n_chars" if "n_chars" in df.columns else None), df.schema)
