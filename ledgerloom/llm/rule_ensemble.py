@@ -3,8 +3,8 @@
 Statistics of a text are built-in column expressions. Boosted trees on a bounded labelled sample give paths, each a
 conjunction of comparisons of statistics; a lasso logistic regression keeps few of these rules; the model becomes one
 column expression, so scoring is a scan without Python. There are two heads: quality, and toxicity, which also has the
-count of words that begin like those of a lexicon, which the sample itself gives: beginnings of four characters that
-toxic rows have and clean rows hardly have.
+shares of words that begin like those of two lexicons, which the sample itself gives: beginnings of four characters
+that nearly only toxic rows have, and that toxic rows have three times as often as the whole sample.
 
 The sample has about `sample` rows of `labels`, drawn by a hash of the id: the bound is this parameter, and what
 reaches the driver are numbers for each sampled row and the lexicon, never texts. Scores and statistics cover all rows.
@@ -39,7 +39,7 @@ def words(text: Column) -> Column:
     return F.split(F.lower(text), r"[\s\p{Punct}]+")
 
 
-def statistics(text: Column, lexicon: list[str] | None = None) -> dict[str, Column]:
+def statistics(text: Column, lexicon: dict[str, list[str]] | None = None) -> dict[str, Column]:
     """Column expressions of a text without nulls; shares are of characters, stops and lines of words."""
     n, w = F.length(text), words(text)
     many = F.greatest(F.size(w), F.lit(1))
@@ -56,9 +56,10 @@ def statistics(text: Column, lexicon: list[str] | None = None) -> dict[str, Colu
         "stops": F.regexp_count(text, F.lit(r"[.?;:]")) / many,
         "lines": F.regexp_count(text, F.lit(r"\n")) / many,
     }
-    if lexicon is not None:
-        stems = "|".join(re.escape(x) for x in lexicon)
-        out["listed"] = F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{stems})")) if lexicon else F.lit(0)
+    for name, stems in (lexicon or {}).items():
+        begins = "|".join(re.escape(x) for x in stems)
+        hits = F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{begins})")) if stems else F.lit(0)
+        out[name] = hits / many
     return {k: c.cast("double") for k, c in out.items()}
 
 
@@ -169,7 +170,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], trees: int = TREES
 
 @dataclass(frozen=True)
 class Model:
-    lexicon: list[str]
+    lexicon: dict[str, list[str]]
     quality: Ensemble
     toxicity: Ensemble
 
@@ -203,9 +204,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not total["n"]:
         return None
     seen = rows.select("t", F.explode(F.array_distinct(F.transform(words(F.col("text")), lambda w: F.substring(w, 1, STEM)))).alias("w")).where(F.length("w") == STEM).groupBy("w").agg(F.sum("t").alias("t"), F.count("*").alias("n"))
-    listed = seen.where((F.col("t") >= max(3.0, 0.03 * (total["t"] or 0))) & (F.col("t") >= 0.9 * F.col("n"))).orderBy(F.desc("t"), "w").limit(LEXICON)
-    lexicon = sorted(r["w"] for r in listed.collect())
-    names = (*STATISTICS, "listed")
+    base = (total["t"] or 0) / total["n"]
+    lexicon = {}
+    for name, share in (("listed", max(0.9, base)), ("hinted", min(0.9, 3 * base))):
+        stems = seen.where((F.col("t") >= max(3.0, 0.01 * (total["t"] or 0))) & (F.col("t") >= share * F.col("n")))
+        lexicon[name] = sorted(r["w"] for r in stems.orderBy(F.desc("t"), "w").limit(LEXICON).collect())
+    names = (*STATISTICS, *lexicon)
     facts = rows.select("doc_id", "q", "t", *(c.alias(k) for k, c in statistics(F.col("text"), lexicon).items())).collect()
     facts.sort(key=tuple)
     x = np.array([[r[k] for k in names] for r in facts], float)
