@@ -33,7 +33,8 @@ from ledgerloom.llm.common import keyed, parts
 from ledgerloom.llm.repetition import suffix_array
 
 WIDTH, SEED, SHARDS, SLICE = 50, 6, 4, 500_000
-_SEGMENTS = "bucket int, seeds binary, sizes binary, symbols binary, docs binary, at binary"
+_SEGMENTS = "bucket int, seeds binary, wholes binary, sizes binary, copies binary, symbols binary, docs binary, at binary"
+_SEGMENT_BASE = np.uint64(0xA24BAED4963EE407)
 _MARKS = "doc_id long, at binary, size binary, later binary"
 
 
@@ -74,14 +75,23 @@ def _cut(width: int, seed: int, buckets: int):
             row = np.searchsorted(bounds, begin, "right") - 1
             doc, at = rows.column("doc_id").to_numpy()[row], (begin - bounds[row]).astype(np.int32)
             symbols = (hashes >> np.uint64(32)).astype(np.uint32)
-            bucket = ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
-            order = np.argsort(bucket, kind="stable")
-            begin, gram, size, doc, at, bucket = (x[order] for x in (begin, gram, size, doc, at, bucket))
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            whole = T._range_hashes(hashes, begin, begin + size, _SEGMENT_BASE)
+            bucket = ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((whole, bucket))
+            begin, gram, size, doc, at, bucket, whole = (x[order] for x in (begin, gram, size, doc, at, bucket, whole))
+            one = np.flatnonzero(np.append(True, (whole[1:] != whole[:-1]) | (bucket[1:] != bucket[:-1])))  # equal segments go once
+            copies = np.diff(np.append(one, len(whole))).astype(np.int32)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[one])) + 1, [len(one)]])
             pairs = list(zip(cuts[:-1], cuts[1:]))
             blob = lambda x: pa.array([x[a:b].tobytes() for a, b in pairs], pa.binary())
+            ends = np.append(one, len(whole))
+            every = lambda x: pa.array([x[ends[a] : ends[b]].tobytes() for a, b in pairs], pa.binary())
+            begin, size = begin[one], size[one]
             words = pa.array([symbols[_ranges(begin[a:b], size[a:b])].tobytes() for a, b in pairs], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), blob(gram), blob(size.astype(np.uint8 if 2 * width < 256 else np.int32)), words, blob(doc), blob(at)], ["bucket", "seeds", "sizes", "symbols", "docs", "at"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[one][cuts[:-1]].astype(np.int32)), blob(gram[one]), blob(whole[one]), blob(size.astype(np.uint8 if 2 * width < 256 else np.int32)), blob(copies), words, every(doc), every(at)],
+                ["bucket", "seeds", "wholes", "sizes", "copies", "symbols", "docs", "at"],
+            )
 
     return run
 
@@ -141,39 +151,42 @@ def interleave(symbols: np.ndarray, stops: np.ndarray, shard: np.ndarray, width:
     return merged, lcp
 
 
-def _solve(gram: np.ndarray, size: np.ndarray, symbols: np.ndarray, doc: np.ndarray, at: np.ndarray, width: int, shards: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _solve(gram: np.ndarray, whole: np.ndarray, size: np.ndarray, copies: np.ndarray, symbols: np.ndarray, doc: np.ndarray, at: np.ndarray, width: int, shards: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(doc, first window, number of windows, later): runs of repeated windows; later: none is the first of its content.
 
-    Segments whose minimiser is alone are dropped; the others are taken by minimiser, about SLICE symbols at a time.
+    Segments whose minimiser is alone are dropped; the others are taken by minimiser, about SLICE symbols at a time, one
+    of each content, with all its places.
     """
-    order = np.argsort(gram, kind="stable")
-    ranked = gram[order]
-    same = ranked[1:] == ranked[:-1]
-    order = order[np.append(False, same) | np.append(same, False)]
-    offset = (np.cumsum(size) - size)[order]
-    gram, doc, at, size = gram[order], doc[order], at[order].astype(np.int64), size[order]
-    fresh = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
-    before = (np.cumsum(size) - size)[fresh]
-    cuts = fresh[np.append(True, before[1:] // SLICE != before[:-1] // SLICE)] if len(fresh) else fresh
+    offset, place = np.cumsum(size) - size, np.cumsum(copies) - copies
+    order = np.lexsort((whole, gram))
+    fresh = np.append(True, gram[order][1:] != gram[order][:-1]) if len(gram) else np.zeros(0, bool)
+    seed = np.cumsum(fresh) - 1
+    order = order[(np.bincount(seed, copies[order])[seed] > 1)] if len(gram) else order
+    gram, whole, size, copies, offset, place = gram[order], whole[order], size[order], copies[order], offset[order], place[order]
+    if not len(gram):
+        return
+    content = np.append(True, (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1]))
+    before = np.cumsum(np.where(content, size, 0)) - np.where(content, size, 0)
+    fresh = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    cuts = fresh[np.append(True, before[fresh][1:] // SLICE != before[fresh][:-1] // SLICE)]
     for a, b in zip(cuts, np.append(cuts[1:], len(gram))):
-        yield _solve_slice(gram[a:b], size[a:b], symbols[_ranges(offset[a:b], size[a:b])], doc[a:b], at[a:b], width, shards)
-
-
-def _solve_slice(gram: np.ndarray, size: np.ndarray, words: np.ndarray, doc: np.ndarray, at: np.ndarray, width: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    # equal segments: by seed, size and two sums over symbols
-    words = words.astype(np.uint64)
-    inner = np.cumsum(size) - size
-    place = np.arange(len(words), dtype=np.uint64) - np.repeat(inner, size).astype(np.uint64)
-    whole = np.add.reduceat(T.mix(words + (place << np.uint64(32))), inner)
-    order = np.lexsort((at, doc, size, whole, gram))
-    gram, doc, at, size, whole, inner = (x[order] for x in (gram, doc, at, size, whole, inner))
-    fresh = np.append(True, (gram[1:] != gram[:-1]) | (size[1:] != size[:-1]) | (whole[1:] != whole[:-1]))
-    kind = np.cumsum(fresh) - 1  # of each segment, its distinct content
+        heads = np.flatnonzero(content[a:b])
+        kind = np.repeat(np.cumsum(content[a:b]) - 1, copies[a:b])
+        places = _ranges(place[a:b], copies[a:b])
+        words = symbols[_ranges(offset[a:b][heads], size[a:b][heads])]
+        yield _solve_slice(gram[a:b][heads], size[a:b][heads], words, kind, doc[places], at[places].astype(np.int64), width, shards)
+
+
+def _solve_slice(gram: np.ndarray, d_size: np.ndarray, words: np.ndarray, kind: np.ndarray, doc: np.ndarray, at: np.ndarray, width: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """gram, d_size and words: of each distinct content; kind, doc and at: of each of their places."""
+    order = np.lexsort((at, doc, kind))
+    kind, doc, at = kind[order], doc[order], at[order]
+    fresh = np.append(True, kind[1:] != kind[:-1])
     heads = np.flatnonzero(fresh)
     copies = np.diff(np.append(heads, len(kind)))
-    d_size, d_offset = size[heads], inner[heads]
+    d_offset = np.cumsum(d_size) - d_size
     # seeds that one content holds alone need no order: its copies repeat whole
-    _, g = np.unique(gram[heads], return_inverse=True)
+    _, g = np.unique(gram, return_inverse=True)
     alone = np.bincount(g)[g] == 1
     n_windows = d_size - width + 1
     hit = np.zeros(int(n_windows.sum()), bool)
@@ -219,10 +232,10 @@ def _merge_bucket(width: int, shards: int):
                 held.setdefault(bucket, []).append(tuple(blobs))
         for bucket in list(held):
             blobs = held.pop(bucket)
-            kinds = (np.uint64, np.uint8 if 2 * width < 256 else np.int32, np.uint32, np.int64, np.int32)
-            gram, size, symbols, doc, at = (np.frombuffer(b"".join(x[i] for x in blobs), kind) for i, kind in enumerate(kinds))
+            kinds = (np.uint64, np.uint64, np.uint8 if 2 * width < 256 else np.int32, np.int32, np.uint32, np.int64, np.int32)
+            gram, whole, size, copies, symbols, doc, at = (np.frombuffer(b"".join(x[i] for x in blobs), kind) for i, kind in enumerate(kinds))
             del blobs
-            solved = list(_solve(gram, size.astype(np.int64), symbols, doc, at, width, shards))
+            solved = list(_solve(gram, whole, size.astype(np.int64), copies.astype(np.int64), symbols, doc, at, width, shards))
             if not solved:
                 continue
             d, p, n, later = (np.concatenate([x[i] for x in solved]) for i in range(4))
