@@ -9,6 +9,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 GENESIS = "0" * 64
 _Z32 = "ybndrfg8ejkmcpqxot1uwisza345h769"
@@ -33,17 +34,17 @@ def z_base_32(data: bytes) -> str:
     return "".join(_Z32[int(bits[i : i + 5], 2)] for i in range(0, len(bits), 5))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def message_id(identity: pd.Series) -> pd.Series:
     """z-base-32 text of the SHA3-256 of a message's identity string."""
     return identity.map(lambda x: None if x is None else z_base_32(hashlib.sha3_256(x.encode()).digest()))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def gzipped(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else gzip.compress(bytes(x), 6, mtime=0))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def gunzipped(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else zlib.decompress(bytes(x), 31))
