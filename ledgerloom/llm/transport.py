@@ -124,37 +124,39 @@ def packets(stream: bytes) -> tuple[np.ndarray, int]:
         if (rows[:, 0] == 0x47).all():
             return rows, 0
     sync = np.flatnonzero(raw == 0x47)
-    best = None
+    best = 0, np.zeros((0, 188), np.uint8), int(len(raw) > 0)
     for stride, lead in ((188, 0), (192, 4), (204, 0)):
-        found, at, lost = [], 0, 0
-        while len(raw) - at >= 188:
-            k = np.searchsorted(sync, at)
-            if k == len(sync) or sync[k] + 188 > len(raw):
-                lost += 1
-                break
-            p = int(sync[k])
-            ahead = np.arange(p, min(len(raw), p + 5 * stride), stride)
-            if not (raw[ahead] == 0x47).all() or p < lead and stride == 192:
-                lost, at = lost + (not found or found[-1][1] + stride - 188 >= p), p + 1
-                while at <= p:
-                    at += 1
-                continue
-            line = raw[p::stride]
-            good = len(line) if (line == 0x47).all() else int(np.argmin(line == 0x47))
-            good = min(good, (len(raw) - p - 188) // stride + 1)
-            if p > at + (stride - 188):
-                lost += 1
-            found.append((p, p + (good - 1) * stride + 188, good))
-            at = p + (good - 1) * stride + 188
-        total = sum(g for *_, g in found)
-        if best is None or total > best[0]:
-            rows = [np.lib.stride_tricks.as_strided(raw[p:], (g, 188), (stride, 1)) for p, _, g in found]
-            best = total, np.concatenate(rows) if rows else np.zeros((0, 188), np.uint8), lost
-        if stride == 188 and total * 188 == len(raw):
+        runs = _runs(raw, sync[(sync >= lead) & (sync + 188 <= len(raw))], stride)
+        total = sum(n for _, n in runs)
+        if total > best[0]:
+            rows = [np.lib.stride_tricks.as_strided(raw[p:], (n, 188), (stride, 1)) for p, n in runs]
+            ends = [lead, *(p + n * stride for p, n in runs)]
+            lost = sum(p != e for (p, _), e in zip(runs, ends)) + (len(raw) - ends[-1] > stride - 188)
+            best = total, np.concatenate(rows), int(lost)
+        if total * 188 == len(raw):
             break
     return best[1], best[2]
 
 
+def _runs(raw: np.ndarray, sync: np.ndarray, stride: int) -> list[tuple[int, int]]:
+    """Places of first packets and numbers of packets in a row. A packet in which the next run begins isn't one."""
+    out, k = [], 0
+    while k < len(sync):
+        p = int(sync[k])
+        if not (raw[p : p + 5 * stride : stride] == 0x47).all():
+            k += 1
+            continue
+        line = raw[p::stride] == 0x47
+        n = min(len(line) if line.all() else int(np.argmin(line)), (len(raw) - p - 188) // stride + 1)
+        if out and p < out[-1][0] + (out[-1][1] - 1) * stride + 188:
+            out[-1] = out[-1][0], out[-1][1] - 1
+        out.append((p, n))
+        k = int(np.searchsorted(sync, p + (n - 1) * stride, "right"))
+        while k < len(sync) and p + n * stride > len(raw) - 188 and sync[k] < p + n * stride:
+            k += 1  # the run reaches the end: nothing begins inside its last packet
+    return [(p, n) for p, n in out if n > 0]
+
+
 def _sections(rows: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """Whole sections of one PID with a right CRC."""
     out, held = [], b""
