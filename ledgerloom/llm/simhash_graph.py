@@ -12,7 +12,7 @@ distances. A query keeps its nearest hit in each local component, and each pair
 number of edges stays near the number of points; no partner is lost, for members of a component are joined already.
 All these edges are verified by the exact Jaccard similarity of the feature sets, then united by alternating stars.
 
-The number of shards depends on the number of points only (500,000 each at most, and 8 at least): work grows with
+The number of shards depends on the number of points only (500,000 each at most, and 6 at least): work grows with
 points times shards times the width of a beam. Beyond a million queries, several tasks share the queries to a shard,
 each with its own copy of the graph.
 
@@ -36,8 +36,8 @@ from ledgerloom.llm.common import cut, keyed, parts
 
 BITS, SLOTS = 256, 2048
 RADIUS, JACCARD = 72, 0.55
-LINKS, BACK, SEEDS, BEAM, OPEN = 16, 32, 512, 24, 6
-SHARDS, SHARD_POINTS, SLICE_QUERIES, AUDIT, RECALL = 8, 500_000, 1_000_000, 768, 0.95
+LINKS, BACK, SEEDS, BEAM, OPEN = 16, 32, 512, 16, 4
+SHARDS, SHARD_POINTS, SLICE_QUERIES, AUDIT, RECALL = 6, 500_000, 1_000_000, 768, 0.95
 _FAR = np.int16(999)
 _BLOCKS = "shard int, kind int, ids binary, prints binary"
 _FOUND = "kind int, a long, b long, distance int"
