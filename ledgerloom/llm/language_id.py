@@ -29,7 +29,7 @@ from ledgerloom.llm import text as T
 from ledgerloom.llm.common import keyed
 
 DIMENSIONS, PER_LANGUAGE, MARGIN, LETTERS = 4096, 400, 0.02, 3
-_SCHEMA = "doc_id long, predicted string, runner_up string, margin double, ambiguous boolean"
+_SCHEMA = "doc_id long, predicted string, runner_up string, margin double, ambiguous boolean, keep boolean"
 
 #: Letters in lower case, bytes of non-ASCII characters as they are, anything else a space.
 _FOLD = np.full(256, 32, np.uint32)
@@ -131,22 +131,23 @@ def _predict(model: Model | None, margin: float, letters: int):
             n = len(offsets) - 1
             if model is None:
                 none = pa.nulls(n, pa.string())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), none, none, pa.nulls(n, pa.float64()), pa.array(np.ones(n, bool))], ["doc_id", "predicted", "runner_up", "margin", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), none, none, pa.nulls(n, pa.float64()), pa.array(np.ones(n, bool)), pa.array(np.zeros(n, bool))], ["doc_id", "predicted", "runner_up", "margin", "ambiguous", "keep"])
                 continue
             x, found = features(data, offsets, len(model.weights))
             best, second, gap = decode(model, x)
             none = found == 0
             names = np.array(model.languages, object)
+            ambiguous = none | (gap < margin) | (found < letters)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(names[best], pa.string(), mask=none), pa.array(names[second], pa.string(), mask=none | (len(names) < 2)), pa.array(gap.astype(np.float64), mask=none | ~np.isfinite(gap)), pa.array(none | (gap < margin) | (found < letters))],
-                ["doc_id", "predicted", "runner_up", "margin", "ambiguous"],
+                [rows.column("doc_id"), pa.array(names[best], pa.string(), mask=none), pa.array(names[second], pa.string(), mask=none | (len(names) < 2)), pa.array(gap.astype(np.float64), mask=none | ~np.isfinite(gap)), pa.array(ambiguous), pa.array(~ambiguous)],
+                ["doc_id", "predicted", "runner_up", "margin", "ambiguous", "keep"],
             )
 
     return run
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", model: Model | None = None, margin: float = MARGIN, letters: int = LETTERS, **sample: int) -> DataFrame:
-    """(doc_id, predicted, runner_up, margin, ambiguous) for every row; a model is fitted on df if none is given."""
+    """(doc_id, predicted, runner_up, margin, ambiguous, keep) for every row; a model is fitted on df if none is given."""
     model = model or train(df, id_col, text_col, label_col, **sample)
     return keyed(df, id_col, text_col).mapInArrow(_predict(model, margin, letters), _SCHEMA)
 
