@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.hashing import GENESIS, chain_hash, joined_hash
 from ledgerloom.operators.folds import chain_step, ordered_fold
+from ledgerloom.session import cut
 
 HOPS = 100
 
@@ -47,8 +48,9 @@ def merkle_roots(chain: DataFrame, key: str = "block_id") -> DataFrame:
 
     Levels follow the longest chain; each is one aggregate that halves the rows, and keys stay in their partitions.
     """
+    chain = cut(chain.select(key, "seq", F.col("chain_hash").alias("h")))
     longest = chain.agg(F.max("seq")).first()[0]
-    level = chain.select(key, "seq", F.col("chain_hash").alias("h")).join(chain.groupBy(key).agg((F.max("seq") + 1).alias("n")), key)
+    level = chain.join(chain.groupBy(key).agg((F.max("seq") + 1).alias("n")), key)
     for _ in range(max(0, math.ceil(math.log2((longest or 0) + 1)))):
         pair = F.sha2(F.concat(F.min_by("h", "seq"), F.max_by("h", "seq")), 256)
         root = F.first("n") == 1
@@ -65,14 +67,15 @@ def existence_proofs(chain: DataFrame, key: str = "block_id") -> DataFrame:
 def current_versions(links: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, current, hops): the end of the chain of updates from each start, HOPS steps at most.
 
-    Pointer doubling: each round joins the links with themselves, so log2(HOPS) rounds do, whatever the lengths.
+    Pointer doubling: each round joins the links with themselves, so log2(HOPS) rounds do, whatever the lengths. Each
+    level is written once and read for the next and for the walk.
     """
     step = links.select(F.col("original").alias("a"), F.col("new").alias("b"), F.lit(1).alias("n"))
     state = starts.select(F.col("id").alias("start"), F.col("id").alias("current"), F.lit(0).alias("hops"))
-    levels = [step]
+    levels = [cut(step)]
     for _ in range(int(math.log2(HOPS))):
         far = levels[-1].select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("n").alias("m"))
-        levels.append(levels[-1].join(far, "b").select("a", F.col("c").alias("b"), (F.col("n") + F.col("m")).alias("n")))
+        levels.append(cut(levels[-1].join(far, "b").select("a", F.col("c").alias("b"), (F.col("n") + F.col("m")).alias("n"))))
     for level in reversed(levels):
         joined = state.join(level, F.col("current") == F.col("a"), "left")
         go = F.col("a").isNotNull() & (F.col("hops") + F.col("n") <= HOPS)

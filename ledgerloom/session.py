@@ -6,16 +6,19 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Add this package, as a zip, to the files that the driver serves to its Python workers; once per context."""
+    """Add this package, as a zip, to the files that the driver serves to its Python workers; once per context.
+
+    The zip lies in the driver's own Spark folder; Spark serves it from there.
+    """
     context = spark.sparkContext
     if not any(Path(p).name == "ledgerloom.zip" for p in context._python_includes):
-        target = Path(tempfile.mkdtemp(prefix="ledgerloom-")) / "ledgerloom.zip"
+        target = Path(context._temp_dir) / "ledgerloom.zip"
         with zipfile.ZipFile(target, "w") as archive:
             for path in sorted(PACKAGE.rglob("*.py")):
                 archive.write(path, Path("ledgerloom") / path.relative_to(PACKAGE))
@@ -23,6 +26,23 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read from there: its plan doesn't grow, and executors may be lost.
+
+    The folder is the one that spark.checkpoint.dir names; only a local master without one gets a temporary folder.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def local_session(cores: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings that tests and the bench use."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("ledgerloom")
