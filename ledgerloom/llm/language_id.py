@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import text as T
 from ledgerloom.llm.common import keyed
 
-DIMENSIONS, PER_LANGUAGE, MARGIN, LETTERS = 4096, 400, 0.02, 3
+DIMENSIONS, PER_LANGUAGE, MARGIN, LETTERS, ROWS = 4096, 400, 0.02, 3, 1024
 _SCHEMA = "doc_id long, predicted string, runner_up string, margin double, ambiguous boolean, keep boolean"
 
 #: Letters in lower case, bytes of non-ASCII characters as they are, anything else a space.
@@ -127,7 +127,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
 def _predict(model: Model | None, margin: float, letters: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in T.chunks(batches, "text"):
+        for rows, data, offsets in T.chunks(batches, "text", rows=ROWS):
             n = len(offsets) - 1
             if model is None:
                 none = pa.nulls(n, pa.string())

@@ -63,15 +63,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Runs of whole rows of about limit bytes of text; a longer text comes alone. Gives rows, bytes and offsets."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES, rows: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of at most so many whole rows of about limit bytes of text; a longer text comes alone. Gives rows, bytes, offsets."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, offsets = utf8(batch.column(column))
         row = 0
         while row < batch.num_rows:
-            stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
+            stop = max(row + 1, min(row + rows, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1))
             yield batch.slice(row, stop - row), data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
             row = stop
 
