@@ -213,15 +213,26 @@ def _solve_slice(gram: np.ndarray, d_size: np.ndarray, words: np.ndarray, kind:
         hit[window] = total[group] > 1
         order = np.lexsort((at[heads[s]] + window - w_at[s], doc[heads[s]], group))
         lead[window[order[np.append(True, np.diff(group[order]) != 0)]]] = True
-    # runs of windows, for every copy
-    flag = hit[_ranges(w_at[kind], n_windows[kind])]
-    first_copy = np.repeat(fresh, n_windows[kind])
-    later = ~(lead[_ranges(w_at[kind], n_windows[kind])] & first_copy)
-    start = _ranges(at, n_windows[kind])
-    segment = np.repeat(np.arange(len(kind)), n_windows[kind])
-    run = np.flatnonzero(flag & np.append(True, (segment[1:] != segment[:-1]) | ~flag[:-1] | (later[1:] != later[:-1])))
-    end = np.flatnonzero(flag & np.append((segment[1:] != segment[:-1]) | ~flag[1:] | (later[1:] != later[:-1]), True))
-    return doc[segment[run]], start[run], end - run + 1, later[run]
+    # runs of windows: of each content once for its later places, and split by lead for its first
+    segment = np.repeat(np.arange(len(d_size)), n_windows)
+
+    def runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart = (segment[1:] != segment[:-1]) | (mark[1:] != mark[:-1])
+        first = np.flatnonzero(hit & np.append(True, apart | ~hit[:-1]))
+        return first, np.flatnonzero(hit & np.append(apart | ~hit[1:], True)) - first + 1
+
+    run, length = runs(np.zeros(len(hit), bool))
+    many = np.bincount(segment[run], minlength=len(d_size))
+    begin = np.cumsum(many) - many
+    other = kind[~fresh]
+    at_run = _ranges(begin[other], many[other])
+    later_doc, later_at = np.repeat(doc[~fresh], many[other]), np.repeat(at[~fresh], many[other]) + (run - w_at[segment[run]])[at_run]
+    head_run, head_length = runs(lead)
+    head_doc, head_at = doc[heads][segment[head_run]], at[heads][segment[head_run]] + head_run - w_at[segment[head_run]]
+    return (
+        np.concatenate([later_doc, head_doc]), np.concatenate([later_at, head_at]), np.concatenate([length[at_run], head_length]),
+        np.concatenate([np.ones(len(later_doc), bool), ~lead[head_run]]),
+    )
 
 
 def _merge_bucket(width: int, shards: int):
