@@ -7,10 +7,11 @@ table is a query to every shard. A search starts from seeds, expands its nearest
 its beam as long as the whole beam lies within `radius` bits. Each shard checks its search against exact search for
 `audit` of its own points and starts again with a beam twice as wide while recall is below `recall`.
 
-Points of a shard that are linked within the radius form a local component, joined by its spanning tree of least
-distances. A query keeps its nearest hit in each local component, and each pair of components its nearest pair, so the
-number of edges stays near the number of points; no partner is lost, for members of a component are joined already.
-All these edges are verified by the exact Jaccard similarity of the feature sets, then united by alternating stars.
+All hits are candidates, verified by the exact Jaccard similarity of the feature sets and united by alternating stars.
+So that large groups don't need all their pairs, likely ones come first: the spanning tree of least distances of each
+local component (points of a shard that are linked within the radius), and the nearest pair between two components.
+A hit is left out only where verified edges join its ends already. Of the others the nearest few between each two
+verified groups are verified next, then all that still lie between two groups.
 
 The number of shards depends on the number of points only (500,000 each at most, and 6 at least): work grows with
 points times shards times the width of a beam. Beyond a million queries, several tasks share the queries to a shard,
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
@@ -37,6 +39,7 @@ from ledgerloom.llm.common import cut, keyed, parts
 BITS, SLOTS = 256, 2048
 RADIUS, JACCARD = 72, 0.55
 LINKS, BACK, SEEDS, BEAM, OPEN = 16, 32, 512, 16, 4
+FEW, ROWS = 4, 100_000
 SHARDS, SHARD_POINTS, SLICE_QUERIES, AUDIT, RECALL = 6, 500_000, 1_000_000, 768, 0.95
 _FAR = np.int16(999)
 _BLOCKS = "shard int, kind int, ids binary, prints binary"
@@ -302,8 +305,14 @@ def _found(kind: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(d.astype(np.int32))], ["kind", "a", "b", "distance"])
 
 
+def _others(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 4 in batches of ROWS: a large group has many."""
+    for i in range(0, len(a), ROWS):
+        yield _found(4, a[i : i + ROWS], b[i : i + ROWS], d[i : i + ROWS])
+
+
 def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float):
-    """Rows of kind 0: point a is in the component of point b; 1: tree edge; 2: query a's nearest hit b; 3: recall, in ten thousandths."""
+    """Rows of kind 0: point a is in the component of point b; 1: tree edge; 2: query a's nearest hit b; 3: recall, in ten thousandths; 4: any other hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, prints, graph, shard = [], [], None, 0
@@ -331,6 +340,9 @@ def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float)
             linked = np.flatnonzero((roots != np.arange(len(points))) | (np.bincount(roots, minlength=len(points)) > 1))
             yield _found(0, points[linked], points[roots[linked]], np.zeros(len(linked)))
             yield _found(1, points[a[tree]], points[b[tree]], d[tree])
+            other = np.ones(len(a), bool)
+            other[tree] = False
+            yield from _others(points[a[other]], points[b[other]], d[other])
 
         for batch in batches:
             for shard, kind, i, x in zip(*(c.to_pylist() for c in batch.columns)):
@@ -350,6 +362,7 @@ def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float)
                 best[1:] = (q[1:] != q[:-1]) | (roots[p[1:]] != roots[p[:-1]])
                 if best.any():
                     yield _found(2, i[q[best]], points[p[best]], d[best])
+                    yield from _others(i[q[~best]], points[p[~best]], d[~best])
         if ids and graph is None:
             yield from start()
 
@@ -394,6 +407,13 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def _apart(hits: DataFrame, roots: DataFrame) -> DataFrame:
+    """Hits (a, b, distance) whose ends aren't in one group yet, with these two groups as x < y."""
+    for end, root in (("a", "x"), ("b", "y")):
+        hits = hits.join(roots.select(F.col("id").alias(end), F.col("root").alias(root)), end, "left").withColumn(root, F.coalesce(root, end))
+    return hits.where("x <> y").select("a", "b", "distance", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
 def _points(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Print of each document, and, as doc, the least id with the same tokens."""
     return keyed(df, id_col, text_col).mapInArrow(_print, "doc_id long, first long, second long, print binary")
@@ -419,13 +439,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cross = cross.withColumns({"x": F.coalesce("x", "a"), "y": F.coalesce("y", "b")}).groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     cross = cross.agg(F.min(F.struct("distance", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).alias("e")).select("e.a", "e.b")
     pairs = cut(found.where("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(cross).distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     docs = keyed(df, id_col, text_col)
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, features binary").groupBy("doc_id").agg(F.min("features").alias("features"))
     n = parts(docs)
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("features").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("features").alias("y")), "b")
-    verified = joined.select("a", "b", "x", "y").mapInArrow(_verify(jaccard), "a long, b long")
-    roots = components(verified.unionByName(exact).repartition(n, "a"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, features binary").groupBy("doc_id").agg(F.min("features").alias("features"))
+        joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("features").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("features").alias("y")), "b")
+        return joined.select("a", "b", "x", "y").mapInArrow(_verify(jaccard), "a long, b long")
+
+    roots = cut(components(verified(pairs).unionByName(exact).repartition(n, "a")))
+    hits = found.where("kind in (2, 4)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
+    for few in (FEW, None):
+        hits = cut(_apart(hits, roots).join(pairs, ["a", "b"], "left_anti"))
+        if hits.isEmpty():
+            break
+        rank = F.row_number().over(W.partitionBy("x", "y").orderBy("distance", "a", "b"))
+        pairs = cut((hits.withColumn("rank", rank).where(F.col("rank") <= few) if few else hits).select("a", "b"))
+        hits = hits.select("a", "b", "distance")
+        roots = cut(components(verified(pairs).unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))).repartition(n, "a")))
     everyone = docs.select("doc_id").distinct()
     return everyone.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.coalesce(F.col("root") == F.col("doc_id"), F.lit(True)).alias("keep"))
 

@@ -340,6 +340,28 @@ def test_near_duplicates_by_brute_force(spark):
     assert all(root[i] == root[j] for i, j in itertools.combinations(range(len(texts)), 2) if got[i] == got[j])
 
 
+def test_copies_within_templates_by_brute_force(spark):
+    rng, texts = random.Random(12), []
+    for _ in range(4):
+        template = words(rng, 80, 100_000).split()
+        for _ in range(25):
+            w = list(template)
+            for i in rng.sample(range(80), 12):
+                w[i] = f"f{rng.random()}"
+            for _ in range(3):
+                c = list(w)
+                c[rng.randrange(80)] = f"e{rng.random()}"
+                texts.append(" ".join(c))
+    sets, root = [set(w) | set(zip(w, w[1:])) for w in map(str.split, texts)], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= simhash_graph.JACCARD * len(sets[i] | sets[j]):
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    assert len(set(root)) >= 80
+    got = {r.doc_id: r.group_id for r in simhash_graph.near_duplicates(docs(spark, *texts), shards=3).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+
+
 def test_graph_recall_and_wide_groups():
     rng = np.random.default_rng(11)
     base = rng.integers(0, 1 << 63, (1500, 4), dtype=np.uint64)
