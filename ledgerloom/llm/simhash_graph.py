@@ -5,7 +5,8 @@ Each text gets a 256-bit SimHash of its distinct tokens and token pairs (ASCII c
 hash of their id; each shard builds one navigable small-world graph, in batches that double, and every point of the
 table is a query to every shard. A search starts from seeds, expands its nearest open nodes, and doubles the width of
 its beam as long as the whole beam lies within `radius` bits. Each shard checks its search against exact search for
-`audit` of its own points and starts again with a beam twice as wide while recall is below `recall`.
+`audit` of its own points and as many of other shards, and builds its graph again with a beam twice as wide while the
+recall of an average query, or of an average one with few hits, is below `recall`.
 
 All hits are candidates, verified by the exact Jaccard similarity of the feature sets and united by alternating stars.
 So that large groups don't need all their pairs, likely ones come first: the spanning tree of least distances of each
@@ -244,20 +245,31 @@ def exact_hits(prints: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np
     return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
 
 
-def audited(prints: np.ndarray, radius: int, beam: int, audit: int, least: float) -> tuple[Graph, float]:
-    """A graph whose search finds the share `least` of what exact search finds for `audit` of its points."""
-    graph = Graph(prints, radius, beam)
+def audited(prints: np.ndarray, radius: int, beam: int, audit: int, least: float, foreign: np.ndarray | None = None) -> tuple[Graph, float]:
+    """A graph whose search finds the share `least`, averaged by query, of what exact search finds; and that share.
+
+    It must be reached by `audit` of its own points, by as many foreign ones, and by those of both that have few hits,
+    though one lost query is no proof in a group of under 1 / (1 - least). Else the graph is built again, with a beam
+    twice as wide. The share returned is the least of the three.
+    """
     n = len(prints)
     sample = np.unique(np.linspace(0, n - 1, min(n, audit)).astype(int))
-    q, p, _ = exact_hits(prints, prints[sample], radius)
-    true = np.unique((sample[q] * n + p)[sample[q] != p])
+    other = prints[:0] if foreign is None else foreign[np.unique(np.linspace(0, len(foreign) - 1, min(len(foreign), audit)).astype(int))]
+    queries, home = np.concatenate([prints[sample], other]), np.append(sample, np.full(len(other), -1))
+
+    def keys(q: np.ndarray, p: np.ndarray, _: np.ndarray) -> np.ndarray:
+        return np.unique((q * n + p)[home[q] != p])
+
+    true = keys(*exact_hits(prints, queries, radius))
+    each = np.bincount(true // n, minlength=len(queries))
+    groups = [g for g in ((each > 0) & (home >= 0), (each > 0) & (home < 0), (each > 0) & (each <= FEW)) if g.any()]
     while True:
-        q, p, _ = graph.search(prints[sample])[2]
-        found = np.unique((sample[q] * n + p)[sample[q] != p])
-        share = len(np.intersect1d(true, found)) / len(true) if len(true) else 1.0
-        if share >= least or graph.beam >= n:
-            return graph, share
-        graph.beam *= 2
+        graph = Graph(prints, radius, beam)
+        got = np.bincount(np.intersect1d(true, keys(*graph.search(queries)[2]), assume_unique=True) // n, minlength=len(queries))
+        lost = 1 - got / np.maximum(each, 1)
+        if beam >= n or all(lost[g].sum() <= max(1.0, (1 - least) * g.sum()) for g in groups):
+            return graph, min((1 - lost[g].mean() for g in groups), default=1.0)
+        beam *= 2
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,7 +327,7 @@ def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float)
     """Rows of kind 0: point a is in the component of point b; 1: tree edge; 2: query a's nearest hit b; 3: recall, in ten thousandths; 4: any other hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, prints, graph, shard = [], [], None, 0
+        ids, prints, asked, graph, shard = [], [], [], None, 0
         points = roots = np.zeros(0, np.int64)
 
         def start() -> Iterator[pa.RecordBatch]:
@@ -323,7 +335,7 @@ def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float)
             points, own = np.concatenate(ids), np.concatenate(prints)
             order = np.argsort(T.mix(points.view(np.uint64) ^ np.uint64(99)))
             points, own = points[order], own[order]
-            graph, share = audited(own, radius, beam, audit, least)
+            graph, share = audited(own, radius, beam, audit, least, np.concatenate([own[:0], *(x for _, x in asked)]))
             if shard % slices:
                 share = None
             else:
@@ -344,17 +356,10 @@ def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float)
             other[tree] = False
             yield from _others(points[a[other]], points[b[other]], d[other])
 
-        for batch in batches:
-            for shard, kind, i, x in zip(*(c.to_pylist() for c in batch.columns)):
-                i, x = np.frombuffer(i, np.int64), np.frombuffer(x, np.uint64).reshape(-1, BITS // 64)
-                if kind == 0:
-                    ids.append(i)
-                    prints.append(x)
-                    continue
-                if not ids:
-                    continue
-                if graph is None:
-                    yield from start()
+        def answer() -> Iterator[pa.RecordBatch]:
+            if graph is None:
+                yield from start()
+            for i, x in asked:
                 q, p, d = graph.search(x)[2]
                 order = np.lexsort((p, d, roots[p], q))
                 q, p, d = q[order], p[order], d[order]
@@ -363,8 +368,20 @@ def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float)
                 if best.any():
                     yield _found(2, i[q[best]], points[p[best]], d[best])
                     yield from _others(i[q[~best]], points[p[~best]], d[~best])
-        if ids and graph is None:
-            yield from start()
+            asked.clear()
+
+        for batch in batches:
+            for shard, kind, i, x in zip(*(c.to_pylist() for c in batch.columns)):
+                i, x = np.frombuffer(i, np.int64), np.frombuffer(x, np.uint64).reshape(-1, BITS // 64)
+                if kind == 0:
+                    ids.append(i)
+                    prints.append(x)
+                elif ids:
+                    asked.append((i, x))
+                    if graph is not None or sum(len(i) for i, _ in asked) >= audit:
+                        yield from answer()
+        if ids:
+            yield from answer()
 
     return run
 
@@ -463,7 +480,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def recall_audit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shards: int | None = None, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL) -> DataFrame:
-    """(shard_first, recall): the share of exact hits that each shard's search found for the points it checked."""
+    """(shard_first, recall): the least share of exact hits, by query, that each shard's search found in what it checked."""
     points = _points(df, id_col, text_col).groupBy("first", "second").agg(F.min("doc_id").alias("doc_id"), F.min("print").alias("print"))
     points = cut(points.groupBy("doc_id").agg(F.min("print").alias("print")))
     return _search(points, radius, shards, beam, audit, recall).where("kind = 3").select(F.col("a").alias("shard_first"), (F.col("distance") / 10_000).alias("recall"))

@@ -377,6 +377,26 @@ def test_graph_recall_and_wide_groups():
     assert share >= 0.95 and found <= true and len(found) / len(true) >= 0.95
 
 
+def test_small_groups_of_other_shards_beside_a_large_one():
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 1 << 63, (20_000, 4), dtype=np.uint64)
+    copies = np.concatenate([np.repeat(base[:1], 400, 0), base[1:2001]])
+    for k in range(40):
+        at = rng.integers(0, 256, len(copies))
+        copies[np.arange(len(copies)), at // 64] ^= np.uint64(1) << (at % 64).astype(np.uint64)
+    prints = np.unique(np.concatenate([base, copies]), axis=0)
+    prints = prints[rng.permutation(len(prints))]
+    half, ids = len(prints) // 2, np.arange(len(prints))
+    blobs = [(0, 0, ids[:half].tobytes(), prints[:half].tobytes()), (0, 1, ids[half:].tobytes(), prints[half:].tobytes())]
+    batch = pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int32()), pa.array([b[1] for b in blobs], pa.int32()), *(pa.array([b[i] for b in blobs], pa.binary()) for i in (2, 3))], ["shard", "kind", "ids", "prints"])
+    G = simhash_graph
+    found = {(a, b) for out in G._search_shard(1, G.RADIUS, G.BEAM, G.AUDIT, G.RECALL)([batch]) for kind, a, b in zip(*(out.column(c).to_pylist() for c in ("kind", "a", "b"))) if kind == 2}
+    q, p, _ = G.exact_hits(prints[:half], prints[half:], G.RADIUS)
+    single = np.bincount(q, minlength=len(prints) - half)[q] == 1
+    true = set(zip((q[single] + half).tolist(), p[single].tolist()))
+    assert len(true) > 500 and len(true & found) >= 0.92 * len(true)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (7, 7)], "a long, b long")
     got = {r.id: r.root for r in simhash_graph.components(edges).collect()}
