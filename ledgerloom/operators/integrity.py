@@ -84,14 +84,21 @@ def current_versions(links: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def history(links: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, version, hops): every version that follows each start, by a recursive query that stops at HOPS or a cycle."""
-    spark = links.sparkSession
-    links.createOrReplaceTempView("__links")
-    starts.createOrReplaceTempView("__starts")
-    return spark.sql(f"""WITH RECURSIVE h(start, version, hops, seen) MAX RECURSION LEVEL {HOPS + 2} AS (
-        SELECT id, id, 0, array(id) FROM __starts
-        UNION ALL SELECT h.start, l.new, h.hops + 1, array_append(h.seen, l.new) FROM h JOIN __links l ON l.original = h.version
-        WHERE h.hops < {HOPS} AND NOT array_contains(h.seen, l.new)) SELECT start, version, hops FROM h""")
+    """(start, version, hops): every version that follows each start, to the end of its chain or to a cycle.
+
+    Each round adds the versions up to twice as far by links of twice the length, until there are no new ones.
+    """
+    step = cut(links.select(F.col("original").alias("a"), F.col("new").alias("b")).distinct())
+    found = cut(starts.select(F.col("id").alias("start"), F.col("id").alias("version"), F.lit(0).alias("hops")).distinct())
+    span, n = 1, found.count()
+    while True:
+        far = found.join(step, F.col("version") == F.col("a")).select("start", F.col("b").alias("version"), (F.col("hops") + span).alias("hops"))
+        found = cut(found.unionByName(far).groupBy("start", "version").agg(F.min("hops").alias("hops")))
+        more = found.count()
+        if more == n:
+            return found
+        span, n = 2 * span, more
+        step = cut(step.join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct())
 
 
 def block_status(ids: DataFrame, links: DataFrame, deletes: DataFrame) -> DataFrame:

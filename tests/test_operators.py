@@ -67,6 +67,12 @@ def test_versions_stop_at_cycles_and_hops(spark):
     assert I.history(links, starts.where("id = 900")).count() == 2
 
 
+def test_history_has_no_hop_limit(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(150)] + [(900, 901), (901, 902), (902, 901)], "original long, new long")
+    got = {(r.start, r.version, r.hops) for r in I.history(links, spark.createDataFrame([(0,), (900,), (777,)], "id long")).collect()}
+    assert got == {(0, i, i) for i in range(151)} | {(900, 900, 0), (900, 901, 1), (900, 902, 2), (777, 777, 0)}
+
+
 def test_moving_into_a_descendant_is_refused(spark):
     tree = spark.createDataFrame([(1, None, "a"), (2, 1, "a\\b"), (3, 2, "a\\b\\c"), (4, None, "ab")], "folder_id long, parent_id long, path string")
     assert O.move_subtree(tree, "a", "a\\b").collect() == tree.collect()
