@@ -6,9 +6,10 @@ then give longest common prefixes of neighbours by binary lifting. The longest p
 neighbour is the longest repeat that starts there; intervals of the LCP array with at least `least` tokens are the
 maximal repeats, and the union of their spans is the union of these longest repeats.
 
-Rules, with token case ignored (ASCII). A document goes where its longest repeat has over `max_longest` tokens or at
-least `max_share` of all its tokens, or where repeats of `least` tokens or more cover over `max_fraction` of its tokens
-even without two places of the longest one: a header that returns once as a footer is no fault, however short the text.
+Rules, with token case ignored (ASCII). A document goes where its longest repeat has over `max_longest` tokens, where
+that or all repeats of `least` tokens or more have at least `max_share` of all its tokens, or where these repeats cover
+over `max_fraction` of its tokens. For the last, a longest repeat with exactly two places doesn't count: a header that
+returns once as a footer is no fault.
 
 Results for edge cases: null, empty and white-space texts have no token and no repeat: fraction 0.0, longest 0, kept.
 Rows without an id are left out. Rows that share an id or text are judged one by one. Extra columns aren't read.
@@ -122,7 +123,7 @@ def _measure(least: int, max_fraction: float, max_longest: int, max_share: float
         for rows, data, offsets in T.chunks(batches, "text"):
             starts, ends, bounds = T.tokens(data, offsets)
             sizes = np.diff(bounds)
-            covered, longest, maximal = (np.zeros(len(sizes), np.int64) for _ in range(3))
+            covered, longest, maximal, places = (np.zeros(len(sizes), np.int64) for _ in range(4))
             if len(starts):
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 symbol = np.unique(T.token_hashes(T.LOWER[data], starts, ends), return_inverse=True)[1].ravel()
@@ -132,13 +133,15 @@ def _measure(least: int, max_fraction: float, max_longest: int, max_share: float
                 reach = np.zeros(len(order), np.int64)
                 reach[order] = np.maximum(lcp, np.append(lcp[1:], 0))
                 np.maximum.at(longest, row, reach)
+                places = np.bincount(row[reach == longest[row]], minlength=len(sizes))
                 at = np.flatnonzero(reach >= least)
                 doc, a, b = T.unions(row[at], at, at + reach[at])
                 np.add.at(covered, doc, b - a)
                 left = np.where(np.arange(len(row)) > bounds[:-1][row], np.append(-1, symbol[:-1]), -1)
                 maximal = _maximal(order, lcp, left, least, row, len(sizes))
             fraction = covered / np.maximum(sizes, 1)
-            keep = (longest <= max_longest) & ((longest < max_share * sizes) | (longest < least)) & (covered - 2 * longest <= max_fraction * sizes)
+            keep = (longest <= max_longest) & ((np.maximum(longest, covered) < max_share * sizes) | (longest < least))
+            keep &= covered - np.where(places == 2, 2 * longest, 0) <= max_fraction * sizes
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), *(pa.array(x.astype(np.int32)) for x in (sizes, covered, longest, maximal)), pa.array(fraction), pa.array(keep)],
                 ["doc_id", "n_tokens", "covered_tokens", "longest_repeat", "maximal_repeats", "covered_fraction", "keep"],

@@ -179,6 +179,17 @@ def test_repetition_by_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == [repeats(t.lower().split(), repetition.LEAST) for t in texts]
 
 
+def test_mostly_repeated_short_texts_go(spark):
+    w = [f"v{i}" for i in range(200)]
+    twice = w[:49] + ["x"] + w[:49]
+    thrice = w[:30] + ["x"] * 3 + w[:30] + ["y"] * 4 + w[:30] + ["z"] * 3
+    framed = w[:20] + w[50:150] + w[:20]
+    short = w[:10] + w[50:75] + w[:10]
+    texts = [" ".join(t) for t in (twice, thrice, framed, short)] + ["", None]
+    got = {r.doc_id: r.keep for r in repetition.repetition_rules(docs(spark, *texts)).collect()}
+    assert [got[i] for i in range(6)] == [False, False, True, True, True, True]
+
+
 # 5 and 10
 
 
