@@ -6,7 +6,8 @@ hash of their id; each shard builds one navigable small-world graph, in batches
 table is a query to every shard. A search starts from seeds, expands its nearest open nodes, and doubles the width of
 its beam as long as the whole beam lies within `radius` bits. Each shard checks its search against exact search for
 `audit` of its own points and as many of other shards, and builds its graph again with a beam twice as wide while the
-recall of an average query, or of an average one with few hits, is below `recall`.
+recall of an average query, or of an average one with few hits, is below `recall`. Where shards have EXACT points or
+fewer on average, exact search costs less than a graph of that recall and takes its place; each two shards then meet once.
 
 All hits are candidates, verified by the exact Jaccard similarity of the feature sets and united by alternating stars.
 So that large groups don't need all their pairs, likely ones come first: the spanning tree of least distances of each
@@ -40,7 +41,7 @@ from ledgerloom.llm.common import cut, keyed, parts
 BITS, SLOTS = 256, 2048
 RADIUS, JACCARD = 72, 0.55
 LINKS, BACK, SEEDS, BEAM, OPEN = 16, 32, 512, 16, 4
-FEW, ROWS = 4, 100_000
+FEW, ROWS, EXACT = 4, 100_000, 65_536
 SHARDS, SHARD_POINTS, SLICE_QUERIES, AUDIT, RECALL = 6, 500_000, 1_000_000, 768, 0.95
 _FAR = np.int16(999)
 _BLOCKS = "shard int, kind int, ids binary, prints binary"
@@ -245,6 +246,16 @@ def exact_hits(prints: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np
     return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
 
 
+class Exact:
+    """Searched like a graph, point by point."""
+
+    def __init__(self, prints: np.ndarray, radius: int) -> None:
+        self.prints, self.radius = prints, radius
+
+    def search(self, queries: np.ndarray) -> tuple[None, None, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return None, None, exact_hits(self.prints, queries, self.radius)
+
+
 def audited(prints: np.ndarray, radius: int, beam: int, audit: int, least: float, foreign: np.ndarray | None = None) -> tuple[Graph, float]:
     """A graph whose search finds the share `least`, averaged by query, of what exact search finds; and that share.
 
@@ -291,7 +302,9 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.nd
     return np.array([find(x) for x in range(n)], np.int64), np.array(chosen, np.int64)
 
 
-def _deal(shards: int, slices: int):
+def _deal(shards: int, slices: int, once: bool):
+    """once: of each two shards only one gets the points of the other as queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -302,8 +315,9 @@ def _deal(shards: int, slices: int):
             part = (T.mix(ids.view(np.uint64) ^ np.uint64(7)) % np.uint64(slices)).astype(np.int32)
             shard, kind, blobs = [], [], []
             for s in range(shards * slices):
-                own = home == s // slices
-                for k, mask in ((0, own), (1, ~own & (part == s % slices))):
+                own, gap = home == s // slices, (home - s // slices) % shards
+                asks = ~own & (part == s % slices) & (not once or (2 * gap < shards) | ((2 * gap == shards) & (home > s // slices)))
+                for k, mask in ((0, own), (1, asks)):
                     if mask.any():
                         shard.append(s)
                         kind.append(k)
@@ -323,7 +337,7 @@ def _others(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBa
         yield _found(4, a[i : i + ROWS], b[i : i + ROWS], d[i : i + ROWS])
 
 
-def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float):
+def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float, exact: bool = False):
     """Rows of kind 0: point a is in the component of point b; 1: tree edge; 2: query a's nearest hit b; 3: recall, in ten thousandths; 4: any other hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +349,7 @@ def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float)
             points, own = np.concatenate(ids), np.concatenate(prints)
             order = np.argsort(T.mix(points.view(np.uint64) ^ np.uint64(99)))
             points, own = points[order], own[order]
-            graph, share = audited(own, radius, beam, audit, least, np.concatenate([own[:0], *(x for _, x in asked)]))
+            graph, share = (Exact(own, radius), 1.0) if exact else audited(own, radius, beam, audit, least, np.concatenate([own[:0], *(x for _, x in asked)]))
             if shard % slices:
                 share = None
             else:
@@ -440,8 +454,9 @@ def _search(points: DataFrame, radius: int, shards: int | None, beam: int, audit
     n = points.count()
     s = shards or max(SHARDS, math.ceil(n / SHARD_POINTS))
     slices = math.ceil(n / SLICE_QUERIES) or 1
-    blocks = points.mapInArrow(_deal(s, slices), _BLOCKS).repartitionById(s * slices, F.col("shard")).sortWithinPartitions("shard", "kind")
-    return blocks.mapInArrow(_search_shard(slices, radius, beam, audit, recall), _FOUND)
+    exact = n <= s * EXACT
+    blocks = points.mapInArrow(_deal(s, slices, exact), _BLOCKS).repartitionById(s * slices, F.col("shard")).sortWithinPartitions("shard", "kind")
+    return blocks.mapInArrow(_search_shard(slices, radius, beam, audit, recall, exact), _FOUND)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, jaccard: float = JACCARD, shards: int | None = None, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL) -> DataFrame:
