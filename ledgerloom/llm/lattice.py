@@ -8,7 +8,8 @@ every text has a segmentation.
 
 Pieces never cross white space, so a document's marginal probability is the product of its words'. A word's lattice is
 solved by the forward recursion in log space, over all distinct words of one length at once; backward sums for the
-expectations likewise. Work follows distinct words; what reaches the driver is one number for each piece.
+expectations likewise. Work follows distinct words; what reaches the driver is one number for each piece. Words of over LONG bytes go
+one by one, their lattices built LONG places at a time, so memory follows a word's bytes and not its lattice.
 
 Results for edge cases: null, empty and white-space texts have no word: log_prob 0.0 and null bits_per_byte. Rows
 without an id are left out; rows that share an id or text are scored, and counted, one by one. Words of any length are
@@ -31,7 +32,7 @@ from ledgerloom.llm.common import keyed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 ROUNDS, PRIOR_USES, ZIPF_SHIFT = 1, 1e3, 2.7
-COUNT_CHUNK, EXACT, CELLS = 12 << 20, 20, 4_000_000
+EXACT, CELLS, LONG = 20, 4_000_000, 4096
 _SCHEMA = "doc_id long, n_words int, n_bytes int, log_prob double, bits_per_byte double"
 _NONE = np.float64(-np.inf)
 
@@ -156,18 +157,26 @@ def _groups(starts: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> Iterator
 
 def log_marginals(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, v: Pieces) -> np.ndarray:
     """Log of the sum of the probabilities of all segmentations of each word (of bytes, with a space before)."""
-    spaced, starts, sizes = _spaced(data, starts, ends)
     out = np.zeros(len(starts))
+    long = ends - starts > LONG
+    for i in np.flatnonzero(long).tolist():
+        out[i] = _long_word(np.append(np.uint8(32), data[starts[i] : ends[i]]), v)
+    short = np.flatnonzero(~long)
+    spaced, starts, sizes = _spaced(data, starts[short], ends[short])
     for some, m, lengths in _groups(starts, sizes, spaced):
         alpha = _forward(_lattice(m, v), v.log_p, len(some), m.shape[1])
-        out[some] = alpha[lengths, np.arange(len(some))]
+        out[short[some]] = alpha[lengths, np.arange(len(some))]
     return out
 
 
 def expected_uses(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, v: Pieces) -> np.ndarray:
     """Expected number of uses of each piece in the words, each word as often as it counts."""
-    spaced, starts, sizes = _spaced(data, starts, ends)
     out = np.zeros(len(v.surfaces) + 1)
+    long = ends - starts > LONG
+    for i in np.flatnonzero(long).tolist():
+        _long_word(np.append(np.uint8(32), data[starts[i] : ends[i]]), v, float(counts[i]), out)
+    short = np.flatnonzero(~long)
+    spaced, starts, sizes = _spaced(data, starts[short], ends[short])
     for some, m, lengths in _groups(starts, sizes, spaced):
         lattice, width = _lattice(m, v), m.shape[1]
         alpha = _forward(lattice, v.log_p, len(some), width)
@@ -177,18 +186,57 @@ def expected_uses(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts
             hit = np.nonzero(piece >= 0)
             with np.errstate(invalid="ignore"):
                 p = np.exp(alpha[hit[1], hit[0]] + v.log_p[piece[hit]] + beta[hit[1] + size, hit[0]] - total[hit[0]])
-            out += np.bincount(piece[hit], np.nan_to_num(p) * counts[some][hit[0]], len(out))
+            out += np.bincount(piece[hit], np.nan_to_num(p) * counts[short[some]][hit[0]], len(out))
     return out[:-1]
 
 
+def _long_word(word: np.ndarray, v: Pieces, count: float = 0.0, uses: np.ndarray | None = None) -> float:
+    """Log marginal of one long word, its lattice built LONG places at a time; adds count times its uses of pieces to uses."""
+    n, most = len(word), int(v.sizes[-1])
+
+    def block(a: int) -> tuple[np.ndarray, np.ndarray]:
+        places, lattice = min(LONG, n - a), _lattice(word[None, a : a + LONG + most], v)
+        piece = np.full((places, len(lattice)), -1, np.int32)
+        for k, found in enumerate(lattice.values()):
+            some = found[0, :places]
+            piece[: len(some), k] = some
+        return np.array(list(lattice), np.int64), piece
+
+    alpha = np.full(n + most + 1, _NONE)
+    alpha[0] = 0
+    for a in range(0, n, LONG):
+        sizes, piece = block(a)
+        for i, w in enumerate(_weights(piece, v.log_p), a):
+            alpha[i + sizes] = np.logaddexp(alpha[i + sizes], alpha[i] + w)
+    if uses is not None:
+        beta = np.full(n + most + 1, _NONE)
+        beta[n] = 0
+        for a in reversed(range(0, n, LONG)):
+            sizes, piece = block(a)
+            weights = _weights(piece, v.log_p)
+            for i in reversed(range(len(piece))):
+                beta[a + i] = np.logaddexp.reduce(beta[a + i + sizes] + weights[i])
+            at, k = np.nonzero(piece >= 0)
+            p = np.exp(alpha[a + at] + weights[at, k] + beta[a + at + sizes[k]] - alpha[n])
+            uses += np.bincount(piece[at, k], count * p, len(uses))
+    return float(alpha[n])
+
+
+def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranges of data end to end."""
+    if sizes.max(initial=0) > LONG:
+        return np.concatenate([data[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist())])
+    return data[np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)]
+
+
 def _spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words end to end, a space before each; where each begins, and its length with the space."""
     sizes = ends - starts + 1
     begin = np.cumsum(sizes) - sizes
     out = np.full(int(sizes.sum()), 32, np.uint8)
-    inner = sizes - 1
-    place = np.arange(int(inner.sum())) - np.repeat(np.cumsum(inner) - inner, inner)
-    out[np.repeat(begin + 1, inner) + place] = data[np.repeat(starts, inner) + place]
+    inner = np.ones(len(out), bool)
+    inner[begin] = False
+    out[inner] = _gather(data, starts, sizes - 1)
     return out, begin, sizes
 
 
@@ -200,13 +248,13 @@ def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, data, offsets in T.chunks(batches, "text", COUNT_CHUNK):
+    for _, data, offsets in T.chunks(batches, "text"):
         starts, ends, word, _, _ = _distinct(data, offsets)
         if not len(starts):
             continue
         size = ends - starts
         at = np.concatenate([[0], np.cumsum(size)])
-        raw = data[np.arange(at[-1]) + np.repeat(starts - at[:-1], size)]
+        raw = _gather(data, starts, size)
         words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
         yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(word, minlength=len(size)))], ["word", "n"])
 
@@ -238,7 +286,7 @@ def corpus_weights(df: DataFrame, v: Pieces, id_col: str = "doc_id", text_col: s
 
 def _score(v: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in T.chunks(batches, "text", COUNT_CHUNK):
+        for rows, data, offsets in T.chunks(batches, "text"):
             starts, ends, word, bounds, size = _distinct(data, offsets)
             n = np.diff(bounds)
             row = np.repeat(np.arange(len(n)), n)

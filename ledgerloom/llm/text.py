@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 4 << 20
+BLOCK = 1 << 17
+_MASK = (1 << 64) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WINDOW_BASE = np.uint64(0xD1342543DE82EF95)
 SPACE = np.zeros(256, bool)
@@ -32,24 +34,45 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of base and of its inverse modulo 2**64, at least n of each."""
+    """Powers of base and of its inverse modulo 2**64, n of each; those up to BLOCK are kept."""
     have = _POWERS.get(int(base))
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, BLOCK + 1)
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         up, down = np.full(size, base, np.uint64), np.full(size, inverse, np.uint64)
         up[0] = down[0] = 1
         have = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        _POWERS[int(base)] = have
+        if size == BLOCK + 1:
+            _POWERS[int(base)] = have
     return have[0][:n], have[1][:n]
 
 
-def _range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
-    up, down = _powers(base, len(values))
-    sums = np.empty(len(values) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values * up, dtype=np.uint64, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+def _range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64, add: int = 0) -> np.ndarray:
+    """Hash of each range of values (plus add); starts and ends both rise. BLOCK values at a time, so memory is bounded."""
+    out = np.empty(len(starts), np.uint64)
+    up, down = _powers(base, BLOCK + 1)
+    sums = np.zeros(BLOCK + 1, np.uint64)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + BLOCK, "right")))
+        if ends[i] - a > BLOCK:  # one long range, piece by piece
+            total, scale = 0, 1
+            for c in range(a, int(ends[i]), BLOCK):
+                part = values[c : min(c + BLOCK, int(ends[i]))].astype(np.uint64) + np.uint64(add)
+                total += scale * int((part * up[: len(part)]).sum(dtype=np.uint64))
+                scale = scale * pow(int(base), BLOCK, 1 << 64) & _MASK
+            out[i] = total & _MASK
+        else:
+            part = values[a : int(ends[j - 1])].astype(np.uint64)
+            if add:
+                part += np.uint64(add)
+            part *= up[: len(part)]
+            np.cumsum(part, dtype=np.uint64, out=sums[1 : len(part) + 1])
+            at = starts[i:j] - a
+            out[i:j] = (sums[ends[i:j] - a] - sums[at]) * down[at]
+        i = j
+    return mix(out)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +112,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def token_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return _range_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends, _BASE)
+    return _range_hashes(data, starts, ends, _BASE, 1)
 
 
 def windows(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
