@@ -28,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """df if its rows come in one order however often a task runs (it only reads, picks and filters), else df cut."""
+    plan = str(df._jdf.queryExecution().optimizedPlan().toString())
+    nodes = [line.lstrip(" :+-").split(" ")[0].split("(")[0] for line in plan.splitlines() if line.strip()]
+    return df if all(n in ("Project", "Filter", "Relation", "LocalRelation") for n in nodes) else cut(df)
+
+
 def parts(df: DataFrame, each: int = 10 << 20) -> int:
     """Partitions that hold about so many bytes of df's input each; the session's number at least."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -1,13 +1,16 @@
 """Operator 5: substring de-duplication by Rabin-Karp hashes of every window of fixed length in tokens.
 
-Every window of `width` tokens of every document gets a 64-bit hash. Windows go to buckets by their hash, so equal ones
-meet in one task, which counts them; one shuffle carries 20 bytes a window and nothing is sampled, capped or broadcast.
-Repeated windows then go to their documents, where they merge into maximal intervals.
+Every window of `width` tokens of every document gets a 64-bit hash. Places that a task can tell to be later copies
+become runs on the spot (marks.py); one place of each other content goes to a bucket of its hash, so equal ones meet in
+one task, which counts them. The shuffle carries 20 bytes a content and chunk, and nothing is sampled, capped or
+broadcast. The runs of repeated windows then go to their documents, where they merge into maximal intervals.
 
 Results for edge cases: null and empty texts, and texts of fewer than `width` tokens, have no window and give no row.
 Rows without an id are left out. Rows that share an id are one document: a window that both hold is repeated, and
 both of its places carry the same id. Texts that differ in white space only are equal. A hash clash has a chance of
-about n**2 / 2**65 over n windows. An empty table gives an empty result. Only the id and text columns are read.
+about n**2 / 2**65 over n windows. An empty table gives an empty result. Only the id and text columns are read; input
+that isn't read straight from files is written to the checkpoint folder first, so that a task run again sees the same
+rows in the same order.
 """
 
 from __future__ import annotations
@@ -20,16 +23,18 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import marks as M
 from ledgerloom.llm import text as T
-from ledgerloom.llm.common import keyed, parts
+from ledgerloom.llm.common import keyed, parts, stable
 
 WIDTH = 40
-_BUCKETS = "bucket int, hashes binary, docs binary, at binary"
-_MARKS = "doc_id long, at binary, first binary"
+#: kind 0: contents with a place each, and bits for those that stand for several; 1: runs (docs, at, size) of later copies.
+_BUCKETS = "bucket int, kind int, docs binary, at binary, hashes binary, rest binary"
 
 
 def _scatter(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = M.Sent()
         for rows, data, offsets in T.chunks(batches, "text"):
             starts, ends, bounds = T.tokens(data, offsets)
             first, row = T.windows(bounds, width)
@@ -38,73 +43,55 @@ def _scatter(width: int, buckets: int):
             hashes = T.window_hashes(T.token_hashes(data, starts, ends), first, width)
             docs = rows.column("doc_id").to_numpy()[row]
             at = (first - bounds[row]).astype(np.int32)
-            bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, hashes, docs, at = bucket[order], hashes[order], docs[order], at[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            cuts = np.concatenate([[0], cuts, [len(bucket)]])
-            pairs = list(zip(cuts[:-1], cuts[1:]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[cuts[:-1]].astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in pairs], pa.binary()) for x in (hashes, docs, at))],
-                ["bucket", "hashes", "docs", "at"],
-            )
+            del starts, ends, first, row
+            one, many, copies = M.one_of_each(hashes, docs, at)
+            after = sent.known(hashes[one], docs[one], at[one], many)
+            copies = np.concatenate([copies, one[after]])
+            one, many = one[~after], many[~after]
+            bucket = ((hashes[one] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+            order = np.lexsort((one, bucket))
+            bucket, many, one = bucket[order], many[order], one[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            pairs = list(zip(cuts[:-1], cuts[1:])) if len(bucket) else []
+            to = bucket[cuts[:-1]].astype(np.int32) if len(bucket) else np.zeros(0, np.int32)
+            columns = [[x[one[a:b]].tobytes() for a, b in pairs] for x in (docs, at, hashes)] + [[np.packbits(many[a:b]).tobytes() for a, b in pairs]]
+            kind = np.zeros(len(to), np.int32)
+            if len(copies):
+                d, p, n, _ = M.runs(docs[copies], at[copies], np.ones(len(copies), bool))
+                to, kind = np.append(to, np.int32(int(hashes[0]) % buckets)), np.append(kind, np.int32(1))
+                for column, x in zip(columns, (d, p.astype(np.int32), n.astype(np.int32), n[:0])):
+                    column.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(kind), *(pa.array(x, pa.binary()) for x in columns)], ["bucket", "kind", "docs", "at", "hashes", "rest"])
 
     return run
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per partition, all of some buckets: the places of repeated windows, by document, and which of them come first."""
-    held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
+    """A partition is one bucket: runs of the places of repeated windows, by document; later: none comes first."""
+    held: list[list[bytes]] = [[], [], [], []]
     for batch in batches:
-        for bucket, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
-            held.setdefault(bucket, []).append(tuple(blobs))
-    for bucket in list(held):
-        blobs = held.pop(bucket)
-        hashes = np.frombuffer(b"".join(x[0] for x in blobs), np.uint64)
-        docs = np.frombuffer(b"".join(x[1] for x in blobs), np.int64)
-        at = np.frombuffer(b"".join(x[2] for x in blobs), np.int32)
-        del blobs
-        order = np.argsort(hashes, kind="quicksort")
-        ranked = hashes[order]
-        same = ranked[1:] == ranked[:-1]
-        repeated = np.zeros(len(ranked), bool)
-        repeated[1:] = same
-        repeated[:-1] |= same
-        picked = order[repeated]
-        if not len(picked):
-            continue
-        h, d, p = hashes[picked], docs[picked], at[picked]
-        order = np.lexsort((p, d, h))
-        h, d, p = h[order], d[order], p[order]
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
-        order = np.argsort(d, kind="stable")
-        d, p, first = d[order], p[order], first[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1, [len(d)]])
-        pairs = list(zip(cuts[:-1], cuts[1:]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(d[cuts[:-1]]), pa.array([p[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([np.packbits(first[a:b]).tobytes() for a, b in pairs], pa.binary())],
-            ["doc_id", "at", "first"],
-        )
-
-
-def _merge(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, at, first = [], [], []
-        for batch in batches:
-            for doc, p, f in zip(*(c.to_pylist() for c in batch.columns)):
-                p = np.frombuffer(p, np.int32)
-                docs.append(np.full(len(p), doc, np.int64))
-                at.append(p)
-                first.append(np.unpackbits(np.frombuffer(f, np.uint8), count=len(p)).astype(bool))
-        if not docs:
-            return
-        doc, p, f = np.concatenate(docs), np.concatenate(at).astype(np.int64), np.concatenate(first)
-        for kind, mask in (("repeat", np.ones(len(f), bool)), ("remove", ~f)):
-            k, a, b = T.unions(doc[mask], p[mask], p[mask] + width)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([kind] * len(k), pa.string()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc_id", "kind", "start_token", "end_token"])
-
-    return run
+        for kind, *blobs in zip(*(batch.column(c).to_pylist() for c in ("kind", "docs", "at", "hashes", "rest"))):
+            if kind:
+                d, p, n = (np.frombuffer(x, t) for x, t in zip(blobs, (np.int64, np.int32, np.int32)))
+                yield M.batch(d, p, n, np.ones(len(d), bool))
+            else:
+                blobs[3] = np.unpackbits(np.frombuffer(blobs[3], np.uint8), count=len(blobs[1]) // 4).tobytes()
+                for column, x in zip(held, blobs):
+                    column.append(x)
+    docs, at, hashes, many = (np.frombuffer(b"".join(x), t) for x, t in zip(held, (np.int64, np.int32, np.uint64, np.uint8)))
+    del held
+    order = np.argsort(hashes, kind="quicksort")
+    ranked = hashes[order]
+    same = ranked[1:] == ranked[:-1]
+    repeated = many[order] > 0
+    repeated[1:] |= same
+    repeated[:-1] |= same
+    picked = order[repeated]
+    if not len(picked):
+        return
+    picked = picked[np.lexsort((at[picked], docs[picked], hashes[picked]))]
+    h = hashes[picked]
+    yield M.batch(*M.runs(docs[picked], at[picked], np.append(False, h[1:] == h[:-1])))
 
 
 def repeated_intervals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -114,11 +101,11 @@ def repeated_intervals(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind 'remove': the union of those that aren't the first place of their content, in the order of (doc_id, start):
     taking these out leaves one copy of each repeated passage.
     """
-    docs = keyed(df, id_col, text_col)
+    docs = stable(keyed(df, id_col, text_col))
     n = parts(docs)
-    buckets = docs.mapInArrow(_scatter(width, n), _BUCKETS).repartition(n, "bucket")
-    marks = buckets.mapInArrow(_count, _MARKS).repartition(n, "doc_id")
-    return marks.mapInArrow(_merge(width), "doc_id long, kind string, start_token int, end_token int")
+    buckets = docs.mapInArrow(_scatter(width, n), _BUCKETS).repartitionById(n, F.col("bucket"))
+    marks = buckets.mapInArrow(_count, M.MARKS).repartition(n, "doc_id").sortWithinPartitions("doc_id")
+    return marks.mapInArrow(M.unite(width), "doc_id long, kind string, start_token int, end_token int")
 
 
 def _cut_out(text_col: str, count_col: str | None):
