@@ -2,22 +2,24 @@
 
 Every window of `width` tokens has a minimiser: the least of the hashes of its runs of `seed` tokens. A stretch of
 windows with one minimiser is a segment, cut at most 2 * width - seed tokens long, and goes to the bucket of that
-hash; so all places of a repeated window meet in one bucket, each with the tokens that its order needs. In a bucket,
-segments that are equal collapse to one of their number, and those whose minimiser is alone are dropped: no window of
-theirs can repeat. The rest is dealt to shards. Each shard's suffix array and Burrows-Wheeler transform come from
+hash; so all contents of a repeated window meet in one bucket, each with the tokens that its order needs. Segments that
+a task can tell to be later copies of an equal one become runs on the spot (marks.py), and the others that are equal
+collapse in their bucket. Those whose minimiser is alone are dropped there: no window of theirs can repeat. The rest is
+dealt to shards. Each shard's suffix array and Burrows-Wheeler transform come from
 prefix doubling; the transforms are merged by iterative interleave refinement: from the order of all suffixes by h
 symbols, one stable pass over the symbols before them gives the order by h + 1, without sorting suffixes again. Borders
 between blocks appear in pass h where the common prefix is h - 1 symbols long, so after `width` passes the borders give
 the longest-common-prefix array up to `width`, and each block without a border inside is one repeated interval.
 
 Memory of a task follows its bucket, not the table; buckets grow in number with the table's size. A passage that is
-repeated everywhere fills one bucket, but as equal segments, which collapse before they are shuffled and after.
+repeated everywhere is sent on once by each task that meets it, as equal segments, and collapses again in its bucket.
 
 Results for edge cases: null and empty texts, and texts of fewer than `width` tokens, have no window and give no row.
 Rows without an id are left out. Rows that share an id are one document: a window that both hold is repeated. Texts that
-differ in white space only are equal. Tokens are known by 32-bit hashes, so two windows are taken for one by chance only
-where they differ in tokens that clash: under 2**-32 for each pair of windows that differ in one token. An empty table
-gives an empty result. Only the id and text columns are read.
+differ in white space only are equal. Tokens are known by 40-bit hashes, so two windows are taken for one by chance only
+where they differ in tokens that clash: under 2**-40 for each pair of windows that differ in one token. An empty table
+gives an empty result. Only the id and text columns are read; input that isn't read straight from files is written to
+the checkpoint folder first, so that a task run again sees the same rows in the same order.
 """
 
 from __future__ import annotations
@@ -27,15 +29,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ledgerloom.llm import marks as M
 from ledgerloom.llm import text as T
-from ledgerloom.llm.common import keyed, parts
+from ledgerloom.llm.common import keyed, parts, stable
 from ledgerloom.llm.repetition import suffix_array
 
 WIDTH, SEED, SHARDS, SLICE = 50, 6, 4, 500_000
-_SEGMENTS = "bucket int, seeds binary, wholes binary, sizes binary, copies binary, symbols binary, docs binary, at binary"
+#: kind 0: segments, each with a place, and whether it stands for several; 1: runs (docs, at, sizes) of later copies.
+_SEGMENTS = "bucket int, kind int, docs binary, at binary, sizes binary, many binary, seeds binary, wholes binary, low binary, high binary"
 _SEGMENT_BASE = np.uint64(0xA24BAED4963EE407)
-_MARKS = "doc_id long, at binary, size binary, later binary"
 
 
 def minimizers(hashes: np.ndarray, bounds: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,35 +67,44 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _cut(width: int, seed: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = M.Sent()
         for rows, data, offsets in T.chunks(batches, "text"):
             starts, ends, bounds = T.tokens(data, offsets)
             hashes = T.token_hashes(data, starts, ends)
+            del starts, ends
             first, place, gram = minimizers(hashes, bounds, width, seed)
             if not len(first):
                 continue
             head = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1)))
             begin, gram = first[head], gram[head]
             size = np.diff(np.append(head, len(first))) + width - 1
+            del first, place, head
             row = np.searchsorted(bounds, begin, "right") - 1
             doc, at = rows.column("doc_id").to_numpy()[row], (begin - bounds[row]).astype(np.int32)
-            symbols = (hashes >> np.uint64(32)).astype(np.uint32)
             whole = T._range_hashes(hashes, begin, begin + size, _SEGMENT_BASE)
-            bucket = ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((whole, bucket))
-            begin, gram, size, doc, at, bucket, whole = (x[order] for x in (begin, gram, size, doc, at, bucket, whole))
-            one = np.flatnonzero(np.append(True, (whole[1:] != whole[:-1]) | (bucket[1:] != bucket[:-1])))  # equal segments go once
-            copies = np.diff(np.append(one, len(whole))).astype(np.int32)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[one])) + 1, [len(one)]])
-            pairs = list(zip(cuts[:-1], cuts[1:]))
-            blob = lambda x: pa.array([x[a:b].tobytes() for a, b in pairs], pa.binary())
-            ends = np.append(one, len(whole))
-            every = lambda x: pa.array([x[ends[a] : ends[b]].tobytes() for a, b in pairs], pa.binary())
-            begin, size = begin[one], size[one]
-            words = pa.array([symbols[_ranges(begin[a:b], size[a:b])].tobytes() for a, b in pairs], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[one][cuts[:-1]].astype(np.int32)), blob(gram[one]), blob(whole[one]), blob(size.astype(np.uint8 if 2 * width < 256 else np.int32)), blob(copies), words, every(doc), every(at)],
-                ["bucket", "seeds", "wholes", "sizes", "copies", "symbols", "docs", "at"],
-            )
+            one, many, copies = M.one_of_each(whole, doc, at)
+            after = sent.known(whole[one], doc[one], at[one], many)
+            copies = np.concatenate([copies, one[after]])
+            one, many = one[~after], many[~after]
+            bucket = ((gram[one] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((one, bucket))
+            bucket, many, one = bucket[order], many[order], one[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            pairs = list(zip(cuts[:-1], cuts[1:])) if len(bucket) else []
+            to = bucket[cuts[:-1]].astype(np.int32) if len(bucket) else np.zeros(0, np.int32)
+            small = size.astype(np.uint8 if 2 * width < 256 else np.int32)
+            columns = [[x[one[a:b]].tobytes() for a, b in pairs] for x in (doc, at, small)] + [[many[a:b].tobytes() for a, b in pairs]]
+            columns += [[x[one[a:b]].tobytes() for a, b in pairs] for x in (gram, whole)]
+            low, high = (hashes >> np.uint64(24)).astype(np.uint32), (hashes >> np.uint64(56)).astype(np.uint8)
+            places = [_ranges(begin[one[a:b]], size[one[a:b]]) for a, b in pairs]
+            columns += [[x[p].tobytes() for p in places] for x in (low, high)]
+            kind = np.zeros(len(to), np.int32)
+            if len(copies):
+                copies = copies[np.lexsort((at[copies], doc[copies]))]
+                to, kind = np.append(to, np.int32(int(whole[0]) % buckets)), np.append(kind, np.int32(1))
+                for column, x in zip(columns, (doc[copies], at[copies], (size[copies] - width + 1).astype(np.int32), *[at[:0]] * 5)):
+                    column.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(kind), *(pa.array(x, pa.binary()) for x in columns)], [f.split()[0] for f in _SEGMENTS.split(", ")])
 
     return run
 
@@ -151,18 +164,18 @@ def interleave(symbols: np.ndarray, stops: np.ndarray, shard: np.ndarray, width:
     return merged, lcp
 
 
-def _solve(gram: np.ndarray, whole: np.ndarray, size: np.ndarray, copies: np.ndarray, symbols: np.ndarray, doc: np.ndarray, at: np.ndarray, width: int, shards: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _solve(gram: np.ndarray, whole: np.ndarray, size: np.ndarray, many: np.ndarray, symbols: np.ndarray, doc: np.ndarray, at: np.ndarray, width: int, shards: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(doc, first window, number of windows, later): runs of repeated windows; later: none is the first of its content.
 
     Segments whose minimiser is alone are dropped; the others are taken by minimiser, about SLICE symbols at a time, one
     of each content, with all its places.
     """
-    offset, place = np.cumsum(size) - size, np.cumsum(copies) - copies
+    offset = np.cumsum(size) - size
     order = np.lexsort((whole, gram))
     fresh = np.append(True, gram[order][1:] != gram[order][:-1]) if len(gram) else np.zeros(0, bool)
     seed = np.cumsum(fresh) - 1
-    order = order[(np.bincount(seed, copies[order])[seed] > 1)] if len(gram) else order
-    gram, whole, size, copies, offset, place = gram[order], whole[order], size[order], copies[order], offset[order], place[order]
+    order = order[(np.bincount(seed, 1 + many[order])[seed] > 1)] if len(gram) else order
+    gram, whole, size, many, offset, doc, at = gram[order], whole[order], size[order], many[order], offset[order], doc[order], at[order]
     if not len(gram):
         return
     content = np.append(True, (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1]))
@@ -171,19 +184,18 @@ def _solve(gram: np.ndarray, whole: np.ndarray, size: np.ndarray, copies: np.nda
     cuts = fresh[np.append(True, before[fresh][1:] // SLICE != before[fresh][:-1] // SLICE)]
     for a, b in zip(cuts, np.append(cuts[1:], len(gram))):
         heads = np.flatnonzero(content[a:b])
-        kind = np.repeat(np.cumsum(content[a:b]) - 1, copies[a:b])
-        places = _ranges(place[a:b], copies[a:b])
+        kind = np.cumsum(content[a:b]) - 1
         words = symbols[_ranges(offset[a:b][heads], size[a:b][heads])]
-        yield _solve_slice(gram[a:b][heads], size[a:b][heads], words, kind, doc[places], at[places].astype(np.int64), width, shards)
+        several = np.bincount(kind, 1 + many[a:b]) > 1
+        yield _solve_slice(gram[a:b][heads], size[a:b][heads], words, several, kind, doc[a:b], at[a:b].astype(np.int64), width, shards)
 
 
-def _solve_slice(gram: np.ndarray, d_size: np.ndarray, words: np.ndarray, kind: np.ndarray, doc: np.ndarray, at: np.ndarray, width: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """gram, d_size and words: of each distinct content; kind, doc and at: of each of their places."""
+def _solve_slice(gram: np.ndarray, d_size: np.ndarray, words: np.ndarray, several: np.ndarray, kind: np.ndarray, doc: np.ndarray, at: np.ndarray, width: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """gram, d_size, words and several (it has more than one place): of each content; kind, doc and at: of their places."""
     order = np.lexsort((at, doc, kind))
     kind, doc, at = kind[order], doc[order], at[order]
     fresh = np.append(True, kind[1:] != kind[:-1])
     heads = np.flatnonzero(fresh)
-    copies = np.diff(np.append(heads, len(kind)))
     d_offset = np.cumsum(d_size) - d_size
     # seeds that one content holds alone need no order: its copies repeat whole
     _, g = np.unique(gram, return_inverse=True)
@@ -194,7 +206,7 @@ def _solve_slice(gram: np.ndarray, d_size: np.ndarray, words: np.ndarray, kind:
     w_at = np.cumsum(n_windows) - n_windows
     solo = np.flatnonzero(alone)
     w = _ranges(w_at[solo], n_windows[solo])
-    hit[w] = np.repeat(copies[solo] > 1, n_windows[solo])
+    hit[w] = np.repeat(several[solo], n_windows[solo])
     lead[w] = True
     rest = np.flatnonzero(~alone)
     if len(rest):
@@ -209,7 +221,7 @@ def _solve_slice(gram: np.ndarray, d_size: np.ndarray, words: np.ndarray, kind:
         merged, group = merged[full], group[full]
         s = rest[seg[merged]]
         window = w_at[s] + merged - np.repeat(np.cumsum(size_r) - size_r, size_r)[merged]
-        total = np.bincount(group, copies[s])
+        total = np.bincount(group, 1 + several[s])
         hit[window] = total[group] > 1
         order = np.lexsort((at[heads[s]] + window - w_at[s], doc[heads[s]], group))
         lead[window[order[np.append(True, np.diff(group[order]) != 0)]]] = True
@@ -236,44 +248,30 @@ def _solve_slice(gram: np.ndarray, d_size: np.ndarray, words: np.ndarray, kind:
 
 
 def _merge_bucket(width: int, shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, ...]]] = {}
-        for batch in batches:
-            for bucket, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(bucket, []).append(tuple(blobs))
-        for bucket in list(held):
-            blobs = held.pop(bucket)
-            kinds = (np.uint64, np.uint64, np.uint8 if 2 * width < 256 else np.int32, np.int32, np.uint32, np.int64, np.int32)
-            gram, whole, size, copies, symbols, doc, at = (np.frombuffer(b"".join(x[i] for x in blobs), kind) for i, kind in enumerate(kinds))
-            del blobs
-            solved = list(_solve(gram, whole, size.astype(np.int64), copies.astype(np.int64), symbols, doc, at, width, shards))
-            if not solved:
-                continue
-            d, p, n, later = (np.concatenate([x[i] for x in solved]) for i in range(4))
-            order = np.argsort(d, kind="stable")
-            d, p, n, later = d[order], p[order].astype(np.int32), n[order].astype(np.int32), later[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1, [len(d)]])
-            pairs = list(zip(cuts[:-1], cuts[1:]))
-            yield pa.RecordBatch.from_arrays([pa.array(d[cuts[:-1]]), *(pa.array([x[a:b].tobytes() for a, b in pairs], pa.binary()) for x in (p, n, later))], ["doc_id", "at", "size", "later"])
-
-    return run
-
+    """A partition is one bucket: runs of the places of repeated windows, by document."""
+    kinds = (np.int64, np.int32, np.uint8 if 2 * width < 256 else np.int32, np.bool_, np.uint64, np.uint64, np.uint32, np.uint8)
 
-def _unite(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, at, size, later = [], [], [], []
+        held: list[list[bytes]] = [[] for _ in kinds]
         for batch in batches:
-            for doc, p, n, x in zip(*(c.to_pylist() for c in batch.columns)):
-                at.append(np.frombuffer(p, np.int32))
-                size.append(np.frombuffer(n, np.int32))
-                later.append(np.frombuffer(x, bool))
-                docs.append(np.full(len(at[-1]), doc, np.int64))
-        if not docs:
-            return
-        doc, p, n, x = np.concatenate(docs), np.concatenate(at).astype(np.int64), np.concatenate(size).astype(np.int64), np.concatenate(later)
-        for kind, mask in (("repeat", np.ones(len(x), bool)), ("remove", x)):
-            k, a, b = T.unions(doc[mask], p[mask], (p + n - 1)[mask] + width)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([kind] * len(k), pa.string()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc_id", "kind", "start_token", "end_token"])
+            for _, kind, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind:
+                    d, p, n = (np.frombuffer(x, t) for x, t in zip(blobs, (np.int64, np.int32, np.int32)))
+                    yield M.batch(d, p, n, np.ones(len(d), bool))
+                else:
+                    for column, x in zip(held, blobs):
+                        column.append(x)
+        joined = []
+        for kind in kinds:
+            joined.append(np.frombuffer(b"".join(held.pop(0)), kind))
+        doc, at, size, many, gram, whole, low, high = joined
+        symbols = low.astype(np.uint64)
+        symbols |= high.astype(np.uint64) << np.uint64(32)
+        del joined, low, high
+        for d, p, n, later in _solve(gram, whole, size.astype(np.int64), many, symbols, doc, at, width, shards):
+            if len(d):
+                order = np.argsort(d, kind="stable")
+                yield M.batch(d[order], p[order], n[order], later[order])
 
     return run
 
@@ -284,9 +282,9 @@ def merged_intervals(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind 'repeat': all places of substrings of at least width tokens that occur more than once in the table.
     kind 'remove': the same without the first place of each window, in the order of (doc_id, start).
     """
-    docs = keyed(df, id_col, text_col)
+    docs = stable(keyed(df, id_col, text_col))
     n = parts(docs)
     seed = min(seed, width)
-    buckets = docs.mapInArrow(_cut(width, seed, n), _SEGMENTS).repartition(n, "bucket")
-    marks = buckets.mapInArrow(_merge_bucket(width, shards), _MARKS).repartition(n, "doc_id")
-    return marks.mapInArrow(_unite(width), "doc_id long, kind string, start_token int, end_token int")
+    buckets = docs.mapInArrow(_cut(width, seed, n), _SEGMENTS).repartitionById(n, F.col("bucket"))
+    marks = buckets.mapInArrow(_merge_bucket(width, shards), M.MARKS).repartition(n, "doc_id").sortWithinPartitions("doc_id")
+    return marks.mapInArrow(M.unite(width), "doc_id long, kind string, start_token int, end_token int")
