@@ -86,7 +86,7 @@ def _cut(width: int, seed: int, buckets: int):
             after = sent.known(whole[one], doc[one], at[one], many)
             copies = np.concatenate([copies, one[after]])
             one, many = one[~after], many[~after]
-            bucket = ((gram[one] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            bucket = ((T.mix(gram[one]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # least hashes are small: mixed again
             order = np.lexsort((one, bucket))
             bucket, many, one = bucket[order], many[order], one[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
