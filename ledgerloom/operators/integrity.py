@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.hashing import GENESIS, chain_hash, joined_hash
@@ -25,13 +26,22 @@ def hash_chain(hashes: DataFrame, key: str = "block_id") -> DataFrame:
     return ordered_fold(hashes, key, ["write_seq"], ["block_hash"], chain_step, "seq long, previous_hash string, chain_hash string")
 
 
-def verify_links(chain: DataFrame, key: str = "block_id") -> DataFrame:
-    """Each entry with whether its chain hash is right and its predecessor's hash is the one it names."""
-    before = chain.select(F.col(key), (F.col("seq") + 1).alias("seq"), F.col("chain_hash").alias("__before"))
-    joined = chain.join(before, [key, "seq"], "left")
+def verify_links(chain: DataFrame, key: str = "block_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """Each entry with whether its chain hash is right and its predecessor's hash is the one it names.
+
+    The predecessor comes from a window, not from a second copy of the chain, so the chain is folded once.
+    """
+    w = W.partitionBy(key).orderBy("seq")
     hash_ok = chain_hash(F.col("previous_hash"), F.col("block_hash")) == F.col("chain_hash")
-    link_ok = F.col("previous_hash") == F.coalesce("__before", F.when(F.col("seq") == 0, F.lit(GENESIS)))
-    return joined.select(key, "seq", hash_ok.alias("hash_ok"), F.coalesce(link_ok, F.lit(False)).alias("link_ok"))
+    before = F.when(F.lag("seq").over(w) == F.col("seq") - 1, F.lag("chain_hash").over(w)).when(F.col("seq") == 0, F.lit(GENESIS))
+    return chain.select(key, "seq", *also, hash_ok.alias("hash_ok"), F.coalesce(F.col("previous_hash") == before, F.lit(False)).alias("link_ok"))
+
+
+def entry_pairs(chain: DataFrame, key: str = "block_id") -> DataFrame:
+    """Each entry that has a successor, and whether that names its hash."""
+    w = W.partitionBy(key).orderBy("seq")
+    after = F.when(F.lead("seq").over(w) == F.col("seq") + 1, F.lead("previous_hash").over(w))
+    return chain.select(key, "seq", (F.col("chain_hash") == after).alias("linked")).where("linked is not null")
 
 
 def chain_summary(chain: DataFrame, key: str = "block_id") -> DataFrame:
@@ -112,8 +122,6 @@ def checkpoint_candidates(log: DataFrame, types: list[str], least_size: int, bef
 
 def checkpoints(log: DataFrame, base: int = 1_000_000_000_000) -> DataFrame:
     """Checkpoint copies of blocks: new ids above base, numbered in write order within their original."""
-    from pyspark.sql import Window as W
-
     n = F.row_number().over(W.partitionBy("block_id").orderBy("write_seq"))
     return log.select(F.col("block_id").alias("original_id"), (F.lit(base) + F.col("write_seq")).alias("checkpoint_id"), n.alias("seq"), "payload")
 

@@ -11,9 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.hashing import joined_hash
-from ledgerloom.operators.folds import batch_step, ordered_fold, pack_step
-
-SPAN = 100_000
+from ledgerloom.operators.packing import SPAN, Rule, pack
 
 
 def latest(log: DataFrame, key: str = "block_id", order: str = "write_seq") -> DataFrame:
@@ -29,14 +27,19 @@ def valid_prefix(log: DataFrame, bad: Column, order: str = "write_seq") -> DataF
 
 
 def packed(messages: DataFrame, threshold: int = 1 << 16, span: int = SPAN) -> DataFrame:
-    """Blocks of messages in write order, packed for each folder and span of write_seq: bounded runs, in parallel."""
-    keyed = messages.select("email_id", "folder", "size", F.col("write_seq"), F.concat_ws("/", "folder", F.floor(F.col("write_seq") / span).cast("string")).alias("run"))
-    return ordered_fold(keyed, "run", ["write_seq"], ["size"], pack_step(threshold), "block_no int, local_id int").select("run", "email_id", "size", "block_no", "local_id")
+    """Blocks of each folder's messages in write order: a message costs 4 bytes and its size, and one that would exceed
+    the threshold opens a block. Equal to a fold over the whole folder; span only sets how much one task holds."""
+    return _packing(messages, Rule(threshold, 4, before=True), span)
 
 
 def batched(messages: DataFrame, target: int = 1 << 16, span: int = SPAN) -> DataFrame:
-    keyed = messages.select("email_id", "folder", "size", F.col("write_seq"), F.concat_ws("/", "folder", F.floor(F.col("write_seq") / span).cast("string")).alias("run"))
-    return ordered_fold(keyed, "run", ["write_seq"], ["size"], batch_step(target), "block_no int, local_id int").select("run", "email_id", "size", "block_no", "local_id")
+    """The same, with blocks closed once their sizes reach the target."""
+    return _packing(messages, Rule(target, 0, before=False), span)
+
+
+def _packing(messages: DataFrame, rule: Rule, span: int) -> DataFrame:
+    rows = messages.select("email_id", "folder", "size", "write_seq")
+    return pack(rows, F.col("folder"), F.col("write_seq"), F.col("size"), rule, span).select("run", "email_id", "size", "block_no", "local_id")
 
 
 def batch_blocks(packed_rows: DataFrame) -> DataFrame:
@@ -54,14 +57,21 @@ def envelope(messages: DataFrame) -> DataFrame:
 
 
 def content_duplicates(messages: DataFrame) -> DataFrame:
-    """Each message and the first one with its content; the bodies themselves aren't shuffled."""
+    """Each message and the first one with its content; null bodies are one content. The bodies aren't shuffled."""
     hashed = messages.select("email_id", "write_seq", F.sha2("body", 256).alias("h"))
-    first = hashed.groupBy("h").agg(F.min_by("email_id", "write_seq").alias("kept_id"))
-    return hashed.join(first, "h").select("email_id", "kept_id", (F.col("email_id") != F.col("kept_id")).alias("duplicate"))
+    first = hashed.groupBy("h").agg(F.min_by("email_id", "write_seq").alias("kept_id")).withColumnRenamed("h", "g")
+    return hashed.join(first, F.col("h").eqNullSafe(F.col("g"))).select("email_id", "kept_id", (F.col("email_id") != F.col("kept_id")).alias("duplicate"))
+
+
+def identified(messages: DataFrame) -> DataFrame:
+    """Messages whose id, where it's null or blank, is a hash of sender, recipient, subject and body."""
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("sender", "recipient", "subject", "body")]
+    own = F.when(F.trim("message_id") != "", F.col("message_id"))
+    return messages.withColumn("message_id", F.coalesce(own, F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\x1f", *parts), 256))))
 
 
 def fresh_only(incoming: DataFrame, stored: DataFrame, key: str = "message_id") -> DataFrame:
-    """Incoming rows whose key isn't stored; of several with one key the first in write order."""
+    """Incoming rows whose key isn't stored; of several with one key the first in write order. Null keys: see identified."""
     one = incoming.groupBy(key).agg(F.min_by(F.struct(*(c for c in incoming.columns if c != key)), "write_seq").alias("r")).select(key, "r.*")
     return one.join(stored.select(key), key, "left_anti")
 
@@ -86,7 +96,7 @@ def store_stats(messages: DataFrame, postings: DataFrame) -> DataFrame:
 def children(tree: DataFrame, path: str) -> DataFrame:
     """Direct children of a folder: its prefix, and no separator after it."""
     prefix = path + "\\"
-    return tree.where(F.col("path").startswith(prefix) & (F.instr(F.substring("path", len(prefix) + 1, 10_000), "\\") == 0))
+    return tree.where(F.col("path").startswith(prefix) & (F.instr(F.substr("path", F.lit(len(prefix) + 1)), "\\") == 0))
 
 
 def subtree(tree: DataFrame, path: str) -> DataFrame:
@@ -94,14 +104,16 @@ def subtree(tree: DataFrame, path: str) -> DataFrame:
 
 
 def create_folders(tree: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(path, status) of wanted folders: created, exists, no_parent or invalid."""
+    """(path, status) of wanted folders: created, exists, no_parent or invalid. Of equal ones in a batch one is created."""
     from ledgerloom.functions.text import folder_parent, folder_valid
 
     have = tree.select(F.col("path").alias("p"), F.lit(True).alias("have"))
     parents = tree.select(F.col("path").alias("q"), F.lit(True).alias("above"))
-    joined = wanted.join(have, F.col("path") == F.col("p"), "left").join(parents, folder_parent(F.col("path")) == F.col("q"), "left")
+    counts = wanted.groupBy("path").agg(F.count("*").alias("n"))
+    joined = counts.join(have, F.col("path") == F.col("p"), "left").join(parents, folder_parent(F.col("path")) == F.col("q"), "left")
     status = F.when(~folder_valid(F.col("path")), "invalid").when(F.col("have"), "exists").when((folder_parent(F.col("path")) != "") & F.col("above").isNull(), "no_parent").otherwise("created")
-    return joined.select("path", status.alias("status"))
+    each = joined.select("path", status.alias("status"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
+    return each.select("path", F.when((F.col("status") == "created") & (F.col("i") > 1), "exists").otherwise(F.col("status")).alias("status"))
 
 
 def delete_folders(tree: DataFrame, members: DataFrame, wanted: DataFrame, with_messages: bool = False) -> DataFrame:
@@ -118,16 +130,15 @@ def delete_folders(tree: DataFrame, members: DataFrame, wanted: DataFrame, with_
 
 def move_subtree(tree: DataFrame, path: str, to: str) -> DataFrame:
     """The tree after moving a folder under another; a move into itself or its descendants changes nothing."""
-    from ledgerloom.functions.text import folder_name, folder_parent
+    from ledgerloom.functions.text import folder_name
 
     if to == path or to.startswith(path + "\\"):
         return tree
     target = tree.where(F.col("path") == to).select(F.col("folder_id").alias("__to")).limit(1)
     inside = (F.col("path") == path) | F.col("path").startswith(path + "\\")
-    moved = F.concat(F.lit(to + "\\"), folder_name(F.lit(path)), F.substring("path", len(path) + 1, 10_000))
+    moved = F.concat(F.lit(to + "\\"), folder_name(F.lit(path)), F.substr("path", F.lit(len(path) + 1)))
     out = tree.join(F.broadcast(target), F.lit(True), "left")
     go = inside & F.col("__to").isNotNull()
-    _ = folder_parent
     return out.select("folder_id", F.when(go & (F.col("path") == path), F.col("__to")).otherwise(F.col("parent_id")).alias("parent_id"), F.when(go, moved).otherwise(F.col("path")).alias("path"))
 
 

@@ -98,12 +98,12 @@ QUERIES = {
     "ch4_verify_chain": lambda s, d: I.chain_summary(_tampered(s, d)),
     "ch5_merkle_roots": lambda s, d: I.merkle_roots(_chain(s, d)),
     "ch6_heads": lambda s, d: I.heads(_chain(s, d)),
-    "ch8_verified_read": lambda s, d: block_log(s, d).join(I.verify_links(_tampered(s, d)).join(_chain(s, d).select("block_id", "seq", "write_seq"), ["block_id", "seq"]), ["block_id", "write_seq"]).where("hash_ok and link_ok").select("block_id", "write_seq", "type"),
+    "ch8_verified_read": lambda s, d: block_log(s, d).join(I.verify_links(_tampered(s, d), also=("write_seq",)).where("hash_ok and link_ok").select("block_id", "write_seq"), ["block_id", "write_seq"]).select("block_id", "write_seq", "type"),
     "ch9_archive_verification": lambda s, d: I.chain_summary(_chain(s, d)).select((F.col("invalid") == 0).alias("hashes_ok"), (F.col("breaks") == 0).alias("links_ok"), ((F.col("invalid") == 0) & (F.col("breaks") == 0)).alias("valid")),
     "ch10_existence_proofs": lambda s, d: I.existence_proofs(_chain(s, d)),
     "snk6_chain_export": lambda s, d: _chain(s, d).where("seq between 2 and 5").select("block_id", "seq", "block_hash", "chain_hash"),
     "snk7_proof_json": lambda s, d: I.heads(_chain(s, d)).select("block_id", F.to_json(F.struct("block_id", "head_hash", "length")).alias("json")),
-    "jn7_entry_pairs": lambda s, d: _chain(s, d).select("block_id", "seq", "chain_hash").join(_chain(s, d).select("block_id", (F.col("seq") - 1).alias("seq"), F.col("previous_hash").alias("next_previous")), ["block_id", "seq"]).select("block_id", "seq", (F.col("chain_hash") == F.col("next_previous")).alias("linked")),
+    "jn7_entry_pairs": lambda s, d: I.entry_pairs(_chain(s, d)),
     "jn8_chain_entry_or_none": lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("block_id")).join(I.heads(_chain(s, d)), "block_id", "left").select("block_id", "head_hash"),
     "agg4_archive_stats": lambda s, d: block_log(s, d).groupBy("type").agg(F.count("*").alias("n"), F.max("write_seq").alias("last_seq"), F.max_by("payload", "write_seq").alias("last_payload")),
     "ver1_updates": lambda s, d: update_links(s, d),
@@ -174,7 +174,7 @@ ORACLE_SQL = {
     "ver3_current": f"""WITH RECURSIVE {LINKS}, s AS (SELECT min(event_id) AS id FROM events GROUP BY user_id), h AS (SELECT id AS start, id AS version, 0 AS hops FROM s
 UNION ALL SELECT start, new, hops + 1 FROM h JOIN links ON original = version WHERE hops < 100) SELECT start, arg_max(version, hops) AS current, max(hops) AS hops FROM h GROUP BY start""",
     "ver4_history": f"""WITH RECURSIVE {LINKS}, s AS (SELECT min(event_id) AS id FROM events GROUP BY user_id), h AS (SELECT id AS start, id AS version, 0 AS hops FROM s
-UNION ALL SELECT start, new, hops + 1 FROM h JOIN links ON original = version WHERE hops < 100) SELECT start, version, hops FROM h""",
+UNION ALL SELECT start, new, hops + 1 FROM h JOIN links ON original = version) SELECT start, version, hops FROM h""",
     "ver5_status": f"WITH {LINKS} SELECT event_id AS id, new AS updated_to, event_type = 'error' AS deleted FROM events LEFT JOIN links ON original = event_id",
     "cp1_checkpoints": f"""{_B} SELECT block_id AS original_id, 1000000000000 + write_seq AS checkpoint_id, CAST(row_number() OVER (PARTITION BY block_id ORDER BY write_seq) AS INTEGER) AS seq, payload
 FROM blocks WHERE type IN ('click', 'view') AND octet_length(encode(payload)) >= 8 AND ts < {_FAR}""",

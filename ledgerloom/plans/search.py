@@ -19,7 +19,7 @@ QUERIES = {
     "fn1_store_tokens": lambda s, d: messages(s, d).select("email_id", F.array_join(F.array_sort(X.store_tokens(F.col("body"))), " ").alias("tokens")),
     "fn2_index_tokens": lambda s, d: messages(s, d).select("email_id", F.array_join(F.array_sort(X.index_tokens(F.col("body"))), " ").alias("tokens")),
     "fn3_query_terms": lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(X.query_terms(F.col("text")), " ").alias("terms")),
-    "fn4_first_term": lambda s, d: table(s, d, "benchmark").select("item_id", X.first_term(F.concat(F.substring("text", 1, 20), F.lit(" AND x OR y"))).alias("term")),
+    "fn4_first_term": lambda s, d: table(s, d, "benchmark").select("item_id", X.first_term(F.concat("text", F.lit(" AND x OR y"))).alias("term")),
     "agg1_postings": lambda s, d: S.postings(messages(s, d)).select("term", "email_id"),
     "agg1_index_postings": lambda s, d: S.index_postings(messages(s, d)).select("term", "email_id"),
     "agg1_term_counts": lambda s, d: S.postings(messages(s, d)).groupBy("term").agg(F.count("*").alias("n_messages")),
@@ -66,7 +66,7 @@ ORACLE_SQL = {
     "fn1_store_tokens": f"{_E} SELECT email_id, {_SORTED.format(CUTS)} FROM emails",
     "fn2_index_tokens": f"{_E} SELECT email_id, {_SORTED.format(INDEX_SQL_CUTS)} FROM emails",
     "fn3_query_terms": rf"SELECT item_id, array_to_string(list_filter(string_split_regex(lower(text), '[ \t\n\r]+'), lambda x: length(x) >= 3 AND x NOT IN ({STOPS})), ' ') AS terms FROM benchmark",
-    "fn4_first_term": "SELECT item_id, trim(string_split_regex(lower(substring(text, 1, 20) || ' AND x OR y'), ' and | or | not ')[1]) AS term FROM benchmark",
+    "fn4_first_term": "SELECT item_id, trim(string_split_regex(lower(text || ' AND x OR y'), ' and | or | not ')[1]) AS term FROM benchmark",
     "agg1_postings": f"{_P} SELECT term, email_id FROM postings",
     "agg1_index_postings": f"{_E}, {INDEX_POSTINGS} SELECT term, email_id FROM postings",
     "agg1_term_counts": f"{_P} SELECT term, count(*) AS n_messages FROM postings GROUP BY term",

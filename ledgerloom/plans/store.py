@@ -111,7 +111,7 @@ QUERIES = {
     "sf15_next_ids": lambda s, d: folder_tree(s, d).groupBy("parent_id").agg((F.max("folder_id") + 1).alias("next_id")),
 }
 
-_RUN = "folder || '/' || (write_seq // 100000)"
+_RUN = "folder"
 
 
 def _fold(cost: str, start: str, move: str) -> str:

@@ -31,12 +31,12 @@ def folder_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def update_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """original -> new version of the records of a user, the first 50 of each."""
+    """original -> new version of the records of a user, all of them."""
     from pyspark.sql import Window as W
 
     w = W.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.lag("event_id").over(w).alias("original"), F.row_number().over(w).alias("rn"))
-    return e.where("original is not null and rn <= 50").select("original", F.col("event_id").alias("new"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.lag("event_id").over(w).alias("original"))
+    return e.where("original is not null").select("original", F.col("event_id").alias("new"))
 
 
 MESSAGES = """emails AS (SELECT doc_id AS email_id, 'doc-' || doc_id AS message_id, source AS folder, substring(text, 1, 60) AS subject,
@@ -44,7 +44,7 @@ MESSAGES = """emails AS (SELECT doc_id AS email_id, 'doc-' || doc_id AS message_
 BLOCKS = "blocks AS (SELECT user_id AS block_id, event_id AS write_seq, event_type AS type, ts, value, props AS payload FROM events)"
 TREE = """tree AS (SELECT CAST(r_regionkey AS BIGINT) AS folder_id, CAST(NULL AS BIGINT) AS parent_id, r_name AS path FROM region UNION ALL
   SELECT CAST(n_nationkey + 1000 AS BIGINT), CAST(r_regionkey AS BIGINT), r_name || chr(92) || n_name FROM nation JOIN region ON n_regionkey = r_regionkey)"""
-LINKS = """links AS (SELECT original, event_id AS new FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS original,
-  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE original IS NOT NULL AND rn <= 50)"""
+LINKS = """links AS (SELECT original, event_id AS new FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS original FROM events)
+  WHERE original IS NOT NULL)"""
 CUTS = r"""'[ \t\n\r.,!?;:"''()\[\]{}]+'"""
 POSTINGS = f"""postings AS (SELECT DISTINCT email_id, unnest(list_filter(string_split_regex(lower(body), {CUTS}), lambda x: length(x) >= 3)) AS term FROM emails)"""
