@@ -1,7 +1,8 @@
 """Search over messages: field search, inverted index, boolean and ranked full-text search.
 
 Terms are filtered before any shuffle; posting lists are rows, never arrays, so a frequent term is no large value.
-Query terms are few and literal, so they are pushed into the scan as predicates instead of being joined.
+The functions take postings: those of a stored index (inverted.py), where the terms of a query are pushed into the scan,
+or `postings(messages)`, which splits all texts again, where there is none.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import STORE_CUTS, index_tokens, store_tokens
+from ledgerloom.operators.inverted import having
 
 FIELDS = (("subject", "subject"), ("from", "sender"), ("to", "recipient"), ("body", "body"))
 
@@ -48,39 +50,45 @@ def terms_of(query: str) -> list[str]:
     return list(dict.fromkeys(t for t in re.split(STORE_CUTS, query.lower()) if len(t) >= 3))
 
 
-def search_all(messages: DataFrame, query: str) -> DataFrame:
+def search_all(postings: DataFrame, query: str) -> DataFrame:
     """Messages with all known terms. Unknown terms count for nothing after a known one, and for an empty result before.
 
-    One pass: terms are sought in each message's tokens; which are known is one aggregate over the same matches.
+    One pass over the postings: a message's terms are bits of one number, and the known terms are all bits of all of them.
     """
     terms = terms_of(query)
     if not terms:
-        return messages.select("email_id").where(F.lit(False))
-    found = postings(messages).where(F.col("term").isin(terms))
-    place = F.create_map(*(x for i, t in enumerate(terms) for x in (F.lit(t), F.lit(i))))
-    known = found.select(F.element_at(place, F.col("term")).alias("i")).agg(F.collect_set("i").alias("known"))
-    rule = known.select(F.size("known").alias("need"), F.coalesce(F.array_min("known") == 0, F.lit(False)).alias("ok"))
-    hits = found.groupBy("email_id").agg(F.count("*").alias("n"))
-    return hits.join(F.broadcast(rule), (F.col("n") == F.col("need")) & F.col("ok")).select("email_id")
+        return postings.select("email_id").where(F.lit(False))
+    if len(terms) > 63:
+        raise ValueError("a query has 63 terms at most")
+    place = F.create_map(*(x for i, t in enumerate(terms) for x in (F.lit(t), F.lit(1 << i).cast("long"))))
+    hits = having(postings, terms).groupBy("email_id").agg(F.bit_or(F.element_at(place, F.col("term"))).alias("has"))
+    known = hits.agg(F.coalesce(F.bit_or("has"), F.lit(0).cast("long")).alias("known"))
+    return hits.join(F.broadcast(known), (F.col("has") == F.col("known")) & (F.col("known") % 2 == 1)).select("email_id")
 
 
-def search_any(messages: DataFrame, query: str, limit: int = 50) -> DataFrame:
+def search_any(postings: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """Share of the query's terms that a message has; the best `limit`."""
     terms = terms_of(query)
-    found = postings(messages).where(F.col("term").isin(terms)).groupBy("email_id").agg((F.count("*") / F.lit(float(max(len(terms), 1)))).alias("score"))
+    found = having(postings, terms).groupBy("email_id").agg((F.count("*") / F.lit(float(max(len(terms), 1)))).alias("score"))
     return found.orderBy(F.desc("score"), "email_id").limit(limit)
 
 
-def ranked_search(messages: DataFrame, terms: list[str], limit: int = 50) -> DataFrame:
+def ranked_search(postings: DataFrame, envelopes: DataFrame, terms: list[str], limit: int = 50) -> DataFrame:
     """Share of matched terms, repeats counted, times 1 + block / 1e6 (newer blocks first), with envelopes joined."""
     weight = F.create_map(*(x for t in dict.fromkeys(terms) for x in (F.lit(t), F.lit(terms.count(t)))))
-    hits = index_postings(messages).where(F.col("term").isin(*terms)).groupBy("email_id").agg(F.sum(F.element_at(weight, F.col("term"))).alias("hits"))
+    hits = having(postings, terms).groupBy("email_id").agg(F.sum(F.element_at(weight, F.col("term"))).alias("hits"))
     ranked = hits.select("email_id", (F.col("hits") / F.lit(float(len(terms))) * (1 + F.floor(F.col("email_id") / 100) / 1e6)).alias("score")).orderBy(F.desc("score"), "email_id").limit(limit)
-    return ranked.join(messages.select("email_id", "message_id", "subject", "sender", "folder"), "email_id")
+    return envelopes.join(F.broadcast(ranked), "email_id").select("email_id", "score", "message_id", "subject", "sender", "folder")  # limit rows
 
 
-def advanced_search(messages: DataFrame, sender: str | None = None, recipient: str | None = None, subject: str | None = None, body: str | None = None, folder: str | None = None, least: int | None = None, most: int | None = None) -> DataFrame:
-    """Conjunction of the criteria given; least and most bound write_seq, as dates would. An extension: see README."""
+def advanced_search(
+    messages: DataFrame, sender: str | None = None, recipient: str | None = None, subject: str | None = None, body: str | None = None, folder: str | None = None,
+    start: str | None = None, end: str | None = None, tags: DataFrame | None = None, wanted: tuple[str, ...] = (),
+) -> DataFrame:
+    """Conjunction of the criteria given. start and end bound the column `sent`, both inclusive.
+
+    tags: rows (email_id, label); a message must have all of `wanted`, and needs no tag if none is wanted.
+    """
     out = messages
     for column, value in (("sender", sender), ("recipient", recipient), ("folder", folder)):
         if value is not None:
@@ -88,15 +96,18 @@ def advanced_search(messages: DataFrame, sender: str | None = None, recipient: s
     for column, value in (("subject", subject), ("body", body)):
         if value is not None:
             out = out.where(F.arrays_overlap(store_tokens(F.col(column)), F.array(*map(F.lit, terms_of(value)))))
-    if least is not None:
-        out = out.where(F.col("write_seq") >= least)
-    if most is not None:
-        out = out.where(F.col("write_seq") <= most)
+    if start is not None:
+        out = out.where(F.col("sent") >= F.lit(start).cast("timestamp"))
+    if end is not None:
+        out = out.where(F.col("sent") <= F.lit(end).cast("timestamp"))
+    if wanted and tags is not None:
+        having_all = tags.where(F.col("label").isin(*wanted)).groupBy("email_id").agg(F.count_distinct("label").alias("n")).where(F.col("n") == len(set(wanted)))
+        out = out.join(having_all, "email_id", "left_semi")
     return out.select("email_id")
 
 
-def keyword_search(messages: DataFrame, subject: str = "", sender: str = "", recipient: str = "", keywords: str = "", limit: int = 50) -> DataFrame:
-    return search_any(messages, keywords or " ".join(x for x in (subject, sender, recipient) if x), limit)
+def keyword_search(postings: DataFrame, subject: str = "", sender: str = "", recipient: str = "", keywords: str = "", limit: int = 50) -> DataFrame:
+    return search_any(postings, keywords or " ".join(x for x in (subject, sender, recipient) if x), limit)
 
 
 def indexed_fields(messages: DataFrame) -> DataFrame:

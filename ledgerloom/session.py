@@ -26,20 +26,25 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read from there: its plan doesn't grow, and executors may be lost.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or the one set as checkpoint folder; all executors must share it.
 
-    The folder is the one that spark.checkpoint.dir names; only a local master without one gets a temporary folder.
+    Only a local master without either, as in tests, gets a temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there: its plan doesn't grow, and executors may be lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
