@@ -2,12 +2,13 @@
 
 Each text gets a 256-bit SimHash of its distinct tokens and token pairs (ASCII case ignored): a signed feature hash of
 2,048 slots, then signs of random projections. Texts with equal tokens are one point. Points are dealt to shards by a
-hash of their id; each shard builds one navigable small-world graph, in batches that double, and every point of the
-table is a query to every shard. A search starts from seeds, expands its nearest open nodes, and doubles the width of
-its beam as long as the whole beam lies within `radius` bits. Each shard checks its search against exact search for
-`audit` of its own points and as many of other shards, and builds its graph again with a beam twice as wide while the
-recall of an average query, or of an average one with few hits, is below `recall`. Where shards have EXACT points or
-fewer on average, exact search costs less than a graph of that recall and takes its place; each two shards then meet once.
+hash of their id; each shard builds one navigable small-world graph, and every point of the table is a query to every
+shard. SimHashes of unlike texts lie as far apart as random ones, so a walk from fixed seeds finds no way to a lone
+copy; a search here enters the graph where points agree with the query in all or all but one of some 16 bits, in any
+of `tables` choices of bits. From the nearest entries it expands its nearest open nodes, and doubles the width of its
+beam as long as the whole beam lies within `radius` bits. Each shard checks its search against exact search for `audit`
+of its own points and as many of other shards, and builds its graph again, with a beam twice as wide and twice the
+tables, while the recall of an average query, or of an average one with few hits, is below `recall`.
 
 All hits are candidates, verified by the exact Jaccard similarity of the feature sets and united by alternating stars.
 So that large groups don't need all their pairs, likely ones come first: the spanning tree of least distances of each
@@ -16,8 +17,8 @@ A hit is left out only where verified edges join its ends already. Of the others
 verified groups are verified next, then all that still lie between two groups.
 
 The number of shards depends on the number of points only (500,000 each at most, and 6 at least): work grows with
-points times shards times the width of a beam. Beyond a million queries, several tasks share the queries to a shard,
-each with its own copy of the graph.
+points times shards times the cost of a search, which hardly grows with the shard. Beyond four million queries,
+several tasks share the queries to a shard, each with its own copy of the graph.
 
 Results for edge cases: null and empty texts, and texts without a token, have no copy: each is its own group. Rows
 without an id are left out. Rows that share an id are one document: it's in the group of any of them. Texts with equal
@@ -40,9 +41,9 @@ from ledgerloom.llm.common import cut, keyed, parts
 
 BITS, SLOTS = 256, 2048
 RADIUS, JACCARD = 72, 0.55
-LINKS, BACK, SEEDS, BEAM, OPEN = 16, 32, 512, 16, 4
-FEW, ROWS, EXACT = 4, 100_000, 65_536
-SHARDS, SHARD_POINTS, SLICE_QUERIES, AUDIT, RECALL = 6, 500_000, 1_000_000, 768, 0.95
+LINKS, BACK, SEEDS, BEAM, OPEN, TABLES = 12, 16, 8, 8, 4, 16
+FEW, ROWS, STEP, NEAR, ASKED = 4, 100_000, 1024, 16, 20_000
+SHARDS, SHARD_POINTS, SLICE_QUERIES, AUDIT, RECALL = 6, 500_000, 4_000_000, 768, 0.95
 _FAR = np.int16(999)
 _BLOCKS = "shard int, kind int, ids binary, prints binary"
 _FOUND = "kind int, a long, b long, distance int"
@@ -107,93 +108,144 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Graph:
-    """A navigable small-world graph of points: links to near ones, half of them beyond the radius, and links back."""
+    """A navigable small-world graph of points: links to near ones, half of them beyond the radius, and links back.
 
-    def __init__(self, prints: np.ndarray, radius: int, beam: int) -> None:
-        self.prints, self.radius, self.beam = prints, radius, beam
-        n = len(prints)
+    A search enters it where points agree with the query in all of some `width` bits, or in all but one, of any of
+    `tables` random choices of bits; these entries also give the candidates for links.
+    """
+
+    def __init__(self, prints: np.ndarray, radius: int, beam: int, tables: int) -> None:
+        self.prints, self.radius, self.beam, n = prints, radius, beam, len(prints)
+        self.size, self.width = n, int(np.clip(np.ceil(np.log2(max(n, 2))), 8, 18))
+        rng = np.random.default_rng(77)
+        self.bits = [rng.choice(BITS, self.width, replace=False) for _ in range(tables)]
+        self.flips = np.append(0, 1 << np.arange(self.width)).astype(np.int32)
+        self.order, self.offsets = [], []
+        keys = np.concatenate([self._keys(prints[a : a + ROWS]) for a in range(0, n, ROWS)], axis=1) if n else np.zeros((tables, 0), np.int32)
+        for key in keys:
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            self.order.append(order)
+            self.offsets.append(np.searchsorted(key[order], np.arange((1 << self.width) + 1)).astype(np.int32))
         self.out = np.full((n, LINKS), -1, np.int32)
         self.back = np.full((n, BACK), -1, np.int32)
         self.back_d = np.full((n, BACK), _FAR, np.int16)
-        self.size = min(n, SEEDS)
-        if self.size > 1:
-            d = hamming(prints[: self.size, None], prints[None, : self.size])
-            np.fill_diagonal(d, _FAR)
-            near = np.argsort(d, axis=1, kind="stable")[:, : 3 * LINKS].astype(np.int32)
-            self._link(np.arange(self.size), near, np.take_along_axis(d, near, 1))
-        while self.size < n:
-            batch = np.arange(self.size, min(n, self.size + min(4096, self.size)))
-            ids, d, _ = self.search(prints[batch], build=True)
-            self._link(batch, ids, d)
-            self.size = int(batch[-1]) + 1
-
-    def _link(self, points: np.ndarray, near: np.ndarray, d: np.ndarray) -> None:
-        """near: sorted by distance d. Takes the nearest, then those beyond the radius, up to LINKS."""
-        beyond = d > self.radius
-        rank = np.where(d >= _FAR, 1000, np.arange(near.shape[1]) + np.where(~beyond & (np.cumsum(~beyond, 1) > LINKS // 2), 500, 0))
-        pick = np.argsort(rank, axis=1, kind="stable")[:, :LINKS]
-        chosen, far = np.take_along_axis(near, pick, 1), np.take_along_axis(d, pick, 1)
-        chosen = np.where(far >= _FAR, -1, chosen)
-        self.out[points, : chosen.shape[1]] = chosen
-        at, slot = np.nonzero(chosen >= 0)
-        to, source, dist = chosen[at, slot], points[at].astype(np.int32), far[at, slot]
+        for a in range(0, n, STEP):
+            some = np.arange(a, min(n, a + STEP))
+            q, p, d = self._entries(prints[some])
+            other = some[q] != p
+            self._link(some, q[other], p[other], d[other])
+
+    def _keys(self, points: np.ndarray) -> np.ndarray:
+        """For each table, the number that a point's bits there make."""
+        bits = np.unpackbits(np.ascontiguousarray(points).view(np.uint8).reshape(len(points), -1), axis=1)
+        return np.stack([(bits[:, at].astype(np.int32) << np.arange(self.width, dtype=np.int32)).sum(1, dtype=np.int32) for at in self.bits])
+
+    def _entries(self, queries: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, point, distance): up to SEEDS points for each number of a table that the query's differs from by a bit at most.
+
+        Those within limit bits; without it those within the radius, and of others LINKS for a query on average.
+        """
+        found = []
+        for key, order, offsets in zip(self._keys(queries), self.order, self.offsets):
+            probe = (key[:, None] ^ self.flips).ravel()
+            start = offsets[probe]
+            many = np.minimum(offsets[probe + 1] - start, SEEDS)
+            some = np.flatnonzero(many)
+            many = many[some]
+            ends = np.cumsum(many)
+            p = order[np.repeat(start[some] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)]
+            q = np.repeat(some // len(self.flips), many)
+            d = hamming(queries[q], self.prints[p])
+            if limit is not None:
+                near = np.flatnonzero(d <= limit)
+                q, p, d = q[near], p[near], d[near]
+            found.append((q, p, d))
+        q, p, d = (np.concatenate([f[i] for f in found]) for i in range(3))
+        far = d[d > self.radius] if limit is None else d[:0]
+        if len(far) > LINKS * len(queries):
+            near = np.flatnonzero(d <= np.partition(far, LINKS * len(queries))[LINKS * len(queries)])
+            q, p, d = q[near], p[near], d[near]
+        _, one = np.unique(q * self.size + p, return_index=True)
+        return q[one], p[one], d[one]
+
+    def _nearest(self, n: int, q: np.ndarray, p: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest points of each of n queries and their distances, sorted, `most` at most."""
+        order = np.lexsort((p, d, q))
+        q, p, d = q[order], p[order], d[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = rank < most
+        ids, far = np.full((n, most), -1, np.int32), np.full((n, most), _FAR, np.int16)
+        ids[q[keep], rank[keep]], far[q[keep], rank[keep]] = p[keep], d[keep]
+        return ids, far
+
+    def _link(self, points: np.ndarray, q: np.ndarray, p: np.ndarray, d: np.ndarray) -> None:
+        """Links of points[q] to p at distance d: the nearest, any of those within the radius, and the nearest beyond it.
+
+        Links back go to the nearest that ask for one, and to any others: so that a large group has ways to all of it.
+        """
+        within = d <= self.radius
+        chance = T.mix((points[q].astype(np.uint64) << np.uint64(32)) | p.astype(np.uint64))
+        picks = []
+        for some, by in ((np.arange(len(q)), d), (np.flatnonzero(within), chance), (np.flatnonzero(~within), d)):
+            some = some[np.lexsort((p[some], by[some], q[some]))]
+            some = some[np.arange(len(some)) - np.searchsorted(q[some], q[some]) < LINKS // 3]
+            picks.append(some)
+        pick = np.unique(np.concatenate(picks))
+        q, p, d = q[pick], p[pick], d[pick]
+        self.out[points[q], np.arange(len(q)) - np.searchsorted(q, q)] = p
+        to, source, dist = p, points[q].astype(np.int32), d
         touched = np.unique(to)
         old = self.back[touched]
         have = old >= 0
         to = np.concatenate([to, np.repeat(touched, BACK)[have.ravel()]])
         source = np.concatenate([source, old[have]])
         dist = np.concatenate([dist, self.back_d[touched][have]])
-        order = np.lexsort((source, dist, to))
-        to, source, dist = to[order], source[order], dist[order]
-        heads = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, int)
-        rank = np.arange(len(to)) - np.repeat(heads, np.diff(np.append(heads, len(to))))
-        keep = rank < BACK
         self.back[touched], self.back_d[touched] = -1, _FAR
-        self.back[to[keep], rank[keep]] = source[keep]
-        self.back_d[to[keep], rank[keep]] = dist[keep]
-
-    def search(self, queries: np.ndarray, build: bool = False) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Sorted beams (ids and distances) of all queries, if building, and all hits (query, point, distance)."""
-        step = int(min(1024, max(16, (96 << 20) // max(self.size, 1))))
-        beams, hits = [], []
-        for a in range(0, len(queries), step):
-            ids, d, found = self._search(queries[a : a + step], build, self.beam)
-            if build:
-                order = np.argsort(d, axis=1, kind="stable")
-                beams.append((np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)))
-            hits += [(q + a, p, x) for q, p, x in found]
-        merged = tuple(np.concatenate([h[i] for h in hits]) if hits else np.zeros(0, np.int64) for i in range(3))
-        if not build:
-            return np.zeros(0), np.zeros(0), merged
-        width = max(x.shape[1] for x, _ in beams)
-        pad = lambda x, v: np.pad(x, ((0, 0), (0, width - x.shape[1])), constant_values=v)
-        return np.concatenate([pad(x, -1) for x, _ in beams]), np.concatenate([pad(x, _FAR) for _, x in beams]), merged
-
-    def _search(self, queries: np.ndarray, build: bool, width: int) -> tuple[np.ndarray, np.ndarray, list]:
-        n, again = len(queries), []
-        seen = np.zeros((n, self.size), np.uint8)
-        seeds = min(self.size, SEEDS)
-        d = np.zeros((n, seeds), np.int16)
-        for w in range(queries.shape[1]):
-            d += np.bitwise_count(queries[:, w, None] ^ self.prints[None, :seeds, w])
-        seen[:, :seeds] = 1
+        chance = T.mix((to.astype(np.uint64) << np.uint64(32)) | source.astype(np.uint64))
+        rest = np.arange(len(to))
+        for half, by in ((0, dist), (BACK // 2, chance)):
+            rest = rest[np.lexsort((source[rest], by[rest], to[rest]))]
+            rank = np.arange(len(rest)) - np.searchsorted(to[rest], to[rest])
+            keep = rest[rank < BACK // 2]
+            self.back[to[keep], half + rank[rank < BACK // 2]] = source[keep]
+            self.back_d[to[keep], half + rank[rank < BACK // 2]] = dist[keep]
+            rest = rest[rank >= BACK // 2]
+
+    def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All hits (query, point, distance) of all queries."""
+        step = int(min(STEP, max(16, (96 << 20) // max(self.size, 1))))
+        hits = [(q + a, p, x) for a in range(0, len(queries), step) for q, p, x in self._search(queries[a : a + step])]
+        return tuple(np.concatenate([h[i] for h in hits]) if hits else np.zeros(0, np.int64) for i in range(3))
+
+    def _search(self, queries: np.ndarray) -> list:
+        """A beam begins with entries up to NEAR bits beyond the radius; a query without one has no hit that links lead to."""
+        q, p, d = self._entries(queries, self.radius + NEAR)
+        within = d <= self.radius
+        count, entered = (np.bincount(x, minlength=len(queries)) for x in (q[within], q))
         hits: list = []
-
-        def note(q: np.ndarray, p: np.ndarray, x: np.ndarray) -> None:
-            if len(q):
-                hits.append((q, p.astype(np.int64), x))
-
-        q, p = np.nonzero(d <= self.radius)
-        note(q, p, d[q, p])
-        if seeds > width:
-            ids = np.argpartition(d, width - 1, axis=1)[:, :width].astype(np.int32)
-            d = np.take_along_axis(d, ids, 1)
-        else:
-            ids = np.pad(np.tile(np.arange(seeds, dtype=np.int32), (n, 1)), ((0, 0), (0, width - seeds)), constant_values=-1)
-            d = np.pad(d, ((0, 0), (0, width - seeds)), constant_values=_FAR)
-        done = d >= _FAR
-        final_ids, final_d = ids, d
-        live = np.arange(n)
+        for wide in (False, True):  # where entries alone fill a beam, it starts wider
+            own = np.flatnonzero(((count >= self.beam) == wide) & (entered > 0))
+            if len(own):
+                width = max(self.beam, 2 * int(count[own].max())) if wide else self.beam
+                place = np.full(len(queries), -1)
+                place[own] = np.arange(len(own))
+                mine = place[q] >= 0
+                hits += [(own[a], b, x) for a, b, x in self._walk(queries[own], place[q[mine]], p[mine], d[mine], min(width, max(self.size, 1)))]
+        if not hits:
+            return []
+        q, p, d = (np.concatenate([h[i] for h in hits]) for i in range(3))
+        _, one = np.unique(q * self.size + p, return_index=True)
+        return [(q[one], p[one], d[one])]
+
+    def _walk(self, queries: np.ndarray, q: np.ndarray, p: np.ndarray, x: np.ndarray, width: int) -> list:
+        """Hits of a beam that starts with the nearest entries (q, p, x), and of wider ones where it lies within the radius whole."""
+        n = len(queries)
+        seen = np.zeros((n, self.size), np.uint8)
+        seen[q, p] = 1
+        near = x <= self.radius
+        hits, again = [(q[near], p[near].astype(np.int64), x[near])] if near.any() else [], []
+        ids, d = self._nearest(n, q, p, x, width)
+        done, live = d >= _FAR, np.arange(n)
         while len(live):
             k = min(OPEN, ids.shape[1])
             key = d + np.where(done, np.int16(2000), np.int16(0))
@@ -215,7 +267,8 @@ class Graph:
                 r, c, p, at = r[fresh], c[fresh], p[fresh], at[fresh]
                 x = hamming(queries[at], self.prints[p])
                 close = x <= self.radius
-                note(at[close], p[close], x[close])
+                if close.any():
+                    hits.append((at[close], p[close].astype(np.int64), x[close]))
                 new_d = np.full(some.shape, _FAR, np.int16)
                 new_d[r, c] = x
                 d, ids, done = np.concatenate([d, new_d], 1), np.concatenate([ids, some], 1), np.concatenate([done, new_d >= _FAR], 1)
@@ -224,44 +277,40 @@ class Graph:
             over = done.all(axis=1)
             if not over.any():
                 continue
-            if build:
-                final_ids[live[over]], final_d[live[over]] = ids[over], d[over]
-            elif width < self.size:  # a beam that lies within the radius whole may have dropped hits
-                again.append(live[over & (d.max(axis=1) <= self.radius)])
+            if width < self.size:  # a beam that lies within the radius whole may have dropped hits
+                full = over & (d.max(axis=1) <= self.radius)
+                if full.any():
+                    again.append((live[full], ids[full], d[full]))
             live, ids, d, done = live[~over], ids[~over], d[~over], done[~over]
-        again = np.concatenate(again) if again else np.zeros(0, np.int64)
-        if len(again):
-            hits += [(again[q], p, x) for q, p, x in self._search(queries[again], build, 2 * width)[2]]
-        return final_ids, final_d, hits
+        if again:
+            who = np.concatenate([w for w, _, _ in again])
+            p, x = (np.concatenate([a[i] for a in again]) for i in (1, 2))
+            q = np.repeat(np.arange(len(who)), p.shape[1])
+            hits += [(who[a], b, y) for a, b, y in self._walk(queries[who], q, p.ravel(), x.ravel(), min(2 * width, self.size))]
+        return hits
 
 
 def exact_hits(prints: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All hits, in the order of queries; 64 x 2,048 pairs at a time stay in a core's cache."""
     found = []
-    for a in range(0, len(queries), 16):
-        d = np.zeros((len(queries[a : a + 16]), len(prints)), np.int16)
-        for w in range(prints.shape[1]):
-            d += np.bitwise_count(queries[a : a + 16, w, None] ^ prints[None, :, w])
-        q, p = np.nonzero(d <= radius)
-        found.append((q + a, p, d[q, p]))
+    for a in range(0, len(queries), 64):
+        some = queries[a : a + 64]
+        for b in range(0, len(prints), 2048):
+            d = np.zeros((len(some), len(prints[b : b + 2048])), np.uint16)
+            for w in range(prints.shape[1]):
+                d += np.bitwise_count(some[:, w, None] ^ prints[None, b : b + 2048, w])
+            q, p = np.nonzero(d <= radius)
+            if len(q):
+                found.append((q + a, p + b, d[q, p].astype(np.int16)))
     return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
 
 
-class Exact:
-    """Searched like a graph, point by point."""
-
-    def __init__(self, prints: np.ndarray, radius: int) -> None:
-        self.prints, self.radius = prints, radius
-
-    def search(self, queries: np.ndarray) -> tuple[None, None, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        return None, None, exact_hits(self.prints, queries, self.radius)
-
-
-def audited(prints: np.ndarray, radius: int, beam: int, audit: int, least: float, foreign: np.ndarray | None = None) -> tuple[Graph, float]:
+def audited(prints: np.ndarray, radius: int, beam: int, audit: int, least: float, foreign: np.ndarray | None = None, tables: int = TABLES) -> tuple[Graph, float]:
     """A graph whose search finds the share `least`, averaged by query, of what exact search finds; and that share.
 
     It must be reached by `audit` of its own points, by as many foreign ones, and by those of both that have few hits,
     though one lost query is no proof in a group of under 1 / (1 - least). Else the graph is built again, with a beam
-    twice as wide. The share returned is the least of the three.
+    twice as wide and twice the tables. The share returned is the least of the three.
     """
     n = len(prints)
     sample = np.unique(np.linspace(0, n - 1, min(n, audit)).astype(int))
@@ -275,12 +324,12 @@ def audited(prints: np.ndarray, radius: int, beam: int, audit: int, least: float
     each = np.bincount(true // n, minlength=len(queries))
     groups = [g for g in ((each > 0) & (home >= 0), (each > 0) & (home < 0), (each > 0) & (each <= FEW)) if g.any()]
     while True:
-        graph = Graph(prints, radius, beam)
-        got = np.bincount(np.intersect1d(true, keys(*graph.search(queries)[2]), assume_unique=True) // n, minlength=len(queries))
+        graph = Graph(prints, radius, beam, tables)
+        got = np.bincount(np.intersect1d(true, keys(*graph.search(queries)), assume_unique=True) // n, minlength=len(queries))
         lost = 1 - got / np.maximum(each, 1)
         if beam >= n or all(lost[g].sum() <= max(1.0, (1 - least) * g.sum()) for g in groups):
             return graph, min((1 - lost[g].mean() for g in groups), default=1.0)
-        beam *= 2
+        beam, tables = 2 * beam, 2 * tables
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,9 +351,7 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.nd
     return np.array([find(x) for x in range(n)], np.int64), np.array(chosen, np.int64)
 
 
-def _deal(shards: int, slices: int, once: bool):
-    """once: of each two shards only one gets the points of the other as queries."""
-
+def _deal(shards: int, slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -315,8 +362,8 @@ def _deal(shards: int, slices: int, once: bool):
             part = (T.mix(ids.view(np.uint64) ^ np.uint64(7)) % np.uint64(slices)).astype(np.int32)
             shard, kind, blobs = [], [], []
             for s in range(shards * slices):
-                own, gap = home == s // slices, (home - s // slices) % shards
-                asks = ~own & (part == s % slices) & (not once or (2 * gap < shards) | ((2 * gap == shards) & (home > s // slices)))
+                own = home == s // slices
+                asks = ~own & (part == s % slices)
                 for k, mask in ((0, own), (1, asks)):
                     if mask.any():
                         shard.append(s)
@@ -337,32 +384,29 @@ def _others(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBa
         yield _found(4, a[i : i + ROWS], b[i : i + ROWS], d[i : i + ROWS])
 
 
-def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float, exact: bool = False):
+def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float, tables: int = TABLES):
     """Rows of kind 0: point a is in the component of point b; 1: tree edge; 2: query a's nearest hit b; 3: recall, in ten thousandths; 4: any other hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, prints, asked, graph, shard = [], [], [], None, 0
-        points = roots = np.zeros(0, np.int64)
+        points = np.zeros(0, np.int64)
 
         def start() -> Iterator[pa.RecordBatch]:
-            nonlocal graph, points, roots
+            nonlocal graph, points
             points, own = np.concatenate(ids), np.concatenate(prints)
             order = np.argsort(T.mix(points.view(np.uint64) ^ np.uint64(99)))
             points, own = points[order], own[order]
-            graph, share = (Exact(own, radius), 1.0) if exact else audited(own, radius, beam, audit, least, np.concatenate([own[:0], *(x for _, x in asked)]))
+            graph, share = audited(own, radius, beam, audit, least, np.concatenate([own[:0], *(x for _, x in asked)]), tables)
             if shard % slices:
-                share = None
-            else:
-                yield _found(3, points[:1], points[:1], np.array([round(share * 10_000)]))
-            q, p, d = graph.search(own)[2]
+                return
+            yield _found(3, points[:1], points[:1], np.array([round(share * 10_000)]))
+            q, p, d = graph.search(own)
             pair = q != p
             q, p, d = q[pair], p[pair], d[pair]
             a, b = np.minimum(q, p), np.maximum(q, p)
             _, one = np.unique(a * len(points) + b, return_index=True)
             a, b, d = a[one], b[one], d[one]
             roots, tree = spanning(len(points), a, b, d)
-            if share is None:
-                return
             linked = np.flatnonzero((roots != np.arange(len(points))) | (np.bincount(roots, minlength=len(points)) > 1))
             yield _found(0, points[linked], points[roots[linked]], np.zeros(len(linked)))
             yield _found(1, points[a[tree]], points[b[tree]], d[tree])
@@ -374,11 +418,10 @@ def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float,
             if graph is None:
                 yield from start()
             for i, x in asked:
-                q, p, d = graph.search(x)[2]
-                order = np.lexsort((p, d, roots[p], q))
+                q, p, d = graph.search(x)
+                order = np.lexsort((p, d, q))
                 q, p, d = q[order], p[order], d[order]
-                best = np.ones(len(q), bool)
-                best[1:] = (q[1:] != q[:-1]) | (roots[p[1:]] != roots[p[:-1]])
+                best = np.append(True, q[1:] != q[:-1]) if len(q) else np.zeros(0, bool)
                 if best.any():
                     yield _found(2, i[q[best]], points[p[best]], d[best])
                     yield from _others(i[q[~best]], points[p[~best]], d[~best])
@@ -392,7 +435,7 @@ def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float,
                     prints.append(x)
                 elif ids:
                     asked.append((i, x))
-                    if graph is not None or sum(len(i) for i, _ in asked) >= audit:
+                    if sum(len(i) for i, _ in asked) >= (audit if graph is None else ASKED):
                         yield from answer()
         if ids:
             yield from answer()
@@ -450,22 +493,21 @@ def _points(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed(df, id_col, text_col).mapInArrow(_print, "doc_id long, first long, second long, print binary")
 
 
-def _search(points: DataFrame, radius: int, shards: int | None, beam: int, audit: int, recall: float) -> DataFrame:
+def _search(points: DataFrame, radius: int, shards: int | None, beam: int, audit: int, recall: float, tables: int) -> DataFrame:
     n = points.count()
     s = shards or max(SHARDS, math.ceil(n / SHARD_POINTS))
     slices = math.ceil(n / SLICE_QUERIES) or 1
-    exact = n <= s * EXACT
-    blocks = points.mapInArrow(_deal(s, slices, exact), _BLOCKS).repartitionById(s * slices, F.col("shard")).sortWithinPartitions("shard", "kind")
-    return blocks.mapInArrow(_search_shard(slices, radius, beam, audit, recall, exact), _FOUND)
+    blocks = points.mapInArrow(_deal(s, slices), _BLOCKS).repartitionById(s * slices, F.col("shard")).sortWithinPartitions("shard", "kind")
+    return blocks.mapInArrow(_search_shard(slices, radius, beam, audit, recall, tables), _FOUND)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, jaccard: float = JACCARD, shards: int | None = None, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, jaccard: float = JACCARD, shards: int | None = None, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL, tables: int = TABLES) -> DataFrame:
     """(doc_id, group_id, keep) for every document: the least id of its group of near-duplicates, and whether it's that."""
     prints = cut(_points(df, id_col, text_col))
     points = prints.groupBy("first", "second").agg(F.min("doc_id").alias("doc_id"), F.min("print").alias("print"))
     exact = prints.join(points.select("first", "second", F.col("doc_id").alias("b")), ["first", "second"]).select(F.col("doc_id").alias("a"), "b").where("a <> b")
     points = cut(points.groupBy("doc_id").agg(F.min("print").alias("print")))
-    found = cut(_search(points, radius, shards, beam, audit, recall))
+    found = cut(_search(points, radius, shards, beam, audit, recall, tables))
     part = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("root"))
     cross = found.where("kind = 2").join(part.select(F.col("id").alias("a"), F.col("root").alias("x")), "a", "left").join(part.select(F.col("id").alias("b"), F.col("root").alias("y")), "b", "left")
     cross = cross.withColumns({"x": F.coalesce("x", "a"), "y": F.coalesce("y", "b")}).groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
@@ -494,11 +536,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return everyone.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.coalesce(F.col("root") == F.col("doc_id"), F.lit(True)).alias("keep"))
 
 
-def recall_audit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shards: int | None = None, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL) -> DataFrame:
+def recall_audit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shards: int | None = None, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL, tables: int = TABLES) -> DataFrame:
     """(shard_first, recall): the least share of exact hits, by query, that each shard's search found in what it checked."""
     points = _points(df, id_col, text_col).groupBy("first", "second").agg(F.min("doc_id").alias("doc_id"), F.min("print").alias("print"))
     points = cut(points.groupBy("doc_id").agg(F.min("print").alias("print")))
-    return _search(points, radius, shards, beam, audit, recall).where("kind = 3").select(F.col("a").alias("shard_first"), (F.col("distance") / 10_000).alias("recall"))
+    return _search(points, radius, shards, beam, audit, recall, tables).where("kind = 3").select(F.col("a").alias("shard_first"), (F.col("distance") / 10_000).alias("recall"))
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:

@@ -382,7 +382,7 @@ def test_graph_recall_and_wide_groups():
     group[:, 1] ^= rng.integers(0, 1 << 20, 300, dtype=np.uint64)
     prints = np.unique(np.concatenate([base, near, group]), axis=0)
     graph, share = simhash_graph.audited(prints, simhash_graph.RADIUS, 24, 400, 0.95)
-    q, p, _ = graph.search(prints)[2]
+    q, p, _ = graph.search(prints)
     eq, ep, _ = simhash_graph.exact_hits(prints, prints, simhash_graph.RADIUS)
     found, true = set(zip(q.tolist(), p.tolist())), set(zip(eq.tolist(), ep.tolist()))
     assert share >= 0.95 and found <= true and len(found) / len(true) >= 0.95
