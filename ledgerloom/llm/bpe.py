@@ -16,6 +16,7 @@ are encoded as they are. Ids out of range are refused by decode with an error. E
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
-from ledgerloom.llm.common import keyed
+from ledgerloom.llm.common import keyed, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_PAIRS = 300_000, 2_000_000
 _SCHEMA = "doc_id long, tokens array<int>, n_tokens int, n_bytes int, lossless boolean"
 
 
@@ -84,6 +85,8 @@ class Encoder:
         key = a << 32 | b
         known = self.beside.get(key)
         if known is None:
+            if len(self.beside) >= CACHE_PAIRS:
+                self.beside.clear()
             known = self.beside[key] = self._fits(a, b)
         return known
 
@@ -171,12 +174,14 @@ class Decoder:
         return self.bytes[_ranges(self.start[ids], size)], np.concatenate([[0], np.cumsum(size)])[offsets]
 
 
-_WORKER: dict[int, tuple[Encoder, Decoder]] = {}
+_WORKER: dict[bytes, tuple[Encoder, Decoder]] = {}
 
 
-def _tools(tokens: list[bytes], pattern: str, left: list[int], right: list[int], whole: list[bool]) -> tuple[Encoder, Decoder]:
-    key = hash((len(tokens), tokens[-1], pattern))
+def _tools(key: bytes, tokens: list[bytes], pattern: str, left: list[int], right: list[int], whole: list[bool]) -> tuple[Encoder, Decoder]:
+    """Of a vocabulary, known by a digest of all its tokens, merges and pattern; a worker keeps four at most."""
     if key not in _WORKER:
+        if len(_WORKER) >= 4:
+            _WORKER.clear()
         v = Vocabulary.__new__(Vocabulary)
         v.tokens, v.pattern, v.left, v.right, v.whole = tokens, pattern, left, right, whole
         v.ranks = {t: i for i, t in enumerate(tokens)}
@@ -221,12 +226,13 @@ def _decode(*vocabulary: list):
 
 def _shipped(path: str, pattern: str) -> tuple:
     v = load(path, pattern)
-    return v.tokens, v.pattern, v.left, v.right, v.whole
+    whole = v.tokens, v.pattern, v.left, v.right, v.whole
+    return hashlib.sha256(repr(whole).encode()).digest(), *whole
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, tokens, n_tokens, n_bytes, lossless) for every row; lossless: decoding the tokens gives the text's bytes."""
-    return keyed(df, id_col, text_col).mapInArrow(_encode(*_shipped(vocabulary, pattern)), _SCHEMA)
+    return spread(keyed(df, id_col, text_col)).mapInArrow(_encode(*_shipped(vocabulary, pattern)), _SCHEMA)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:

@@ -3,36 +3,56 @@
 from __future__ import annotations
 
 import math
-import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import cut
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; only a local master without one gets a temporary folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")
-    context.setCheckpointDir(folder)
+__all__ = ["cut", "documents", "fresh", "keyed", "kept", "parts", "spread", "stable"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there: survives the loss of any executor."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint()
+def _only_reads(df: DataFrame) -> bool:
+    plan = str(df._jdf.queryExecution().optimizedPlan().toString())
+    nodes = [line.lstrip(" :+-").split(" ")[0].split("(")[0] for line in plan.splitlines() if line.strip()]
+    return all(n in ("Project", "Filter", "Relation", "LocalRelation") for n in nodes)
 
 
 def stable(df: DataFrame) -> DataFrame:
     """df if its rows come in one order however often a task runs (it only reads, picks and filters), else df cut."""
-    plan = str(df._jdf.queryExecution().optimizedPlan().toString())
-    nodes = [line.lstrip(" :+-").split(" ")[0].split("(")[0] for line in plan.splitlines() if line.strip()]
-    return df if all(n in ("Project", "Filter", "Relation", "LocalRelation") for n in nodes) else cut(df)
+    return df if _only_reads(df) else cut(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that takes long a row: where its files make fewer tasks than there are cores, its rows are dealt out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if _only_reads(df) and df._jdf.rdd().getNumPartitions() < cores else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def kept(df: DataFrame, id_col: str, text_col: str, verdicts: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Rows of df with an id whose verdict, in the column keep of verdicts' rows (doc_id, text), is true; row by row, no shuffle."""
+    at = [df.columns.index(c) for c in (id_col, text_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                number = pa.array(np.arange(batch.num_rows))
+                asked = pa.RecordBatch.from_arrays([number, batch.column(at[1])], ["doc_id", "text"])
+                keep = np.concatenate([v.column("keep").to_numpy(zero_copy_only=False) for v in verdicts(iter([asked]))])
+                yield batch.filter(pa.array(keep & batch.column(at[0]).is_valid().to_numpy(zero_copy_only=False)))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def parts(df: DataFrame, each: int = 10 << 20) -> int:

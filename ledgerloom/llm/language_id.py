@@ -2,7 +2,9 @@
 
 Each language has a codeword of bits; one binary logistic classifier a bit predicts it from hashed n-grams of one to
 three bytes. Decoding sums the logistic loss of all bits against each codeword and takes the language of least loss.
-Where the runner-up is closer than `margin` (mean loss a bit), or the text has no letter, the row is flagged ambiguous.
+Where the runner-up is closer than `margin` (mean loss a bit), or the text has fewer than `letters` letters, the row is
+flagged ambiguous. Letters are those of ASCII, and all other characters but those of the blocks of Latin-1 signs, general
+punctuation to symbols (U+2000 to U+2FFF), CJK punctuation and pictographs.
 
 Training takes a bounded sample of labelled rows: about `per_language` for each label, drawn by a hash of the id, so a
 larger table costs one more pass and no more memory. Up to five languages get the exhaustive code; more get random
@@ -26,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
-from ledgerloom.llm.common import keyed
+from ledgerloom.llm.common import kept, keyed, spread
 
-DIMENSIONS, PER_LANGUAGE, MARGIN, LETTERS, ROWS = 4096, 400, 0.02, 3, 1024
+DIMENSIONS, PER_LANGUAGE, MARGIN, LETTERS, ROWS = 4096, 400, 0.02, 1, 1024
 _SCHEMA = "doc_id long, predicted string, runner_up string, margin double, ambiguous boolean, keep boolean"
 
 #: Letters in lower case, bytes of non-ASCII characters as they are, anything else a space.
@@ -45,11 +47,18 @@ class Model:
     bias: np.ndarray
 
 
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Whether a letter begins at each byte of UTF-8."""
+    second = np.append(data[1:], np.uint8(0)) if len(data) else data
+    signs = (data == 0xC2) | (data == 0xE2) | ((data == 0xE3) & (second == 0x80)) | ((data == 0xF0) & (second == 0x9F))
+    return (((data | 32) >= 97) & ((data | 32) <= 122) & (data < 128)) | ((data >= 0xC2) & ~signs)
+
+
 def features(data: np.ndarray, offsets: np.ndarray, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
     """Square roots of hashed n-gram counts, each row of length 1, and the number of letters of each row."""
     n = len(offsets) - 1
     folded = _FOLD[data]
-    letters = np.diff(np.concatenate([[0], np.cumsum(folded != 32)])[offsets])
+    letters = np.diff(np.concatenate([[0], np.cumsum(_letters(data))])[offsets])
     rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
     counts = np.zeros(n * dimensions, np.int64)
     gram = folded
@@ -149,10 +158,10 @@ def _predict(model: Model | None, margin: float, letters: int):
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", model: Model | None = None, margin: float = MARGIN, letters: int = LETTERS, **sample: int) -> DataFrame:
     """(doc_id, predicted, runner_up, margin, ambiguous, keep) for every row; a model is fitted on df if none is given."""
     model = model or train(df, id_col, text_col, label_col, **sample)
-    return keyed(df, id_col, text_col).mapInArrow(_predict(model, margin, letters), _SCHEMA)
+    return spread(keyed(df, id_col, text_col)).mapInArrow(_predict(model, margin, letters), _SCHEMA)
 
 
-def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """Rows of df whose language is clear; rows without an id go. An id of several rows stays if all of them are clear."""
-    clear = identify(df, id_col, text_col, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.max("ambiguous").alias("__no")).where("not __no").select("__id")
-    return df.join(clear, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_semi")
+def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", model: Model | None = None, margin: float = MARGIN, letters: int = LETTERS, **sample: int) -> DataFrame:
+    """Rows of df whose language is clear, each judged by itself; rows without an id go. All columns stay as they are."""
+    model = model or train(df, id_col, text_col, label_col, **sample)
+    return kept(df, id_col, text_col, _predict(model, margin, letters))

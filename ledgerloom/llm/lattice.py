@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
-from ledgerloom.llm.common import keyed
+from ledgerloom.llm.common import keyed, spread
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 ROUNDS, PRIOR_USES, ZIPF_SHIFT = 1, 1e3, 2.7
@@ -274,7 +274,7 @@ def _expect(v: Pieces):
 
 def corpus_weights(df: DataFrame, v: Pieces, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, prior_uses: float = PRIOR_USES) -> Pieces:
     """Unigram weights after rounds of expectation-maximisation over all words of the table."""
-    words = keyed(df, id_col, text_col).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = spread(keyed(df, id_col, text_col)).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     prior = np.exp(v.log_p) * prior_uses
     for _ in range(rounds):
         uses = prior.copy()
@@ -304,4 +304,4 @@ def _score(v: Pieces):
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, weights: Pieces | None = None, **fit: float) -> DataFrame:
     """(doc_id, n_words, n_bytes, log_prob, bits_per_byte): natural log of the marginal probability, and bits for a byte."""
     v = weights or corpus_weights(df, load(vocabulary), id_col, text_col, **fit)
-    return keyed(df, id_col, text_col).mapInArrow(_score(v), _SCHEMA)
+    return spread(keyed(df, id_col, text_col)).mapInArrow(_score(v), _SCHEMA)

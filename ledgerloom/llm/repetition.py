@@ -22,10 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
-from ledgerloom.llm.common import keyed
+from ledgerloom.llm.common import kept, keyed, spread
 
 LEAST, MAX_FRACTION, MAX_LONGEST, MAX_SHARE = 5, 0.3, 50, 0.5
 _SCHEMA = "doc_id long, n_tokens int, covered_tokens int, longest_repeat int, maximal_repeats int, covered_fraction double, keep boolean"
@@ -152,10 +151,9 @@ def _measure(least: int, max_fraction: float, max_longest: int, max_share: float
 
 def repetition_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, max_fraction: float = MAX_FRACTION, max_longest: int = MAX_LONGEST, max_share: float = MAX_SHARE) -> DataFrame:
     """One row a document: tokens, tokens in repeats, longest repeat, number of maximal repeats, fraction, verdict."""
-    return keyed(df, id_col, text_col).mapInArrow(_measure(least, max_fraction, max_longest, max_share), _SCHEMA)
+    return spread(keyed(df, id_col, text_col)).mapInArrow(_measure(least, max_fraction, max_longest, max_share), _SCHEMA)
 
 
-def keep_unrepetitive(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: float) -> DataFrame:
-    """Rows of df whose text passes; rows without an id go. An id that several rows share stays if all of them pass."""
-    verdict = repetition_rules(df, id_col, text_col, **limits).groupBy(F.col("doc_id").alias("__id")).agg(F.min("keep").alias("__keep")).where("__keep").select("__id")
-    return df.join(verdict, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_semi")
+def keep_unrepetitive(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, max_fraction: float = MAX_FRACTION, max_longest: int = MAX_LONGEST, max_share: float = MAX_SHARE) -> DataFrame:
+    """Rows of df whose text passes, each judged by itself; rows without an id go. All columns stay as they are."""
+    return kept(df, id_col, text_col, _measure(least, max_fraction, max_longest, max_share))

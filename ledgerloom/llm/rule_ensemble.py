@@ -3,8 +3,8 @@
 Statistics of a text are built-in column expressions. Boosted trees on a bounded labelled sample give paths, each a
 conjunction of comparisons of statistics; a lasso logistic regression keeps few of these rules; the model becomes one
 column expression, so scoring is a scan without Python. There are two heads: quality, and toxicity, which also has the
-shares of words that begin like those of two lexicons, which the sample itself gives: beginnings of four characters
-that nearly only toxic rows have, and that toxic rows have three times as often as the whole sample.
+shares of words that begin like those of two lexicons, which the sample itself gives: all beginnings of four characters
+that nearly only toxic rows have, and all that toxic rows have three times as often as the whole sample.
 
 The sample has about `sample` rows of `labels`, drawn by a hash of the id: the bound is this parameter, and what
 reaches the driver are numbers for each sampled row and the lexicon, never texts. Scores and statistics cover all rows.
@@ -17,7 +17,6 @@ score. Null labels are ignored. Extra columns aren't read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,9 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
-from ledgerloom.llm.common import cut, keyed
+from ledgerloom.llm.common import cut, keyed, spread
 
-SAMPLE, TREES, DEPTH, PENALTY, LEXICON, STEM = 6000, 40, 3, 0.004, 64, 4
+SAMPLE, TREES, DEPTH, PENALTY, STEM = 6000, 40, 3, 0.004, 4
 STATISTICS = ("n_chars", "n_words", "word_length", "distinct_words", "upper", "digits", "symbols", "exclamations", "stops", "lines")
 
 
@@ -39,11 +38,20 @@ def words(text: Column) -> Column:
     return F.split(F.lower(text), r"[\s\p{Punct}]+")
 
 
+def _begin(words: Column, stems: list[str]) -> Column:
+    """Number of words that begin like one of the stems: a look-up in a set for each, however many stems there are."""
+    return F.size(F.filter(words, lambda w: F.substring(w, 1, STEM).isin(stems)))
+
+
 def statistics(text: Column, lexicon: dict[str, list[str]] | None = None) -> dict[str, Column]:
-    """Column expressions of a text without nulls; shares are of characters, stops and lines of words."""
+    """Column expressions of a text without nulls; shares are of characters, stops and lines of words.
+
+    One pass over the text leaves the characters that are counted, so each count reads these alone.
+    """
     n, w = F.length(text), words(text)
     many = F.greatest(F.size(w), F.lit(1))
-    share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / F.greatest(n, F.lit(1))
+    few = F.regexp_replace(text, r"[^\p{Lu}0-9|&%$#*<>{}=_~^@\\!.?;:\n]+", "")
+    share = lambda pattern: F.regexp_count(few, F.lit(pattern)) / F.greatest(n, F.lit(1))
     out = {
         "n_chars": n,
         "n_words": F.size(w),
@@ -53,13 +61,11 @@ def statistics(text: Column, lexicon: dict[str, list[str]] | None = None) -> dic
         "digits": share(r"[0-9]"),
         "symbols": share(r"[|&%$#*<>{}=_~^@\\]"),
         "exclamations": share(r"!"),
-        "stops": F.regexp_count(text, F.lit(r"[.?;:]")) / many,
-        "lines": F.regexp_count(text, F.lit(r"\n")) / many,
+        "stops": F.regexp_count(few, F.lit(r"[.?;:]")) / many,
+        "lines": F.regexp_count(few, F.lit(r"\n")) / many,
     }
     for name, stems in (lexicon or {}).items():
-        begins = "|".join(re.escape(x) for x in stems)
-        hits = F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{begins})")) if stems else F.lit(0)
-        out[name] = hits / many
+        out[name] = (_begin(w, stems) if stems else F.lit(0)) / many
     return {k: c.cast("double") for k, c in out.items()}
 
 
@@ -196,10 +202,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     drawn = one.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < min(1 << 20, -(-(sample << 20) // n)))
     drawn = drawn.groupBy("doc_id").agg(F.min("q").alias("q"), F.max("t").alias("t"))
-    rows = keyed(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(drawn, "doc_id")
+    rows = spread(keyed(docs, id_col, text_col)).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(drawn, "doc_id")
     # of near copies one counts, else the words of a text that is copied often would pass for a class's own
     rows = rows.mapInArrow(_least_run, "doc_id long, text string, q double, t double, least long")
-    rows = cut(rows.groupBy("least").agg(F.min(F.struct("doc_id", "q", "t", "text")).alias("r")).select("r.*"))
+    rows = cut(rows.groupBy("least").agg(F.min(F.struct("doc_id", "q", "t", "text")).alias("r")).select("r.*").repartition(docs.sparkSession.sparkContext.defaultParallelism))  # a bounded sample, dealt out
     total = rows.agg(F.count("*").alias("n"), F.sum("t").alias("t")).first()
     if not total["n"]:
         return None
@@ -208,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lexicon = {}
     for name, share in (("listed", max(0.9, base)), ("hinted", min(0.9, 3 * base))):
         stems = seen.where((F.col("t") >= max(3.0, 0.01 * (total["t"] or 0))) & (F.col("t") >= share * F.col("n")))
-        lexicon[name] = sorted(r["w"] for r in stems.orderBy(F.desc("t"), "w").limit(LEXICON).collect())
+        lexicon[name] = sorted(r["w"] for r in stems.collect())
     names = (*STATISTICS, *lexicon)
     facts = rows.select("doc_id", "q", "t", *(c.alias(k) for k, c in statistics(F.col("text"), lexicon).items())).collect()
     facts.sort(key=tuple)
@@ -220,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, threshold: float = 0.5, **options: int) -> DataFrame:
     """(doc_id, quality, toxicity, keep): probabilities, and whether the first reaches and the second misses threshold."""
     model = model or train(docs, labels, id_col, text_col, **options)
-    rows = keyed(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = spread(keyed(docs, id_col, text_col)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if model is None:
         none = F.lit(None).cast("double")
         return rows.select("doc_id", none.alias("quality"), none.alias("toxicity"), F.lit(True).alias("keep"))

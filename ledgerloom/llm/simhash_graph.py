@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
-from ledgerloom.llm.common import cut, keyed, parts
+from ledgerloom.llm.common import cut, fresh, keyed, parts
 
 BITS, SLOTS = 256, 2048
 RADIUS, JACCARD = 72, 0.55
@@ -544,6 +544,12 @@ def recall_audit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """Rows of df that are the first of their group, in the order of the id; of rows that share an id, all stay."""
-    kept = near_duplicates(df, id_col, text_col, **options).where("keep").select(F.col("doc_id").alias("__id"))
-    return df.join(kept, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_semi")
+    """Rows of df that are the first of their group, in the order of the id; rows without an id go.
+
+    Of rows that share an id and text one stays; of those that share an id only, all do.
+    """
+    key, rank = fresh(df, "kept_id"), fresh(df, "kept_rank")
+    first = near_duplicates(df, id_col, text_col, **options).where("keep").select(F.col("doc_id").alias(key))
+    found = df.join(first, F.col(f"`{id_col}`").cast("long") == F.col(f"`{key}`"), "left_semi")
+    again = F.row_number().over(W.partitionBy(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).orderBy(F.lit(0)))
+    return found.withColumn(rank, again).where(F.col(f"`{rank}`") == 1).drop(rank)

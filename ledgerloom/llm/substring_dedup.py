@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import marks as M
 from ledgerloom.llm import text as T
-from ledgerloom.llm.common import keyed, parts, stable
+from ledgerloom.llm.common import fresh, keyed, parts, stable
 
 WIDTH = 40
 #: kind 0: contents with a place each, and bits for those that stand for several; 1: runs (docs, at, size) of later copies.
@@ -108,12 +108,12 @@ def repeated_intervals(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return marks.mapInArrow(M.unite(width), "doc_id long, kind string, start_token int, end_token int")
 
 
-def _cut_out(text_col: str, count_col: str | None):
+def _cut_out(text_col: str, count_col: str | None, spans_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in T.chunks(batches, text_col):
             starts, ends, bounds = T.tokens(data, offsets)
             keep = np.ones(len(data), bool)
-            spans = rows.column("__spans").to_pylist()
+            spans = rows.column(spans_col).to_pylist()
             for i, some in enumerate(spans):
                 for s in some or ():
                     a, b = bounds[i] + s["start_token"], min(bounds[i] + s["end_token"], bounds[i + 1])
@@ -128,7 +128,7 @@ def _cut_out(text_col: str, count_col: str | None):
             if count_col:
                 changed = pa.array([bool(s) for s in spans])
                 out[count_col] = pa.compute.if_else(changed, pa.compute.utf8_length(text).cast(out[count_col].type), out[count_col])
-            del out["__spans"]
+            del out[spans_col]
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return run
@@ -140,9 +140,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows without such intervals, nulls among them, stay as they are, and so do all rows that share an id: their intervals
     are those of the id, not of one of them. A text that is removed whole becomes ''. The text is shuffled once.
     """
-    key = F.col(f"`{id_col}`").cast("long")
+    key, name, spans_col = F.col(f"`{id_col}`").cast("long"), fresh(df, "span_id"), fresh(df, "spans")
     several = df.groupBy(key.alias("doc_id")).count().where("count > 1").select("doc_id")
-    spans = repeated_intervals(df, id_col, text_col, width).where("kind = 'remove'").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_token", "end_token"))).alias("__spans"))
-    spans = spans.join(several, "doc_id", "left_anti").withColumnRenamed("doc_id", "__id")
-    joined = df.join(spans, key == F.col("__id"), "left").drop("__id")
-    return joined.mapInArrow(_cut_out(text_col, "n_chars" if "n_chars" in df.columns else None), df.schema)
+    spans = repeated_intervals(df, id_col, text_col, width).where("kind = 'remove'").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_token", "end_token"))).alias(spans_col))
+    spans = spans.join(several, "doc_id", "left_anti").withColumnRenamed("doc_id", name)
+    joined = df.join(spans, key == F.col(f"`{name}`"), "left").drop(name)
+    return joined.mapInArrow(_cut_out(text_col, "n_chars" if "n_chars" in df.columns else None, spans_col), df.schema)

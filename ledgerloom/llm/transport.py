@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
-from ledgerloom.llm.common import keyed
+from ledgerloom.llm.common import keyed, spread
 
 UNIT, KEY_EVERY, TICKS = 8192, 4, 3600
 TEXT_PID, MAP_PID, TEXT_TYPE, TEXT_STREAM = 0x100, 0x1000, 0x06, 0xBD
@@ -307,7 +307,7 @@ def transport_health(df: DataFrame, id_col: str = "doc_id", stream_col: str = "s
 
 def text_transport_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """transport_index of a stream made from each text, made and parsed in one pass."""
-    return keyed(df, id_col, text_col).mapInArrow(_index(True, "text"), _SCHEMA)
+    return spread(keyed(df, id_col, text_col)).mapInArrow(_index(True, "text"), _SCHEMA)
 
 
 def with_streams(df: DataFrame, text_col: str = "text", stream_col: str = "stream") -> DataFrame:
