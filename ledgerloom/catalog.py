@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("search", "store", "analysis", "ingest")
+MODULES: tuple[str, ...] = ("search", "store", "analysis", "records", "ingest")
 
 
 def _all(name: str) -> dict:

@@ -7,6 +7,7 @@ import hashlib
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
@@ -48,3 +49,28 @@ def gzipped(data: pd.Series) -> pd.Series:
 @F.pandas_udf(BinaryType())
 def gunzipped(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else zlib.decompress(bytes(x), 31))
+
+
+#: Codec ids of block flags. Sizes of what was compressed come from the block's header.
+CODECS = {0: None, 1: "gzip", 2: "lz4", 3: "zstd", 4: "brotli"}
+
+
+def _codec(number: int) -> pa.Codec | None:
+    if number not in CODECS:
+        raise ValueError(f"there is no codec {number}")
+    return pa.Codec(CODECS[number]) if CODECS[number] else None
+
+
+@F.pandas_udf(BinaryType())
+def compressed(data: pd.Series, codec: pd.Series) -> pd.Series:
+    """Data in the codec of each row; an unknown id is an error."""
+    tools = {int(n): _codec(int(n)) for n in codec.unique()}
+    pick = lambda x, n: None if x is None else tools[int(n)].compress(bytes(x), asbytes=True) if tools[int(n)] else bytes(x)
+    return pd.Series([pick(x, n) for x, n in zip(data, codec)])
+
+
+@F.pandas_udf(BinaryType())
+def unpacked(data: pd.Series, codec: pd.Series, size: pd.Series) -> pd.Series:
+    tools = {int(n): _codec(int(n)) for n in codec.unique()}
+    pick = lambda x, n, k: None if x is None else tools[int(n)].decompress(bytes(x), int(k), asbytes=True) if tools[int(n)] else bytes(x)
+    return pd.Series([pick(x, n, k) for x, n, k in zip(data, codec, size)])

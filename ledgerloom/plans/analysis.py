@@ -80,12 +80,6 @@ def _upper_median(s, d):  # noqa: ANN001, ANN202
     return ranked.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("category").agg(F.min("size").alias("median"))
 
 
-def _latency(s, d):  # noqa: ANN001, ANN202
-    e = table(s, d, "events").withColumn("quarter", F.ntile(4).over(W.partitionBy("event_type").orderBy("event_id")))
-    mean = lambda q: F.avg(F.when(F.col("quarter") == q, F.col("value")))
-    return e.groupBy("event_type").agg(F.avg("value").alias("mean"), F.expr("percentile(value, 0.5)").alias("median"), ((mean(4) - mean(1)) / mean(1) * 100).alias("degradation"))
-
-
 def _snapshots(s, d):  # noqa: ANN001, ANN202
     day = table(s, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.sum(F.octet_length("props")).alias("bytes"))
     return day.select("day", "n", "bytes", (F.col("bytes") - F.lag("bytes").over(W.orderBy("day"))).alias("growth"))  # one row a day
@@ -119,7 +113,6 @@ QUERIES = {
     "mnt2_orphans": lambda s, d: I.orphans(O.latest(block_log(s, d)), _references(s, d), ["signup"]).select("block_id", "type"),
     "jn5_orphan_anti_join": lambda s, d: I.orphans(O.latest(block_log(s, d)), _references(s, d), []).select("block_id"),
     "jn6_referenced": lambda s, d: O.latest(block_log(s, d)).join(_references(s, d).distinct(), "block_id", "left_semi").select("block_id"),
-    "mnt3_safe_to_delete": lambda s, d: I.orphans(O.latest(block_log(s, d)).where(F.col("ts") < F.lit("2024-01-10").cast("timestamp")), _references(s, d), ["signup", "purchase"]).select("block_id"),
     "mnt4_compaction": lambda s, d: I.compaction(block_log(s, d)),
     "mnt5_backups": lambda s, d: O.newest(block_log(s, d), "type", "write_seq", 3).where("not pruned").select("type", "write_seq"),
     "mnt6_reindex": lambda s, d: O.latest(block_log(s, d)).select("block_id", "write_seq"),
@@ -130,7 +123,6 @@ QUERIES = {
     "agg11_size_or_time": lambda s, d: ordered_fold(_arrivals(s, d), "user_id", ["event_id"], ["at", "size"], window_step(86_400.0, 50_000), "batch int").select("user_id", "event_id", "batch"),
     "agg12_adaptive_batches": lambda s, d: ordered_fold(_next_mean(s, d), "user_id", ["event_id"], ["size", "mean"], adaptive_step(), "batch int").select("user_id", "event_id", "batch"),
     "agg13_fill_rate": lambda s, d: O.packed(messages(s, d)).groupBy("run", "block_no").agg(F.sum(F.col("size") + 4).alias("used")).groupBy("run").agg((F.sum("used") * 100.0 / (F.count("*") * 65536)).alias("fill_percent")),
-    "agg14_latency": _latency,
     "agg20_snapshots": _snapshots,
     "jn10_both_differences": lambda s, d: S.postings(messages(s, d)).where("term = 'with'").select("email_id").exceptAll(messages(s, d).where("folder = 'src0'").select("email_id")).select("email_id", F.lit("extra").alias("side")).unionByName(messages(s, d).where("folder = 'src0'").select("email_id").exceptAll(S.postings(messages(s, d)).where("term = 'with'").select("email_id")).select("email_id", F.lit("missing").alias("side"))),
 }
@@ -187,7 +179,6 @@ SELECT block_id, CASE WHEN block_id % 2 = 0 THEN payload ELSE saved END AS paylo
     "mnt2_orphans": f"{_L}, {_REF} SELECT block_id, type FROM l WHERE type <> 'signup' AND block_id NOT IN (SELECT ref FROM r WHERE ref IS NOT NULL)",
     "jn5_orphan_anti_join": f"{_L}, {_REF} SELECT block_id FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE ref = block_id)",
     "jn6_referenced": f"{_L}, {_REF} SELECT block_id FROM l WHERE EXISTS (SELECT 1 FROM r WHERE ref = block_id)",
-    "mnt3_safe_to_delete": f"{_L}, {_REF} SELECT block_id FROM l WHERE ts < {_FAR} AND type NOT IN ('signup', 'purchase') AND NOT EXISTS (SELECT 1 FROM r WHERE ref = block_id)",
     "mnt4_compaction": f"""{_L}, z AS (SELECT (SELECT sum(octet_length(encode(payload)) + 61) FROM blocks) AS o, (SELECT sum(octet_length(encode(payload)) + 61) FROM l) AS f)
 SELECT CAST(o AS BIGINT) AS original_size, CAST(f AS BIGINT) AS final_size, CAST(o - f AS BIGINT) AS reclaimed FROM z""",
     "mnt5_backups": f"{_B} SELECT type, write_seq FROM blocks QUALIFY row_number() OVER (PARTITION BY type ORDER BY write_seq DESC) <= 3",
@@ -203,9 +194,6 @@ f AS (SELECT user_id, event_id, rn, 0 AS batch, size AS used FROM z WHERE rn = 1
 CASE WHEN f.used > 0 AND f.used + z.size > z.cap THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.used > 0 AND f.used + z.size > z.cap THEN z.size ELSE f.used + z.size END
 FROM f JOIN z ON z.user_id = f.user_id AND z.rn = f.rn + 1) SELECT user_id, event_id, batch FROM f""",
     "agg13_fill_rate": f"{_pack_sql()}, b AS (SELECT run, block_no, sum(size + 4) AS used FROM f GROUP BY run, block_no) SELECT run, CAST(sum(used) * 100.0 / (count(*) * 65536) AS DOUBLE) AS fill_percent FROM b GROUP BY run",
-    "agg14_latency": """WITH q AS (SELECT *, ntile(4) OVER (PARTITION BY event_type ORDER BY event_id) AS quarter FROM events),
-g AS (SELECT event_type, avg(value) AS mean, quantile_cont(value, 0.5) AS median, avg(value) FILTER (WHERE quarter = 1) AS a, avg(value) FILTER (WHERE quarter = 4) AS b FROM q GROUP BY event_type)
-SELECT event_type, mean, median, (b - a) / a * 100 AS degradation FROM g""",
     "agg20_snapshots": "SELECT day, n, bytes, bytes - lag(bytes) OVER (ORDER BY day) AS growth FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes FROM events GROUP BY 1)",
     "jn10_both_differences": f"""{_M}, p AS (SELECT DISTINCT email_id FROM (SELECT email_id, unnest(string_split_regex(lower(body), {CUTS})) AS term FROM emails) WHERE term = 'with'), e AS (SELECT email_id FROM emails WHERE folder = 'src0')
 SELECT email_id, 'extra' AS side FROM (SELECT email_id FROM p EXCEPT SELECT email_id FROM e) UNION ALL SELECT email_id, 'missing' FROM (SELECT email_id FROM e EXCEPT SELECT email_id FROM p)""",

@@ -87,7 +87,6 @@ QUERIES = {
     "agg15_duplicates": lambda s, d: O.content_duplicates(messages(s, d)),
     "agg16_index_metadata": lambda s, d: messages(s, d).agg(F.max("write_seq").alias("last_updated"), F.count("*").alias("total_indexed"), F.lit(1).alias("version")),
     "agg17_live_count": lambda s, d: O.latest(block_log(s, d)).where("type <> 'error'").agg(F.count("*").alias("n")),
-    "agg18_checksums": lambda s, d: messages(s, d).select((F.crc32("body") == F.crc32(F.concat("body", F.lit("")))).alias("crc_ok")).groupBy("crc_ok").agg(F.count("*").alias("n")),
     "agg19_folder_counters": lambda s, d: messages(s, d).groupBy("folder").agg(F.count_if(F.col("email_id") % 3 == 0).alias("unread"), F.count("*").alias("total")),
     "tk4_last_rows": lambda s, d: block_log(s, d).orderBy(F.desc("write_seq")).limit(15).select("write_seq", "type"),
     "set6_superseded_sources": lambda s, d: block_log(s, d).where("type = 'error'").select("block_id").unionByName(block_log(s, d).where("value > 50").select("block_id")).distinct(),

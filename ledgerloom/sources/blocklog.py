@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,17 +15,26 @@ from ledgerloom.operators.store import latest
 LOG_ENTRY = "timestamp timestamp, operation string, details string, metadata map<string,string>"
 
 
-def magic_positions(spark: SparkSession, path: str, magic: bytes) -> DataFrame:
-    """(file, position) of every occurrence of magic, overlapping ones too, in the files under path."""
+def magic_positions(spark: SparkSession, path: str, magic: bytes, span: int = 64 << 20) -> DataFrame:
+    """(file, position) of every occurrence of magic, overlapping ones too, in the files under path.
+
+    Files are only listed by Spark; ranges of span bytes, which reach into the next by one byte less than magic has, are
+    read where they are searched, so a file of any size is many rows and tasks.
+    """
     pattern = b"(?=" + re.escape(magic) + b")"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                at = [m.start() for m in re.finditer(pattern, content)]
-                yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]] * len(at), pa.string()), pa.array(at, pa.int64())], ["file", "position"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, position long")
+            for name, start, size in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "length"))):
+                system, place = pafs.FileSystem.from_uri(name)
+                with system.open_input_file(place) as file:
+                    content = file.read_at(min(span + len(magic) - 1, size - start), start)
+                at = [start + m.start() for m in re.finditer(pattern, content) if m.start() < span]
+                yield pa.RecordBatch.from_arrays([pa.array([place.rsplit("/", 1)[-1]] * len(at), pa.string()), pa.array(at, pa.int64())], ["file", "position"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    ranges = files.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(span).cast("long"))).alias("start"))
+    return ranges.repartition("path", "start").mapInArrow(run, "file string, position long")
 
 
 def append_blocks(blocks: DataFrame, path: str) -> None:

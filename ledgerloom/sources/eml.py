@@ -57,6 +57,10 @@ def read_eml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_report(parsed: DataFrame) -> DataFrame:
-    """Counts of messages that parsed and that didn't, and the errors as 'file: message'."""
-    bad = F.when(~F.col("ok"), F.concat_ws(": ", "file", "error"))
-    return parsed.agg(F.count_if("ok").alias("imported"), F.count_if(~F.col("ok")).alias("failed"), F.sort_array(F.collect_list(bad)).alias("errors"))
+    """Counts of messages that parsed and that didn't; the errors themselves are rows of import_errors."""
+    return parsed.agg(F.count_if("ok").alias("imported"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+def import_errors(parsed: DataFrame) -> DataFrame:
+    """(error): 'file: message' for each message that didn't parse, a row each."""
+    return parsed.where(~F.col("ok")).select(F.concat_ws(": ", "file", "error").alias("error"))
