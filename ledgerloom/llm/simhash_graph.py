@@ -444,18 +444,25 @@ def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float,
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of each text in rising order, five bytes each."""
     for rows, data, offsets in T.chunks(batches, "text"):
         features, bounds, _, _ = feature_sets(data, offsets)
-        small = features.astype(np.uint32)
+        small = np.ascontiguousarray(features.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([small[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], ["doc_id", "features"])
 
 
+def _features(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _verify(jaccard: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.unique(np.frombuffer(x, np.uint32)), np.unique(np.frombuffer(y, np.uint32))
+                x, y = _features(x), _features(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= jaccard * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -501,8 +508,8 @@ def _search(points: DataFrame, radius: int, shards: int | None, beam: int, audit
     return blocks.mapInArrow(_search_shard(slices, radius, beam, audit, recall, tables), _FOUND)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, jaccard: float = JACCARD, shards: int | None = None, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL, tables: int = TABLES) -> DataFrame:
-    """(doc_id, group_id, keep) for every document: the least id of its group of near-duplicates, and whether it's that."""
+def _groups(df: DataFrame, id_col: str, text_col: str, radius: int, jaccard: float, shards: int | None, beam: int, audit: int, recall: float, tables: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All ids; the root of each that is in a group of several; documents a whose tokens are those of point b; verified links of points."""
     prints = cut(_points(df, id_col, text_col))
     points = prints.groupBy("first", "second").agg(F.min("doc_id").alias("doc_id"), F.min("print").alias("print"))
     exact = prints.join(points.select("first", "second", F.col("doc_id").alias("b")), ["first", "second"]).select(F.col("doc_id").alias("a"), "b").where("a <> b")
@@ -515,14 +522,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = cut(found.where("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(cross).distinct())
     docs = keyed(df, id_col, text_col)
     n = parts(docs)
+    ids = found.where("kind in (1, 2, 4)").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, features binary")
+    sets = cut(sets.groupBy("doc_id").agg(F.min("features").alias("features")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, features binary").groupBy("doc_id").agg(F.min("features").alias("features"))
         joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("features").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("features").alias("y")), "b")
-        return joined.select("a", "b", "x", "y").mapInArrow(_verify(jaccard), "a long, b long")
+        return cut(joined.select("a", "b", "x", "y").mapInArrow(_verify(jaccard), "a long, b long"))
 
-    roots = cut(components(verified(pairs).unionByName(exact).repartition(n, "a")))
+    links = verified(pairs)
+    roots = cut(components(links.unionByName(exact).repartition(n, "a")))
     hits = found.where("kind in (2, 4)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
     for few in (FEW, None):
         hits = cut(_apart(hits, roots).join(pairs, ["a", "b"], "left_anti"))
@@ -531,9 +540,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rank = F.row_number().over(W.partitionBy("x", "y").orderBy("distance", "a", "b"))
         pairs = cut((hits.withColumn("rank", rank).where(F.col("rank") <= few) if few else hits).select("a", "b"))
         hits = hits.select("a", "b", "distance")
-        roots = cut(components(verified(pairs).unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))).repartition(n, "a")))
-    everyone = docs.select("doc_id").distinct()
-    return everyone.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.coalesce(F.col("root") == F.col("doc_id"), F.lit(True)).alias("keep"))
+        more = verified(pairs)
+        links = links.unionByName(more)
+        roots = cut(components(more.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))).repartition(n, "a")))
+    return docs.select("doc_id").distinct(), roots, exact, links
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, jaccard: float = JACCARD, shards: int | None = None, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL, tables: int = TABLES) -> DataFrame:
+    """(doc_id, group_id, keep, n_links) for every document: the least id of its group of near-duplicates, and whether it's that.
+
+    n_links: verified links of its text to other texts. A pair whose texts are joined by verified links already is neither
+    verified nor counted, so a group of k texts has k - 1 links at least and needn't have all of its pairs.
+    """
+    everyone, roots, exact, links = _groups(df, id_col, text_col, radius, jaccard, shards, beam, audit, recall, tables)
+    degree = links.select(F.explode(F.array("a", "b")).alias("point")).groupBy("point").agg(F.count("*").alias("n_links"))
+    point = exact.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("point"))
+    found = everyone.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(point, "doc_id", "left")
+    found = found.select("doc_id", "root", F.coalesce("point", "doc_id").alias("point")).join(degree, "point", "left")
+    keep = F.coalesce(F.col("root") == F.col("doc_id"), F.lit(True))
+    return found.select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), keep.alias("keep"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def recall_audit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shards: int | None = None, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL, tables: int = TABLES) -> DataFrame:
@@ -549,7 +574,9 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Of rows that share an id and text one stays; of those that share an id only, all do.
     """
     key, rank = fresh(df, "kept_id"), fresh(df, "kept_rank")
-    first = near_duplicates(df, id_col, text_col, **options).where("keep").select(F.col("doc_id").alias(key))
+    chosen = {"radius": RADIUS, "jaccard": JACCARD, "shards": None, "beam": BEAM, "audit": AUDIT, "recall": RECALL, "tables": TABLES} | options
+    everyone, roots, _, _ = _groups(df, id_col, text_col, **chosen)
+    first = everyone.join(roots.where("id <> root").withColumnRenamed("id", "doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias(key))
     found = df.join(first, F.col(f"`{id_col}`").cast("long") == F.col(f"`{key}`"), "left_semi")
     again = F.row_number().over(W.partitionBy(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).orderBy(F.lit(0)))
     return found.withColumn(rank, again).where(F.col(f"`{rank}`") == 1).drop(rank)

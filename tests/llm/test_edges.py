@@ -118,7 +118,7 @@ def test_streams(docs, none):
 
 
 def test_near_duplicates(docs, none):
-    assert by_id(simhash_graph.near_duplicates(docs, shards=2), "group_id", "keep") == [*((i, i, True) for i in range(7)), (7, 6, False)]
+    assert by_id(simhash_graph.near_duplicates(docs, shards=2), "group_id", "keep", "n_links") == [*((i, i, True, 0) for i in range(7)), (7, 6, False, 0)]
     kept = simhash_graph.keep_one_of_each(docs, shards=2)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(7))
     again = docs.where("doc_id = 7")
@@ -126,6 +126,14 @@ def test_near_duplicates(docs, none):
     assert simhash_graph.near_duplicates(none).count() == 0 and simhash_graph.keep_one_of_each(none).count() == 0
 
 
+def test_links_of_near_copies(spark):
+    words = TWICE.split()
+    texts = [TWICE, TWICE, " ".join([*words[:59], "z"]), " ".join(["y", *words[1:]]), " ".join(f"u{i}" for i in range(60))]
+    got = by_id(simhash_graph.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=2), "group_id", "n_links")
+    assert [g for _, g, _ in got] == [0, 0, 0, 0, 4] and got[0][2] == got[1][2] and got[4][2] == 0
+    assert sum(n for i, _, n in got if i in (0, 2, 3)) >= 4  # three texts have two links at least
+
+
 def test_pipeline_of_an_empty_table(spark, sf_dir, tmp_path):
     import corpus_pipeline
 
