@@ -52,7 +52,7 @@ def kept(df: DataFrame, id_col: str, text_col: str, verdicts: Callable[[Iterator
                 keep = np.concatenate([v.column("keep").to_numpy(zero_copy_only=False) for v in verdicts(iter([asked]))])
                 yield batch.filter(pa.array(keep & batch.column(at[0]).is_valid().to_numpy(zero_copy_only=False)))
 
-    return df.mapInArrow(run, df.schema)
+    return spread(df).mapInArrow(run, df.schema)
 
 
 def parts(df: DataFrame, each: int = 10 << 20) -> int:

@@ -37,12 +37,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
-from ledgerloom.llm.common import cut, fresh, keyed, parts
+from ledgerloom.llm.common import cut, fresh, keyed, parts, spread
 
 BITS, SLOTS = 256, 2048
 RADIUS, JACCARD = 72, 0.55
 LINKS, BACK, SEEDS, BEAM, OPEN, TABLES = 12, 16, 8, 8, 4, 16
-FEW, ROWS, STEP, NEAR, ASKED = 4, 100_000, 1024, 16, 20_000
+FEW, ROWS, STEP, NEAR, ASKED, EDGES = 4, 100_000, 1024, 16, 20_000, 1 << 19
 SHARDS, SHARD_POINTS, SLICE_QUERIES, AUDIT, RECALL = 6, 500_000, 4_000_000, 768, 0.95
 _FAR = np.int16(999)
 _BLOCKS = "shard int, kind int, ids binary, prints binary"
@@ -470,9 +470,25 @@ def _verify(jaccard: float):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of all nodes of edges (a, b): the least id of each component, by alternating large and small stars."""
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root) of the nodes of edges (u, v), all of them in this one task."""
+    found = [[batch.column(i).to_numpy() for i in range(2)] for batch in batches if batch.num_rows]
+    if found:
+        u, v = (np.concatenate([f[i] for f in found]) for i in range(2))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        at = at.ravel()
+        roots, _ = spanning(len(nodes), at[: len(u)], at[len(u) :], np.zeros(len(u), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots])], ["id", "root"])
+
+
+def components(edges: DataFrame, most: int = EDGES) -> DataFrame:
+    """(id, root) of all nodes of edges (a, b): the least id of each component, by alternating large and small stars.
+
+    Of `most` edges or fewer, which are counted first, one task with union-find finds the same in one pass.
+    """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    if edges.count() <= most:
+        return edges.coalesce(1).mapInArrow(_unite, "id long, root long")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -484,7 +500,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
-            return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
+            ends = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
+            return ends.unionByName(ends.select(F.col("root").alias("id"), "root").distinct())
         mark = now
 
 
@@ -497,7 +514,7 @@ def _apart(hits: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _points(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Print of each document, and, as doc, the least id with the same tokens."""
-    return keyed(df, id_col, text_col).mapInArrow(_print, "doc_id long, first long, second long, print binary")
+    return spread(keyed(df, id_col, text_col)).mapInArrow(_print, "doc_id long, first long, second long, print binary")
 
 
 def _search(points: DataFrame, radius: int, shards: int | None, beam: int, audit: int, recall: float, tables: int) -> DataFrame:

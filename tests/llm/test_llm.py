@@ -410,8 +410,10 @@ def test_small_groups_of_other_shards_beside_a_large_one():
 
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (7, 7)], "a long, b long")
-    got = {r.id: r.root for r in simhash_graph.components(edges).collect()}
-    assert all(got[i] == 0 for i in range(1, 41)) and got[105] == got[103] == 100
+    for most in (0, 100):
+        got = {r.id: r.root for r in simhash_graph.components(edges, most).collect()}
+        assert got == {i: 0 for i in range(41)} | {100: 100, 103: 100, 105: 100}
+    assert simhash_graph.components(edges.where("a = 7")).count() == simhash_graph.components(edges.where("a = 7"), 0).count() == 0
 
 
 # the pipeline
