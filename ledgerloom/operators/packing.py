@@ -114,7 +114,8 @@ def _number(rule: Rule):
 def pack(df: DataFrame, run: Column, order: Column, size: Column, rule: Rule, span: int = SPAN) -> DataFrame:
     """df with run, block_no and local_id added; at most `span` different values of order share a span."""
     long = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
-    rows = df.select("*", run.alias("run")).select("*", F.col("run").alias("__r"), F.floor(long(order) / span).alias("__s"), long(order).alias("__o"), long(size).alias("__z"))
+    rows = df.select("*", run.alias("run")).select("*", F.col("run").alias("__r"), long(order).alias("__o"), long(size).alias("__z"))
+    rows = rows.withColumn("__s", F.expr(f"`__o` div {span}"))
     kind = rows.schema["__r"].dataType.simpleString()
     table = rows.select("__r", "__s", "__o", "__z").groupBy("__r", "__s").applyInArrow(_summary(rule), f"__r {kind}, __s long, {_TABLE}")
     begin = ordered_fold(table, "__r", ["__s"], ["at", "blocks", "used", "local", "rows", "total"], _span_step(rule), "__number long, __held long, __full long")
