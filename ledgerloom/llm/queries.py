@@ -91,10 +91,13 @@ SELECT doc_id, kind, min(p) AS start_token, CAST(max(p) + {width} AS INTEGER) AS
 ORACLE_SQL = {
     "op8_media_columns": """
 WITH t AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS n FROM documents WHERE doc_id IS NOT NULL AND text <> ''),
-u AS (SELECT doc_id, CAST(i AS INTEGER) AS unit, b[i*8192+1:i*8192+8192] AS payload FROM t, unnest(range(0, (n + 8191) // 8192)) AS x(i))
+u AS (SELECT doc_id, CAST(i AS INTEGER) AS unit, b[i*8192+1:i*8192+8192] AS whole, CASE WHEN i % 4 = 0 THEN 163 ELSE 165 END AS head FROM t, unnest(range(0, (n + 8191) // 8192)) AS x(i)),
+v AS (SELECT *, octet_length(whole) AS n, unit % 7 = 3 AND octet_length(whole) > head + 184 AS gap FROM u),
+w AS (SELECT *, CASE WHEN gap THEN whole[1:head] || whole[head+185:n] ELSE whole END AS payload FROM v)
 SELECT doc_id, 1 AS program, 256 AS pid, 6 AS stream_type, unit, 189 AS stream_id, CAST((unit + 1) * 3600 AS BIGINT) AS pts,
        CAST(unit * 3600 AS BIGINT) AS dts, unit % 4 = 0 AS random_access, CAST(octet_length(payload) AS INTEGER) AS size,
-       true AS complete, 0 AS breaks, md5(payload) AS digest FROM u
+       NOT gap AS complete, CASE WHEN gap THEN 1 ELSE 0 END AS breaks, md5(payload) AS digest FROM w
+UNION ALL SELECT doc_id, 2, 257, 15, unit, 192, CAST((unit + 1) * 3600 AS BIGINT), CAST(unit * 3600 AS BIGINT), false, CAST(length('size=' || n) AS INTEGER), true, 0, md5('size=' || n) FROM w
 """,
     "op5_substring_dedup": _repeats(40),
     "op10_suffix_dedup": _repeats(50),

@@ -33,6 +33,7 @@ from ledgerloom.llm.common import keyed, spread
 
 UNIT, KEY_EVERY, TICKS = 8192, 4, 3600
 TEXT_PID, MAP_PID, TEXT_TYPE, TEXT_STREAM = 0x100, 0x1000, 0x06, 0xBD
+NOTE_PID, NOTE_TYPE, NOTE_STREAM, LOSE = 0x101, 0x0F, 0xC0, (7, 3)
 _FIELDS = {
     "doc_id": pa.int64(), "program": pa.int32(), "pid": pa.int32(), "stream_type": pa.int32(), "unit": pa.int32(), "stream_id": pa.int32(),
     "pts": pa.int64(), "dts": pa.int64(), "random_access": pa.bool_(), "size": pa.int32(), "complete": pa.bool_(), "breaks": pa.int32(), "digest": pa.string(),
@@ -82,11 +83,14 @@ def _packet(pid: int, counter: int, payload: bytes, start: bool, key: bool = Fal
 
 
 @lru_cache(maxsize=64)
-def _tables(streams: tuple[tuple[int, int], ...]) -> bytes:
-    programs = _section(0, 1, (1).to_bytes(2, "big") + (0xE000 | MAP_PID).to_bytes(2, "big"))
-    body = (0xE000 | streams[0][0]).to_bytes(2, "big") + b"\xf0\x00" + b"".join(bytes([kind]) + (0xE000 | pid).to_bytes(2, "big") + b"\xf0\x00" for pid, kind in streams)
+def _tables(*programs: tuple[int, int, tuple[tuple[int, int], ...]]) -> bytes:
+    """Packets of the association table and of the map of each program: its number, map PID, and streams (PID, type)."""
     fill = lambda s: (b"\x00" + s).ljust(184, b"\xff")
-    return _packet(0, 0, fill(programs), True) + _packet(MAP_PID, 0, fill(_section(2, 1, body)), True)
+    out = _packet(0, 0, fill(_section(0, 1, b"".join(number.to_bytes(2, "big") + (0xE000 | pid).to_bytes(2, "big") for number, pid, _ in programs))), True)
+    for number, map_pid, streams in programs:
+        body = (0xE000 | streams[0][0]).to_bytes(2, "big") + b"\xf0\x00" + b"".join(bytes([kind]) + (0xE000 | pid).to_bytes(2, "big") + b"\xf0\x00" for pid, kind in streams)
+        out += _packet(map_pid, 0, fill(_section(2, number, body)), True)
+    return out
 
 
 def _stamp(mark: int, ticks: int) -> bytes:
@@ -98,18 +102,27 @@ def elementary(stream_id: int, payload: bytes, pts: int, dts: int) -> bytes:
     return b"\x00\x00\x01" + bytes([stream_id]) + (size if size < 65536 else 0).to_bytes(2, "big") + b"\x80\xc0\x0a" + _stamp(3, pts) + _stamp(1, dts) + payload
 
 
-def mux(data: bytes, unit: int = UNIT, key_every: int = KEY_EVERY) -> bytes:
-    """A stream of one program and one elementary stream: data in units, unit i at dts i * TICKS, pts one later."""
-    out, counter = [_tables(((TEXT_PID, TEXT_TYPE),))], 0
+def mux(data: bytes, unit: int = UNIT, key_every: int = KEY_EVERY, notes: bool = False, lose: tuple[int, int] | None = None) -> bytes:
+    """A stream of data in units, unit i at dts i * TICKS, pts one later.
+
+    notes: a second program follows each unit with a packet that says its size. lose (every, at): of units with that rest
+    by every and three transport packets or more, the second packet is left out.
+    """
+    programs = [(1, MAP_PID, ((TEXT_PID, TEXT_TYPE),))] + ([(2, MAP_PID + 1, ((NOTE_PID, NOTE_TYPE),))] if notes else [])
+    out, counter = [_tables(*programs)], 0
     for i, at in enumerate(range(0, len(data), unit)):
         packet = elementary(TEXT_STREAM, data[at : at + unit], (i + 1) * TICKS, i * TICKS)
         key = i % key_every == 0
         first = 182 if key else 184
         out.append(_packet(TEXT_PID, counter, packet[:first], True, key))
+        gap = lose is not None and i % lose[0] == lose[1] and len(packet) > first + 184
         for p in range(first, len(packet), 184):
             counter += 1
-            out.append(_packet(TEXT_PID, counter, packet[p : p + 184], False))
+            if not gap or p > first:
+                out.append(_packet(TEXT_PID, counter, packet[p : p + 184], False))
         counter += 1
+        if notes:
+            out.append(_packet(NOTE_PID, i, elementary(NOTE_STREAM, b"size=%d" % len(data[at : at + unit]), (i + 1) * TICKS, i * TICKS), True))
     return b"".join(out)
 
 
@@ -266,7 +279,7 @@ def _index(make: bool, column: str):
         for rows, data, offsets in T.chunks(batches, column):
             raw, found = data.tobytes(), []
             for doc, a, b in zip(rows.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                stream = mux(raw[a:b]) if make else raw[a:b]
+                stream = (mux(raw[a:b], notes=True, lose=LOSE) if b > a else b"") if make else raw[a:b]
                 for program, pid, kind, unit, sid, pts, dts, key, payload, whole, breaks in parse(stream)[0]:
                     found.append((doc, program, pid, kind, unit, sid, pts, dts, key, len(payload), whole, breaks, hashlib.md5(payload).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate(_FIELDS.values())], list(_FIELDS))
@@ -306,7 +319,10 @@ def transport_health(df: DataFrame, id_col: str = "doc_id", stream_col: str = "s
 
 
 def text_transport_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """transport_index of a stream made from each text, made and parsed in one pass."""
+    """transport_index of a stream made from each text, made and parsed in one pass.
+
+    Each stream has two programs, of text and of notes on its units, and lacks a packet in one unit of seven (LOSE).
+    """
     return spread(keyed(df, id_col, text_col)).mapInArrow(_index(True, "text"), _SCHEMA)
 
 

@@ -113,7 +113,8 @@ def test_lm(docs, none):
 def test_streams(docs, none):
     got = transport.text_transport_index(docs)
     units = {i: -(-len(t.encode()) // 8192) for i, t in ROWS if t and i is not None}
-    assert {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()} == {i: n * (2 if i == 7 else 1) for i, n in units.items()}
+    assert {(r.doc_id, r.program): r["count"] for r in got.groupBy("doc_id", "program").count().collect()} == {(i, k): n * (2 if i == 7 else 1) for i, n in units.items() for k in (1, 2)}
+    assert got.where("doc_id = 5 and not complete").count() == got.where("doc_id = 5 and breaks = 1").count() == len([i for i in range(units[5]) if i % 7 == 3])
     assert transport.text_transport_index(none).count() == 0
 
 
