@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.hashing import GENESIS, chain_hash, joined_hash
 from ledgerloom.operators.folds import chain_step, ordered_fold
+from ledgerloom.operators.records import ranked
 from ledgerloom.session import cut
 
 HOPS = 100
@@ -70,6 +71,7 @@ def merkle_roots(chain: DataFrame, key: str = "block_id") -> DataFrame:
 
 def existence_proofs(chain: DataFrame, key: str = "block_id") -> DataFrame:
     """Entry, root of its chain and a digest over both that stands for a signature."""
+    chain = cut(chain)  # read twice, folded once
     joined = chain.join(merkle_roots(chain, key), key)
     return joined.select(key, "seq", "block_hash", "chain_hash", "merkle_root", F.sha2(F.concat("block_hash", "chain_hash", "merkle_root"), 256).alias("signature"))
 
@@ -122,8 +124,13 @@ def checkpoint_candidates(log: DataFrame, types: list[str], least_size: int, bef
 
 def checkpoints(log: DataFrame, base: int = 1_000_000_000_000) -> DataFrame:
     """Checkpoint copies of blocks: new ids above base, numbered in write order within their original."""
-    n = F.row_number().over(W.partitionBy("block_id").orderBy("write_seq"))
-    return log.select(F.col("block_id").alias("original_id"), (F.lit(base) + F.col("write_seq")).alias("checkpoint_id"), n.alias("seq"), "payload")
+    return checkpoint_history(log, base).select("original_id", "checkpoint_id", "seq", "payload")
+
+
+def checkpoint_history(log: DataFrame, base: int = 1_000_000_000_000) -> DataFrame:
+    """The same with latest: whether no later one has the same original. A row each, however many an original has."""
+    rows = ranked(log.select("block_id", "write_seq", "payload"), "block_id", "write_seq")
+    return rows.select(F.col("block_id").alias("original_id"), (F.lit(base) + F.col("write_seq")).alias("checkpoint_id"), (F.col("rank") + 1).cast("int").alias("seq"), "payload", (F.col("rank") == F.col("n") - 1).alias("latest"))
 
 
 def recover(blocks: DataFrame, marks: DataFrame, readable: Column) -> DataFrame:

@@ -206,16 +206,21 @@ def quantiles(rows: DataFrame, key: str, value: str, shares: dict[str, float], n
     return found.groupBy("__k", "__n").agg(*out).select(F.col("__k").alias(key), F.col("__n").alias("n"), *shares)
 
 
-def quarters(rows: DataFrame, key: str, order: str, span: int = 1 << 16) -> DataFrame:
-    """rows with quarter, as ntile(4) over each key's rows by order gives it, ranked in ranges of `span` of order."""
-    cut = rows.withColumn("__s", F.floor(F.col(order) / span))
+def ranked(rows: DataFrame, key: str, order: str, span: int = 1 << 16) -> DataFrame:
+    """rows with rank, from 0 by order within each key, and n, the key's rows. Rows are ranked within ranges of `span` of
+    order and the ranges by their counts, so no task holds more of a key than a range. order: whole numbers."""
+    cut = rows.withColumn("__o", F.col(order).cast("long")).withColumn("__s", F.expr(f"__o div {span}"))
     counts = cut.groupBy(key, "__s").agg(F.count("*").alias("__c"))
     w = W.partitionBy(key)
-    begins = counts.select(F.col(key).alias("__k"), F.col("__s").alias("__s2"), (F.sum("__c").over(w.orderBy("__s")) - F.col("__c")).alias("__before"), F.sum("__c").over(w).alias("__n"))
+    begins = counts.select(F.col(key).alias("__k"), F.col("__s").alias("__s2"), (F.sum("__c").over(w.orderBy("__s")) - F.col("__c")).alias("__before"), F.sum("__c").over(w).alias("n"))
     joined = cut.join(begins, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__s") == F.col("__s2")))
     rank = F.col("__before") + F.row_number().over(W.partitionBy(key, "__s").orderBy(order)) - 1
-    each, extra = F.floor(F.col("__n") / 4), F.col("__n") % 4
+    return joined.select(*(F.col(c) for c in rows.columns), rank.alias("rank"), "n")
+
+
+def quarters(rows: DataFrame, key: str, order: str, span: int = 1 << 16) -> DataFrame:
+    """rows with quarter, as ntile(4) over each key's rows by order gives it."""
+    rank, each, extra = F.col("rank"), F.floor(F.col("n") / 4), F.col("n") % 4
     long = extra * (each + 1)  # ranks in the longer quarters
     quarter = F.when(rank < long, F.floor(rank / (each + 1))).otherwise(extra + F.floor((rank - long) / F.greatest(each, F.lit(1))))
-    return joined.select(*(F.col(c) for c in rows.columns), (quarter + 1).cast("int").alias("quarter"))
-
+    return ranked(rows, key, order, span).select(*(F.col(c) for c in rows.columns), (quarter + 1).cast("int").alias("quarter"))

@@ -106,7 +106,7 @@ QUERIES = {
     "ver5_status": lambda s, d: I.block_status(table(s, d, "events").select(F.col("event_id").alias("id")), update_links(s, d), table(s, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("id"))),
     "cp1_checkpoints": lambda s, d: I.checkpoints(I.checkpoint_candidates(block_log(s, d), ["click", "view"], 8, F.lit("2024-01-10").cast("timestamp"))),
     "cp2_recover": lambda s, d: I.recover(O.latest(block_log(s, d)), _marks(s, d), F.col("block_id") % 2 == 0),
-    "cp3_history": lambda s, d: I.checkpoints(block_log(s, d)).groupBy("original_id").agg(F.array_join(F.sort_array(F.collect_list("checkpoint_id")), ",").alias("ids"), F.count("*").alias("n"), F.max("checkpoint_id").alias("latest")),
+    "cp3_history": lambda s, d: I.checkpoint_history(block_log(s, d)).select("original_id", "checkpoint_id", "seq", "latest"),
     "cp4_prune": lambda s, d: O.newest(I.checkpoints(block_log(s, d)), "original_id", "seq", 3).groupBy("original_id").agg(F.count_if("pruned").alias("pruned"), F.count_if(~F.col("pruned")).alias("kept")),
     "tk3_newest": lambda s, d: O.newest(block_log(s, d), "block_id", "write_seq", 3).where("not pruned").select("block_id", "write_seq"),
     "mnt1_superseded": lambda s, d: block_log(s, d).join(O.latest(block_log(s, d)).select("block_id", "write_seq"), ["block_id", "write_seq"], "left_anti").select("block_id", "write_seq", "type"),
@@ -172,7 +172,7 @@ UNION ALL SELECT start, new, hops + 1 FROM h JOIN links ON original = version) S
 FROM blocks WHERE type IN ('click', 'view') AND octet_length(encode(payload)) >= 8 AND ts < {_FAR}""",
     "cp2_recover": f"""{_L}, {_CP}, b AS (SELECT original_id, arg_max(payload, seq) AS saved FROM cp WHERE checkpoint_id % 3 <> 0 GROUP BY original_id)
 SELECT block_id, CASE WHEN block_id % 2 = 0 THEN payload ELSE saved END AS payload, CASE WHEN block_id % 2 = 0 THEN 'block' WHEN saved IS NOT NULL THEN 'checkpoint' ELSE 'lost' END AS source FROM l LEFT JOIN b ON block_id = original_id""",
-    "cp3_history": f"{_B}, {_CP} SELECT original_id, string_agg(CAST(checkpoint_id AS VARCHAR), ',' ORDER BY checkpoint_id) AS ids, count(*) AS n, max(checkpoint_id) AS latest FROM cp GROUP BY original_id",
+    "cp3_history": f"{_B}, {_CP} SELECT original_id, checkpoint_id, seq, checkpoint_id = max(checkpoint_id) OVER (PARTITION BY original_id) AS latest FROM cp",
     "cp4_prune": f"{_B}, {_CP} SELECT original_id, greatest(count(*) - 3, 0) AS pruned, least(count(*), 3) AS kept FROM cp GROUP BY original_id",
     "tk3_newest": f"{_B} SELECT block_id, write_seq FROM blocks QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY write_seq DESC) <= 3",
     "mnt1_superseded": f"{_B} SELECT block_id, write_seq, type FROM blocks QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY write_seq DESC) > 1",

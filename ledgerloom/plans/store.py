@@ -76,7 +76,7 @@ QUERIES = {
     "flt12_seek_forward": lambda s, d: _numbers(s, d).where("o_orderkey >= 500").orderBy("o_orderkey").limit(10),
     "flt12_seek_back": lambda s, d: _numbers(s, d).where("o_orderkey <= 500").orderBy(F.desc("o_orderkey")).limit(10),
     "flt13_mailbox_rules": lambda s, d: messages(s, d).where("not (folder = 'src1' and write_seq < 100)").select("email_id", F.when((F.col("folder") == "src0") & (F.col("write_seq") < 300), "archive").otherwise(F.col("folder")).alias("folder")),
-    "jn1_folder_listing": lambda s, d: messages(s, d).select("folder", "email_id").join(messages(s, d).select("email_id", "subject", "size"), "email_id").select("folder", "email_id", "subject", "size"),
+    "jn1_folder_listing": lambda s, d: _current(s, d).join(messages(s, d).select("email_id", "subject", "size"), "email_id").select("folder", "email_id", "subject", "size"),
     "jn4_data_left_metadata": lambda s, d: messages(s, d).select("email_id", "size").join(table(s, d, "labels").select(F.col("doc_id").alias("email_id"), "quality"), "email_id", "left"),
     "jn9_verify_listing": lambda s, d: _moves(s, d).select("email_id").join(messages(s, d).where("folder = 'src0'").select("email_id"), "email_id", "left_semi"),
     "agg2_store_stats": lambda s, d: O.store_stats(messages(s, d), S.postings(messages(s, d))),
@@ -166,7 +166,7 @@ WHEN x // 10000000000000 = 2 THEN 'Segment' WHEN x // 10000000000000 = 3 THEN 'C
     "flt12_seek_forward": "SELECT o_orderkey FROM orders WHERE o_orderkey >= 500 ORDER BY 1 LIMIT 10",
     "flt12_seek_back": "SELECT o_orderkey FROM orders WHERE o_orderkey <= 500 ORDER BY 1 DESC LIMIT 10",
     "flt13_mailbox_rules": f"{_M} SELECT email_id, CASE WHEN folder = 'src0' AND write_seq < 300 THEN 'archive' ELSE folder END AS folder FROM emails WHERE NOT (folder = 'src1' AND write_seq < 100)",
-    "jn1_folder_listing": f"{_M} SELECT folder, email_id, subject, size FROM emails",
+    "jn1_folder_listing": f"{_CUR} SELECT c.folder, email_id, subject, size FROM c JOIN emails USING (email_id) WHERE email_id % {GONE} <> 0",
     "jn4_data_left_metadata": f"{_M} SELECT email_id, size, quality FROM emails LEFT JOIN labels ON doc_id = email_id",
     "jn9_verify_listing": f"{_M} SELECT email_id FROM emails WHERE email_id % {MOVED} = 0 AND folder = 'src0'",
     "agg2_store_stats": f"""{_M}, {POSTINGS}, p AS (SELECT count(DISTINCT term) AS indexed_words, CAST(sum(length(term) + 8) AS BIGINT) AS index_size FROM postings),
