@@ -16,9 +16,12 @@ __all__ = ["cut", "documents", "fresh", "keyed", "kept", "parts", "spread", "sta
 
 
 def _only_reads(df: DataFrame) -> bool:
-    plan = str(df._jdf.queryExecution().optimizedPlan().toString())
-    nodes = [line.lstrip(" :+-").split(" ")[0].split("(")[0] for line in plan.splitlines() if line.strip()]
-    return all(n in ("Project", "Filter", "Relation", "LocalRelation") for n in nodes)
+    """Whether df's plan reads, picks and filters only: from files, rows of the driver, or the checkpoint folder."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    nodes = [line.lstrip(" :+-").split(" ")[0].split("(")[0] for line in str(plan.toString()).splitlines() if line.strip()]
+    leaves = plan.collectLeaves()
+    written = all(leaf.rdd().isCheckpointed() for leaf in map(leaves.apply, range(leaves.size())) if leaf.nodeName() == "LogicalRDD")
+    return written and all(n in ("Project", "Filter", "Relation", "LocalRelation", "LogicalRDD") for n in nodes)
 
 
 def stable(df: DataFrame) -> DataFrame:
