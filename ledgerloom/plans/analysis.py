@@ -92,24 +92,52 @@ QUERIES = {
     "ch4_verify_chain": lambda s, d: I.chain_summary(_tampered(s, d)),
     "ch5_merkle_roots": lambda s, d: I.merkle_roots(_chain(s, d)),
     "ch6_heads": lambda s, d: I.heads(_chain(s, d)),
-    "ch8_verified_read": lambda s, d: block_log(s, d).join(I.verify_links(_tampered(s, d), also=("write_seq",)).where("hash_ok and link_ok").select("block_id", "write_seq"), ["block_id", "write_seq"]).select("block_id", "write_seq", "type"),
-    "ch9_archive_verification": lambda s, d: I.chain_summary(_chain(s, d)).select((F.col("invalid") == 0).alias("hashes_ok"), (F.col("breaks") == 0).alias("links_ok"), ((F.col("invalid") == 0) & (F.col("breaks") == 0)).alias("valid")),
+    "ch8_verified_read": lambda s, d: (
+        block_log(s, d)
+        .join(I.verify_links(_tampered(s, d), also=("write_seq",)).where("hash_ok and link_ok").select("block_id", "write_seq"), ["block_id", "write_seq"])
+        .select("block_id", "write_seq", "type")
+    ),
+    "ch9_archive_verification": lambda s, d: (
+        I.chain_summary(_chain(s, d))
+        .select((F.col("invalid") == 0).alias("hashes_ok"), (F.col("breaks") == 0).alias("links_ok"), ((F.col("invalid") == 0) & (F.col("breaks") == 0)).alias("valid"))
+    ),
     "ch10_existence_proofs": lambda s, d: I.existence_proofs(_chain(s, d)),
     "snk6_chain_export": lambda s, d: _chain(s, d).where("seq between 2 and 5").select("block_id", "seq", "block_hash", "chain_hash"),
     "snk7_proof_json": lambda s, d: I.heads(_chain(s, d)).select("block_id", F.to_json(F.struct("block_id", "head_hash", "length")).alias("json")),
     "jn7_entry_pairs": lambda s, d: I.entry_pairs(_chain(s, d)),
-    "jn8_chain_entry_or_none": lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("block_id")).join(I.heads(_chain(s, d)), "block_id", "left").select("block_id", "head_hash"),
-    "agg4_archive_stats": lambda s, d: block_log(s, d).groupBy("type").agg(F.count("*").alias("n"), F.max("write_seq").alias("last_seq"), F.max_by("payload", "write_seq").alias("last_payload")),
+    "jn8_chain_entry_or_none": lambda s, d: (
+        table(s, d, "orders")
+        .select(F.col("o_orderkey").alias("block_id"))
+        .join(I.heads(_chain(s, d)), "block_id", "left")
+        .select("block_id", "head_hash")
+    ),
+    "agg4_archive_stats": lambda s, d: (
+        block_log(s, d)
+        .groupBy("type")
+        .agg(F.count("*").alias("n"), F.max("write_seq").alias("last_seq"), F.max_by("payload", "write_seq").alias("last_payload"))
+    ),
     "ver1_updates": lambda s, d: update_links(s, d),
     "ver3_current": lambda s, d: I.current_versions(update_links(s, d), _starts(s, d)),
     "ver4_history": lambda s, d: I.history(update_links(s, d), _starts(s, d)),
-    "ver5_status": lambda s, d: I.block_status(table(s, d, "events").select(F.col("event_id").alias("id")), update_links(s, d), table(s, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("id"))),
-    "cp1_checkpoints": lambda s, d: I.checkpoints(I.checkpoint_candidates(block_log(s, d), ["click", "view"], 8, F.lit("2024-01-10").cast("timestamp"))),
+    "ver5_status": lambda s, d: (
+        I.block_status(table(s, d, "events").select(F.col("event_id").alias("id")), update_links(s, d), table(s, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("id")))
+    ),
+    "cp1_checkpoints": lambda s, d: (
+        I.checkpoints(I.checkpoint_candidates(block_log(s, d), ["click", "view"], 8, F.lit("2024-01-10").cast("timestamp")))
+    ),
     "cp2_recover": lambda s, d: I.recover(O.latest(block_log(s, d)), _marks(s, d), F.col("block_id") % 2 == 0),
     "cp3_history": lambda s, d: I.checkpoint_history(block_log(s, d)).select("original_id", "checkpoint_id", "seq", "latest"),
-    "cp4_prune": lambda s, d: O.newest(I.checkpoints(block_log(s, d)), "original_id", "seq", 3).groupBy("original_id").agg(F.count_if("pruned").alias("pruned"), F.count_if(~F.col("pruned")).alias("kept")),
+    "cp4_prune": lambda s, d: (
+        O.newest(I.checkpoints(block_log(s, d)), "original_id", "seq", 3)
+        .groupBy("original_id")
+        .agg(F.count_if("pruned").alias("pruned"), F.count_if(~F.col("pruned")).alias("kept"))
+    ),
     "tk3_newest": lambda s, d: O.newest(block_log(s, d), "block_id", "write_seq", 3).where("not pruned").select("block_id", "write_seq"),
-    "mnt1_superseded": lambda s, d: block_log(s, d).join(O.latest(block_log(s, d)).select("block_id", "write_seq"), ["block_id", "write_seq"], "left_anti").select("block_id", "write_seq", "type"),
+    "mnt1_superseded": lambda s, d: (
+        block_log(s, d)
+        .join(O.latest(block_log(s, d)).select("block_id", "write_seq"), ["block_id", "write_seq"], "left_anti")
+        .select("block_id", "write_seq", "type")
+    ),
     "mnt2_orphans": lambda s, d: I.orphans(O.latest(block_log(s, d)), _references(s, d), ["signup"]).select("block_id", "type"),
     "jn5_orphan_anti_join": lambda s, d: I.orphans(O.latest(block_log(s, d)), _references(s, d), []).select("block_id"),
     "jn6_referenced": lambda s, d: O.latest(block_log(s, d)).join(_references(s, d).distinct(), "block_id", "left_semi").select("block_id"),
@@ -118,13 +146,39 @@ QUERIES = {
     "mnt6_reindex": lambda s, d: O.latest(block_log(s, d)).select("block_id", "write_seq"),
     "agg7_distribution": _distribution,
     "agg7_upper_median": _upper_median,
-    "agg8_categories": lambda s, d: _sizes(s, d).groupBy("category").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.floor(F.sum("size") / F.count("*")).alias("mean")),
-    "agg10_time_batches": lambda s, d: ordered_fold(_arrivals(s, d), "user_id", ["event_id"], ["at", "size"], window_step(86_400.0), "batch int").select("user_id", "event_id", "batch"),
-    "agg11_size_or_time": lambda s, d: ordered_fold(_arrivals(s, d), "user_id", ["event_id"], ["at", "size"], window_step(86_400.0, 50_000), "batch int").select("user_id", "event_id", "batch"),
-    "agg12_adaptive_batches": lambda s, d: ordered_fold(_next_mean(s, d), "user_id", ["event_id"], ["size", "mean"], adaptive_step(), "batch int").select("user_id", "event_id", "batch"),
-    "agg13_fill_rate": lambda s, d: O.packed(messages(s, d)).groupBy("run", "block_no").agg(F.sum(F.col("size") + 4).alias("used")).groupBy("run").agg((F.sum("used") * 100.0 / (F.count("*") * 65536)).alias("fill_percent")),
+    "agg8_categories": lambda s, d: (
+        _sizes(s, d)
+        .groupBy("category")
+        .agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.floor(F.sum("size") / F.count("*")).alias("mean"))
+    ),
+    "agg10_time_batches": lambda s, d: (
+        ordered_fold(_arrivals(s, d), "user_id", ["event_id"], ["at", "size"], window_step(86_400.0), "batch int")
+        .select("user_id", "event_id", "batch")
+    ),
+    "agg11_size_or_time": lambda s, d: (
+        ordered_fold(_arrivals(s, d), "user_id", ["event_id"], ["at", "size"], window_step(86_400.0, 50_000), "batch int")
+        .select("user_id", "event_id", "batch")
+    ),
+    "agg12_adaptive_batches": lambda s, d: (
+        ordered_fold(_next_mean(s, d), "user_id", ["event_id"], ["size", "mean"], adaptive_step(), "batch int")
+        .select("user_id", "event_id", "batch")
+    ),
+    "agg13_fill_rate": lambda s, d: (
+        O.packed(messages(s, d))
+        .groupBy("run", "block_no")
+        .agg(F.sum(F.col("size") + 4).alias("used"))
+        .groupBy("run")
+        .agg((F.sum("used") * 100.0 / (F.count("*") * 65536)).alias("fill_percent"))
+    ),
     "agg20_snapshots": _snapshots,
-    "jn10_both_differences": lambda s, d: S.postings(messages(s, d)).where("term = 'with'").select("email_id").exceptAll(messages(s, d).where("folder = 'src0'").select("email_id")).select("email_id", F.lit("extra").alias("side")).unionByName(messages(s, d).where("folder = 'src0'").select("email_id").exceptAll(S.postings(messages(s, d)).where("term = 'with'").select("email_id")).select("email_id", F.lit("missing").alias("side"))),
+    "jn10_both_differences": lambda s, d: (
+        S.postings(messages(s, d))
+        .where("term = 'with'")
+        .select("email_id")
+        .exceptAll(messages(s, d).where("folder = 'src0'").select("email_id"))
+        .select("email_id", F.lit("extra").alias("side"))
+        .unionByName(messages(s, d).where("folder = 'src0'").select("email_id").exceptAll(S.postings(messages(s, d)).where("term = 'with'").select("email_id")).select("email_id", F.lit("missing").alias("side")))
+    ),
 }
 
 _L = f"{_B}, l AS (SELECT * FROM blocks QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY write_seq DESC) = 1)"

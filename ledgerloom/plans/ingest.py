@@ -24,11 +24,18 @@ def _faulty(s, d):  # noqa: ANN001, ANN202
 
 
 QUERIES = {
-    "src8_eml_import": lambda s, d: _imported(s, d).select("email_id", "message_id", "subject", "sender", "recipients", "ok", F.sha2(F.rtrim(F.regexp_replace("text_body", r"\s+", " ")), 256).alias("body_hash")),
+    "src8_eml_import": lambda s, d: (
+        _imported(s, d)
+        .select("email_id", "message_id", "subject", "sender", "recipients", "ok", F.sha2(F.rtrim(F.regexp_replace("text_body", r"\s+", " ")), 256).alias("body_hash"))
+    ),
     "src10_import_report": lambda s, d: import_report(_faulty(s, d)),
     "src10_import_errors": lambda s, d: import_errors(_faulty(s, d)),
     "fn18_recipients": lambda s, d: _imported(s, d).select("email_id", "recipients"),
-    "src_events_by_hour": lambda s, d: table(s, d, "events").groupBy(F.date_trunc("hour", F.col("ts")).alias("hour"), "event_type").agg(F.count("*").alias("n")),
+    "src_events_by_hour": lambda s, d: (
+        table(s, d, "events")
+        .groupBy(F.date_trunc("hour", F.col("ts")).alias("hour"), "event_type")
+        .agg(F.count("*").alias("n"))
+    ),
 }
 
 _M = f"WITH {MESSAGES}"

@@ -67,17 +67,32 @@ QUERIES = {
     "ch9_full_verification": lambda s, d: R.archive_report(_frames(s, d), I.chain_summary(_chain(s, d))),
     "flt3_probe": lambda s, d: R.duplicate_probe(O.envelope(messages(s, d)), _labelled(s, d)),
     "flt4_locations": lambda s, d: R.locations(O.packed(messages(s, d)), O.envelope(messages(s, d)), _labelled(s, d)),
-    "flt10_sliding": lambda s, d: O.latest(block_log(s, d)).select("block_id", F.greatest(F.col("ts") + F.expr("interval 1 day"), F.lit("2024-01-25").cast("timestamp") + F.expr("interval 12 hours")).alias("expires")),
-    "flt12_with_deleted": lambda s, d: O.latest(block_log(s, d)).select("block_id", (F.col("type") == "error").alias("deleted")).where("block_id >= 5"),
+    "flt10_sliding": lambda s, d: (
+        O.latest(block_log(s, d))
+        .select("block_id", F.greatest(F.col("ts") + F.expr("interval 1 day"), F.lit("2024-01-25").cast("timestamp") + F.expr("interval 12 hours")).alias("expires"))
+    ),
+    "flt12_with_deleted": lambda s, d: (
+        O.latest(block_log(s, d))
+        .select("block_id", (F.col("type") == "error").alias("deleted"))
+        .where("block_id >= 5")
+    ),
     "tk5_by_sequence": lambda s, d: _chain(s, d).select("block_id", "seq", "write_seq").orderBy("block_id", F.desc("seq")),
     "mut2_all_indexes": lambda s, d: R.index_rows(O.envelope(messages(s, d)), O.packed(messages(s, d))),
     "mut3b_moved_versions": lambda s, d: R.moved_versions(messages(s, d), _moves(s, d)),
-    "mut1_missing_ids": lambda s, d: O.fresh_only(O.identified(_unnamed(s, d)), O.identified(_unnamed(s, d).where("email_id % 4 = 0"))).select("email_id"),
+    "mut1_missing_ids": lambda s, d: (
+        O.fresh_only(O.identified(_unnamed(s, d)), O.identified(_unnamed(s, d).where("email_id % 4 = 0")))
+        .select("email_id")
+    ),
     "agg15_null_bodies": lambda s, d: O.content_duplicates(messages(s, d).withColumn("body", F.when(F.col("email_id") % 9 != 0, F.col("body")))),
     "tx1_transactions": lambda s, d: R.transactions(block_log(s, d), "block_id", "write_seq", (F.col("type") == "error") & (F.col("value") > 90)),
-    "ver2_deletes": lambda s, d: R.deletion_markers(table(s, d, "events").where("event_type = 'error'").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"))),
+    "ver2_deletes": lambda s, d: (
+        R.deletion_markers(table(s, d, "events").where("event_type = 'error'").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq")))
+    ),
     "ch7_chained_writes": lambda s, d: R.chained_writes(I.heads(_chain(s, d)), _incoming(s, d)),
-    "snk7_full_proof": lambda s, d: I.existence_proofs(_chain(s, d)).select("block_id", "seq", F.to_json(F.struct("block_id", "seq", "block_hash", "chain_hash", "merkle_root", "signature")).alias("json")),
+    "snk7_full_proof": lambda s, d: (
+        I.existence_proofs(_chain(s, d))
+        .select("block_id", "seq", F.to_json(F.struct("block_id", "seq", "block_hash", "chain_hash", "merkle_root", "signature")).alias("json"))
+    ),
     "seg2_registry": lambda s, d: R.registry(_ops(s, d), 500),
     "sf9_new_store": lambda s, d: R.new_store(s),
     "sf12_tree_index": lambda s, d: _tree_index(s, d),

@@ -39,8 +39,14 @@ def _dated(s, d):  # noqa: ANN001, ANN202
 
 
 QUERIES = {
-    "fn1_store_tokens": lambda s, d: messages(s, d).select("email_id", F.array_join(F.array_sort(X.store_tokens(F.col("body"))), " ").alias("tokens")),
-    "fn2_index_tokens": lambda s, d: messages(s, d).select("email_id", F.array_join(F.array_sort(X.index_tokens(F.col("body"))), " ").alias("tokens")),
+    "fn1_store_tokens": lambda s, d: (
+        messages(s, d)
+        .select("email_id", F.array_join(F.array_sort(X.store_tokens(F.col("body"))), " ").alias("tokens"))
+    ),
+    "fn2_index_tokens": lambda s, d: (
+        messages(s, d)
+        .select("email_id", F.array_join(F.array_sort(X.index_tokens(F.col("body"))), " ").alias("tokens"))
+    ),
     "fn3_query_terms": lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(X.query_terms(F.col("text")), " ").alias("terms")),
     "fn4_first_term": lambda s, d: table(s, d, "benchmark").select("item_id", X.first_term(F.concat("text", F.lit(" AND x OR y"))).alias("term")),
     "agg1_postings": lambda s, d: S.postings(messages(s, d)).select("term", "email_id"),
@@ -55,7 +61,9 @@ QUERIES = {
     "sr3_unknown_later": lambda s, d: S.search_all(_stored(s, d), "the zzzunknownzzz with"),
     "sr4_search_any": lambda s, d: S.search_any(_stored(s, d), ANY_QUERY),
     "sr5_ranked_search": _ranked,
-    "sr6_advanced_search": lambda s, d: S.advanced_search(_dated(s, d), sender="en", body="the with", start="2024-02-10 00:00:00", end="2024-11-20 00:00:00", tags=_tags(s, d), wanted=("quality-1", "toxic-0")),
+    "sr6_advanced_search": lambda s, d: (
+        S.advanced_search(_dated(s, d), sender="en", body="the with", start="2024-02-10 00:00:00", end="2024-11-20 00:00:00", tags=_tags(s, d), wanted=("quality-1", "toxic-0"))
+    ),
     "sr7_keyword_search": lambda s, d: S.keyword_search(_stored(s, d), subject="tion from", sender="with"),
     "sr8_term_lookup": lambda s, d: _term(s, d, "from").select("email_id"),
     "sr9_indexed_fields": lambda s, d: S.indexed_fields(messages(s, d)),
@@ -63,8 +71,17 @@ QUERIES = {
     "set3_intersection": lambda s, d: _term(s, d, "with").select("email_id").intersect(_term(s, d, "from").select("email_id")),
     "set4_difference": lambda s, d: _term(s, d, "with").select("email_id").exceptAll(_term(s, d, "from").select("email_id")),
     "set5_distinct_terms": lambda s, d: S.postings(messages(s, d)).select("term").distinct(),
-    "jn2_hits_with_metadata": lambda s, d: _term(s, d, "from").join(messages(s, d).select("email_id", "folder", "size"), "email_id").select("email_id", "folder", "size"),
-    "jn3_hits_by_block": lambda s, d: _term(s, d, "from").select("email_id", F.floor(F.col("email_id") / 100).alias("block_id")).groupBy("block_id").agg(F.count("*").alias("n_hits"), F.min("email_id").alias("first_id")),
+    "jn2_hits_with_metadata": lambda s, d: (
+        _term(s, d, "from")
+        .join(messages(s, d).select("email_id", "folder", "size"), "email_id")
+        .select("email_id", "folder", "size")
+    ),
+    "jn3_hits_by_block": lambda s, d: (
+        _term(s, d, "from")
+        .select("email_id", F.floor(F.col("email_id") / 100).alias("block_id"))
+        .groupBy("block_id")
+        .agg(F.count("*").alias("n_hits"), F.min("email_id").alias("first_id"))
+    ),
     "tk2_first_n": lambda s, d: messages(s, d).select("email_id", "folder").orderBy("email_id").limit(25),
 }
 

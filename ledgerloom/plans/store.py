@@ -41,69 +41,173 @@ QUERIES = {
     "src1_log_scan": lambda s, d: O.valid_prefix(block_log(s, d), F.col("value") > 60).select("block_id", "write_seq", "type"),
     "src3_point_read": lambda s, d: O.latest(block_log(s, d).where("block_id = 42")).select("block_id", "write_seq", "type", "payload"),
     "src4_locations": lambda s, d: O.latest(block_log(s, d)).select("block_id", "write_seq", F.octet_length("payload").alias("length")),
-    "src5_packed_read": lambda s, d: O.packed(messages(s, d)).where("block_no = 1 and local_id < 3").select("run", "block_no", "local_id", "email_id"),
+    "src5_packed_read": lambda s, d: (
+        O.packed(messages(s, d))
+        .where("block_no = 1 and local_id < 3")
+        .select("run", "block_no", "local_id", "email_id")
+    ),
     "src7_batch_decode": lambda s, d: O.decode_batches(O.batch_blocks(O.packed(messages(s, d)))),
     "src11_migrate_type": lambda s, d: block_log(s, d).where("type = 'purchase'").select("block_id", "write_seq", "payload"),
-    "src12_assessment": lambda s, d: block_log(s, d).groupBy("type").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("bytes"), (F.sum(F.octet_length("payload")) * 1.03).alias("estimated_bytes"), (F.count("*") * 0.01).alias("estimated_seconds")),
+    "src12_assessment": lambda s, d: (
+        block_log(s, d)
+        .groupBy("type")
+        .agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("bytes"), (F.sum(F.octet_length("payload")) * 1.03).alias("estimated_bytes"), (F.count("*") * 0.01).alias("estimated_seconds"))
+    ),
     "snk2_packed_append": lambda s, d: O.packed(messages(s, d)),
     "snk3_batch_blocks": lambda s, d: O.batch_blocks(O.packed(messages(s, d))).select("run", "block_no", F.size("toc").alias("n"), "used"),
-    "snk8_log_tail": lambda s, d: block_log(s, d).select("write_seq", F.from_json("payload", "k int").k.alias("k")).where("k is not null").orderBy(F.desc("write_seq")).limit(20),
-    "fn5_preview": lambda s, d: messages(s, d).select("email_id", X.preview(F.col("subject"), F.col("sender"), F.lit("2024-03-05").cast("date")).alias("preview")),
+    "snk8_log_tail": lambda s, d: (
+        block_log(s, d)
+        .select("write_seq", F.from_json("payload", "k int").k.alias("k"))
+        .where("k is not null")
+        .orderBy(F.desc("write_seq"))
+        .limit(20)
+    ),
+    "fn5_preview": lambda s, d: (
+        messages(s, d)
+        .select("email_id", X.preview(F.col("subject"), F.col("sender"), F.lit("2024-03-05").cast("date")).alias("preview"))
+    ),
     "fn6_envelope_hash": lambda s, d: O.envelope(messages(s, d)).select("email_id", "envelope_hash"),
     "fn7_content_hash": lambda s, d: messages(s, d).select("email_id", H.content_hash(F.col("body")).alias("content_hash")),
-    "fn8_message_ids": lambda s, d: messages(s, d).select("email_id", H.message_id(F.concat("message_id", "subject", "sender", "recipient")).alias("hashed_id")),
-    "fn9_compound_keys": lambda s, d: _numbers(s, d).select(X.compound_key(F.floor(F.col("o_orderkey") / 10), F.col("o_orderkey") % 10).alias("key")).select("key", X.parse_key(F.col("key")).block.alias("block"), X.parse_key(F.col("key")).local.alias("local")),
+    "fn8_message_ids": lambda s, d: (
+        messages(s, d)
+        .select("email_id", H.message_id(F.concat("message_id", "subject", "sender", "recipient")).alias("hashed_id"))
+    ),
+    "fn9_compound_keys": lambda s, d: (
+        _numbers(s, d)
+        .select(X.compound_key(F.floor(F.col("o_orderkey") / 10), F.col("o_orderkey") % 10).alias("key"))
+        .select("key", X.parse_key(F.col("key")).block.alias("block"), X.parse_key(F.col("key")).local.alias("local"))
+    ),
     "fn10_crc32": lambda s, d: messages(s, d).select("email_id", F.crc32("body").alias("crc")),
-    "fn11_codec_flags": lambda s, d: _numbers(s, d).select("o_orderkey", X.with_codec(F.col("o_orderkey").cast("int"), (F.col("o_orderkey") % 5).cast("int")).alias("flags")).select("o_orderkey", "flags", X.codec_of(F.col("flags")).alias("codec")),
+    "fn11_codec_flags": lambda s, d: (
+        _numbers(s, d)
+        .select("o_orderkey", X.with_codec(F.col("o_orderkey").cast("int"), (F.col("o_orderkey") % 5).cast("int")).alias("flags"))
+        .select("o_orderkey", "flags", X.codec_of(F.col("flags")).alias("codec"))
+    ),
     "fn12_block_type": lambda s, d: _numbers(s, d).select("o_orderkey", X.block_type((F.col("o_orderkey") - 1) * 7_000_000_000).alias("type")),
     "fn13_block_size": lambda s, d: _numbers(s, d).select("o_orderkey", X.adaptive_block_mb(F.col("o_orderkey") * 100_000_000).alias("mb")),
     "fn14_segment_group": lambda s, d: _numbers(s, d).select("o_orderkey", X.segment_group(F.col("o_orderkey")).alias("grp")),
-    "fn15_folder_paths": lambda s, d: folder_tree(s, d).select("path", X.folder_parent(F.col("path")).alias("parent"), X.folder_name(F.col("path")).alias("name"), X.folder_join(F.col("path"), F.lit("x")).alias("child"), X.folder_valid(F.col("path")).alias("valid")),
-    "fn16_gzip_round_trip": lambda s, d: messages(s, d).select("email_id", F.col("body").cast("binary").alias("raw")).select("email_id", "raw", H.gunzipped(H.gzipped(F.col("raw"))).alias("back")).select("email_id", (F.col("raw") == F.col("back")).alias("same")),
-    "fn17_json_payload": lambda s, d: block_log(s, d).select("write_seq", F.to_json(F.struct(F.col("block_id").alias("blockId"), F.col("type"))).alias("json")).select("write_seq", F.get_json_object("json", "$.blockId").cast("long").alias("block_id"), F.get_json_object("json", "$.type").alias("type")),
+    "fn15_folder_paths": lambda s, d: (
+        folder_tree(s, d)
+        .select("path", X.folder_parent(F.col("path")).alias("parent"), X.folder_name(F.col("path")).alias("name"), X.folder_join(F.col("path"), F.lit("x")).alias("child"), X.folder_valid(F.col("path")).alias("valid"))
+    ),
+    "fn16_gzip_round_trip": lambda s, d: (
+        messages(s, d)
+        .select("email_id", F.col("body").cast("binary").alias("raw"))
+        .select("email_id", "raw", H.gunzipped(H.gzipped(F.col("raw"))).alias("back"))
+        .select("email_id", (F.col("raw") == F.col("back")).alias("same"))
+    ),
+    "fn17_json_payload": lambda s, d: (
+        block_log(s, d)
+        .select("write_seq", F.to_json(F.struct(F.col("block_id").alias("blockId"), F.col("type"))).alias("json"))
+        .select("write_seq", F.get_json_object("json", "$.blockId").cast("long").alias("block_id"), F.get_json_object("json", "$.type").alias("type"))
+    ),
     "fn19_utf8_bytes": lambda s, d: messages(s, d).select("email_id", X.utf8_bytes(F.col("body")).alias("bytes")),
     "fn20_human_bytes": lambda s, d: _numbers(s, d).select("o_orderkey", X.human_bytes(F.col("o_orderkey") * 100_000).alias("size")),
     "flt1_get_by_id": lambda s, d: messages(s, d).where("email_id = 77").select("email_id", "folder", "subject"),
     "flt2_get_by_message_id": lambda s, d: messages(s, d).where("message_id = 'doc-99'").select("email_id", "message_id"),
     "flt3_get_by_envelope": lambda s, d: O.envelope(messages(s, d)).where(F.col("envelope_hash").startswith("0")).select("email_id", "envelope_hash"),
     "flt5_contains": lambda s, d: messages(s, d).where(F.instr(F.lower("body"), "tion") > 0).select("email_id"),
-    "flt6_archive_search": lambda s, d: block_log(s, d).where(F.col("ts").between(F.lit("2024-01-02").cast("timestamp"), F.lit(CUT).cast("timestamp")) & (F.col("type") == "click") & F.get_json_object("payload", "$.k").isNotNull()).select("block_id", "write_seq"),
-    "flt7_checkpoint_filter": lambda s, d: block_log(s, d).where(F.col("type").isin("click", "view") & (F.octet_length("payload") >= 9) & (F.col("ts") < F.lit(CUT).cast("timestamp"))).select("write_seq"),
-    "flt8_retention": lambda s, d: block_log(s, d).where(F.col("ts") < F.lit(CUT).cast("timestamp") - F.expr("interval 24 hours")).select("write_seq"),
+    "flt6_archive_search": lambda s, d: (
+        block_log(s, d)
+        .where(F.col("ts").between(F.lit("2024-01-02").cast("timestamp"), F.lit(CUT).cast("timestamp")) & (F.col("type") == "click") & F.get_json_object("payload", "$.k").isNotNull())
+        .select("block_id", "write_seq")
+    ),
+    "flt7_checkpoint_filter": lambda s, d: (
+        block_log(s, d)
+        .where(F.col("type").isin("click", "view") & (F.octet_length("payload") >= 9) & (F.col("ts") < F.lit(CUT).cast("timestamp")))
+        .select("write_seq")
+    ),
+    "flt8_retention": lambda s, d: (
+        block_log(s, d)
+        .where(F.col("ts") < F.lit(CUT).cast("timestamp") - F.expr("interval 24 hours"))
+        .select("write_seq")
+    ),
     "flt9_children": lambda s, d: O.children(folder_tree(s, d), "ASIA").select("path"),
-    "flt10_live_pairs": lambda s, d: O.key_values(block_log(s, d), F.col("type") == "error", F.col("ts") + F.expr("interval 1 day") <= F.lit("2024-01-02").cast("timestamp")).select("block_id", "write_seq"),
-    "flt11_outdated": lambda s, d: block_log(s, d).join(block_log(s, d).groupBy("block_id").agg(F.max("write_seq").alias("write_seq")), ["block_id", "write_seq"], "left_anti").select("block_id", "write_seq"),
+    "flt10_live_pairs": lambda s, d: (
+        O.key_values(block_log(s, d), F.col("type") == "error", F.col("ts") + F.expr("interval 1 day") <= F.lit("2024-01-02").cast("timestamp"))
+        .select("block_id", "write_seq")
+    ),
+    "flt11_outdated": lambda s, d: (
+        block_log(s, d)
+        .join(block_log(s, d).groupBy("block_id").agg(F.max("write_seq").alias("write_seq")), ["block_id", "write_seq"], "left_anti")
+        .select("block_id", "write_seq")
+    ),
     "flt12_seek_forward": lambda s, d: _numbers(s, d).where("o_orderkey >= 500").orderBy("o_orderkey").limit(10),
     "flt12_seek_back": lambda s, d: _numbers(s, d).where("o_orderkey <= 500").orderBy(F.desc("o_orderkey")).limit(10),
-    "flt13_mailbox_rules": lambda s, d: messages(s, d).where("not (folder = 'src1' and write_seq < 100)").select("email_id", F.when((F.col("folder") == "src0") & (F.col("write_seq") < 300), "archive").otherwise(F.col("folder")).alias("folder")),
-    "jn1_folder_listing": lambda s, d: _current(s, d).join(messages(s, d).select("email_id", "subject", "size"), "email_id").select("folder", "email_id", "subject", "size"),
-    "jn4_data_left_metadata": lambda s, d: messages(s, d).select("email_id", "size").join(table(s, d, "labels").select(F.col("doc_id").alias("email_id"), "quality"), "email_id", "left"),
-    "jn9_verify_listing": lambda s, d: _moves(s, d).select("email_id").join(messages(s, d).where("folder = 'src0'").select("email_id"), "email_id", "left_semi"),
+    "flt13_mailbox_rules": lambda s, d: (
+        messages(s, d)
+        .where("not (folder = 'src1' and write_seq < 100)")
+        .select("email_id", F.when((F.col("folder") == "src0") & (F.col("write_seq") < 300), "archive").otherwise(F.col("folder")).alias("folder"))
+    ),
+    "jn1_folder_listing": lambda s, d: (
+        _current(s, d)
+        .join(messages(s, d).select("email_id", "subject", "size"), "email_id")
+        .select("folder", "email_id", "subject", "size")
+    ),
+    "jn4_data_left_metadata": lambda s, d: (
+        messages(s, d)
+        .select("email_id", "size")
+        .join(table(s, d, "labels").select(F.col("doc_id").alias("email_id"), "quality"), "email_id", "left")
+    ),
+    "jn9_verify_listing": lambda s, d: (
+        _moves(s, d)
+        .select("email_id")
+        .join(messages(s, d).where("folder = 'src0'").select("email_id"), "email_id", "left_semi")
+    ),
     "agg2_store_stats": lambda s, d: O.store_stats(messages(s, d), S.postings(messages(s, d))),
-    "agg3_simple_stats": lambda s, d: messages(s, d).agg(F.count("*").alias("emails"), (F.count("*") * 4).alias("search_indexes"), F.count_distinct("folder").alias("folders")),
+    "agg3_simple_stats": lambda s, d: (
+        messages(s, d)
+        .agg(F.count("*").alias("emails"), (F.count("*") * 4).alias("search_indexes"), F.count_distinct("folder").alias("folders"))
+    ),
     "agg5_latest": lambda s, d: O.latest(block_log(s, d)).select("block_id", "write_seq", "type", "value"),
-    "agg9_greedy_packing": lambda s, d: O.packed(messages(s, d)).groupBy("run", "block_no").agg(F.count("*").alias("n"), F.sum(F.col("size") + 4).alias("used")),
+    "agg9_greedy_packing": lambda s, d: (
+        O.packed(messages(s, d))
+        .groupBy("run", "block_no")
+        .agg(F.count("*").alias("n"), F.sum(F.col("size") + 4).alias("used"))
+    ),
     "agg9b_batch_packing": lambda s, d: O.batched(messages(s, d)),
     "agg15_duplicates": lambda s, d: O.content_duplicates(messages(s, d)),
-    "agg16_index_metadata": lambda s, d: messages(s, d).agg(F.max("write_seq").alias("last_updated"), F.count("*").alias("total_indexed"), F.lit(1).alias("version")),
+    "agg16_index_metadata": lambda s, d: (
+        messages(s, d)
+        .agg(F.max("write_seq").alias("last_updated"), F.count("*").alias("total_indexed"), F.lit(1).alias("version"))
+    ),
     "agg17_live_count": lambda s, d: O.latest(block_log(s, d)).where("type <> 'error'").agg(F.count("*").alias("n")),
-    "agg19_folder_counters": lambda s, d: messages(s, d).groupBy("folder").agg(F.count_if(F.col("email_id") % 3 == 0).alias("unread"), F.count("*").alias("total")),
+    "agg19_folder_counters": lambda s, d: (
+        messages(s, d)
+        .groupBy("folder")
+        .agg(F.count_if(F.col("email_id") % 3 == 0).alias("unread"), F.count("*").alias("total"))
+    ),
     "tk4_last_rows": lambda s, d: block_log(s, d).orderBy(F.desc("write_seq")).limit(15).select("write_seq", "type"),
-    "set6_superseded_sources": lambda s, d: block_log(s, d).where("type = 'error'").select("block_id").unionByName(block_log(s, d).where("value > 50").select("block_id")).distinct(),
+    "set6_superseded_sources": lambda s, d: (
+        block_log(s, d)
+        .where("type = 'error'")
+        .select("block_id")
+        .unionByName(block_log(s, d).where("value > 50").select("block_id"))
+        .distinct()
+    ),
     "mut1_store": lambda s, d: O.fresh_only(messages(s, d), messages(s, d).where(F.col("email_id") % 5 < 2)).select("email_id", "message_id"),
     "mut2_envelopes": lambda s, d: O.envelope(messages(s, d)).select("email_id", "message_id", "folder", "sender", "size", "envelope_hash"),
     "mut3_move": lambda s, d: O.current_folder(messages(s, d), _moves(s, d), messages(s, d).where("false")),
     "mut4_delete": lambda s, d: _current(s, d),
     "mut5_labels": lambda s, d: O.labels_of(_labels(s, d)),
     "fld1_create": lambda s, d: O.create_folders(folder_tree(s, d), _wanted(s, d)),
-    "fld2_delete": lambda s, d: O.delete_folders(folder_tree(s, d), folder_tree(s, d).where("folder_id % 2 = 0").select(F.col("path").alias("folder")), _wanted(s, d)),
+    "fld2_delete": lambda s, d: (
+        O.delete_folders(folder_tree(s, d), folder_tree(s, d).where("folder_id % 2 = 0").select(F.col("path").alias("folder")), _wanted(s, d))
+    ),
     "fld3_move_subtree": lambda s, d: O.move_subtree(folder_tree(s, d), "ASIA", "EUROPE"),
     "fld3_move_refused": lambda s, d: O.move_subtree(folder_tree(s, d), "ASIA", "ASIA\\CHINA"),
     "fld4_subtree": lambda s, d: O.subtree(folder_tree(s, d), "AFRICA").select("folder_id", "path"),
     "fld5_listing": lambda s, d: O.envelope(messages(s, d).where("folder = 'src0'")).select("email_id", "subject", "sender", "envelope_hash"),
     "fld6_listing_after_moves": lambda s, d: _current(s, d).groupBy("folder").agg(F.count("*").alias("n"), F.min("email_id").alias("first_id")),
-    "seg1_segments": lambda s, d: O.segments(block_log(s, d)).select("block_id", "version", "value", F.col("metadata")["click"].alias("click"), F.col("metadata")["view"].alias("view")),
-    "seg2_offsets": lambda s, d: _numbers(s, d).join(block_log(s, d).select(F.col("block_id").alias("o_orderkey"), "write_seq").groupBy("o_orderkey").agg(F.max("write_seq").alias("w")), "o_orderkey", "left").select("o_orderkey", F.coalesce("w", F.lit(-1).cast("long")).alias("offset_or_none")),
+    "seg1_segments": lambda s, d: (
+        O.segments(block_log(s, d))
+        .select("block_id", "version", "value", F.col("metadata")["click"].alias("click"), F.col("metadata")["view"].alias("view"))
+    ),
+    "seg2_offsets": lambda s, d: (
+        _numbers(s, d)
+        .join(block_log(s, d).select(F.col("block_id").alias("o_orderkey"), "write_seq").groupBy("o_orderkey").agg(F.max("write_seq").alias("w")), "o_orderkey", "left")
+        .select("o_orderkey", F.coalesce("w", F.lit(-1).cast("long")).alias("offset_or_none"))
+    ),
     "kv1_upserts": lambda s, d: O.latest(block_log(s, d)).where("type <> 'signup'").select("block_id", "value"),
     "sf1_ids": lambda s, d: messages(s, d).select("email_id"),
     "sf12_folder_index": lambda s, d: messages(s, d).groupBy("folder").agg(F.max_by("email_id", "write_seq").alias("block_id")),
