@@ -24,7 +24,7 @@ def test_field_search_counts_fields(spark):
 
 
 def test_and_is_within_or(spark):
-    m = mails(spark, (1, "", "red green blue"), (2, "", "red green"), (3, "", "red"))
+    m = S.postings(mails(spark, (1, "", "red green blue"), (2, "", "red green"), (3, "", "red")))
     both = {r.email_id for r in S.search_all(m, "red green").collect()}
     some = {r.email_id for r in S.search_any(m, "red green").collect()}
     assert both == {1, 2} and both <= some == {1, 2, 3}
