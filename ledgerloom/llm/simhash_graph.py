@@ -41,7 +41,7 @@ from ledgerloom.llm.common import cut, fresh, keyed, parts, spread
 
 BITS, SLOTS = 256, 2048
 RADIUS, JACCARD = 72, 0.55
-LINKS, BACK, SEEDS, BEAM, OPEN, TABLES = 12, 16, 8, 8, 4, 16
+LINKS, BACK, SEEDS, BEAM, OPEN, TABLES = 12, 16, 8, 8, 4, 32
 FEW, ROWS, STEP, NEAR, ASKED, EDGES = 4, 100_000, 1024, 16, 20_000, 1 << 19
 SHARDS, SHARD_POINTS, SLICE_QUERIES, AUDIT, RECALL = 6, 500_000, 4_000_000, 768, 0.95
 _FAR = np.int16(999)
