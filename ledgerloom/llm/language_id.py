@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import text as T
 from ledgerloom.llm.common import kept, keyed, spread
 
-DIMENSIONS, PER_LANGUAGE, MARGIN, LETTERS, ROWS = 4096, 400, 0.02, 1, 1024
+DIMENSIONS, PER_LANGUAGE, MARGIN, LETTERS, ROWS = 4096, 400, 0.02, 1, 512
 _SCHEMA = "doc_id long, predicted string, runner_up string, margin double, ambiguous boolean, keep boolean"
 
 #: Letters in lower case, bytes of non-ASCII characters as they are, anything else a space.

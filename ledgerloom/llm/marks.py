@@ -106,5 +106,7 @@ def unite(width: int):
                 blobs.append(tuple(x))
         if docs:
             yield from solve(docs, blobs)
+        del docs, blobs
+        T.release()
 
     return run

@@ -439,6 +439,8 @@ def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float,
                         yield from answer()
         if ids:
             yield from answer()
+        graph = None
+        T.release()
 
     return run
 

@@ -92,6 +92,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     picked = picked[np.lexsort((at[picked], docs[picked], hashes[picked]))]
     h = hashes[picked]
     yield M.batch(*M.runs(docs[picked], at[picked], np.append(False, h[1:] == h[:-1])))
+    del docs, at, hashes, many, order, ranked, same, repeated, picked, h
+    T.release()
 
 
 def repeated_intervals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:

@@ -272,6 +272,8 @@ def _merge_bucket(width: int, shards: int):
             if len(d):
                 order = np.argsort(d, kind="stable")
                 yield M.batch(d[order], p[order], n[order], later[order])
+        del doc, at, size, many, gram, whole, symbols
+        T.release()
 
     return run
 

@@ -7,6 +7,7 @@ base has an inverse there, so the hash of any range is one subtraction and one p
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,11 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+try:  # glibc only
+    _LIBC = ctypes.CDLL(None)
+    _LIBC.malloc_trim
+except (OSError, AttributeError):
+    _LIBC = None
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -75,6 +81,13 @@ def _range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base
     return mix(out)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers are kept for the next stage, whose needs differ."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, end to end, and the n + 1 offsets of the texts in them."""
     column = column.cast(pa.large_binary())
@@ -97,6 +110,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             stop = max(row + 1, min(row + rows, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1))
             yield batch.slice(row, stop - row), data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
             row = stop
+    release()
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
