@@ -43,6 +43,7 @@ BITS, SLOTS = 256, 2048
 RADIUS, JACCARD = 72, 0.55
 LINKS, BACK, SEEDS, BEAM, OPEN, TABLES = 12, 16, 8, 8, 4, 32
 FEW, ROWS, STEP, NEAR, ASKED, EDGES = 4, 100_000, 1024, 16, 20_000, 1 << 19
+CROWD, FULL, TILE = 32, 128, 8 << 20
 SHARDS, SHARD_POINTS, SLICE_QUERIES, AUDIT, RECALL = 6, 500_000, 4_000_000, 768, 0.95
 _FAR = np.int16(999)
 _BLOCKS = "shard int, kind int, ids binary, prints binary"
@@ -104,7 +105,9 @@ def _print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
+    four = np.bitwise_count(a ^ b).view(np.uint32)[..., 0]  # the counts of four words, a byte each
+    two = (four & np.uint32(0xFF00FF)) + ((four >> np.uint32(8)) & np.uint32(0xFF00FF))
+    return ((two & np.uint32(0xFFFF)) + (two >> np.uint32(16))).astype(np.int16)
 
 
 class Graph:
@@ -112,33 +115,76 @@ class Graph:
 
     A search enters it where points agree with the query in all of some `width` bits, or in all but one, of any of
     `tables` random choices of bits; these entries also give the candidates for links.
+
+    Its crowd are the points with many entries within the radius, and these entries: the members of large groups. A
+    query with over CROWD entries within the radius is compared with the whole crowd, which costs far less than a walk
+    past all of a group; `home` is the component of each of the crowd, `forest` a spanning forest of the crowd, of links
+    to nearest points where these suffice.
     """
 
     def __init__(self, prints: np.ndarray, radius: int, beam: int, tables: int) -> None:
         self.prints, self.radius, self.beam, n = prints, radius, beam, len(prints)
         self.size, self.width = n, int(np.clip(np.ceil(np.log2(max(n, 2))), 8, 18))
-        rng = np.random.default_rng(77)
-        self.bits = [rng.choice(BITS, self.width, replace=False) for _ in range(tables)]
+        self.rng = np.random.default_rng(77)
         self.flips = np.append(0, 1 << np.arange(self.width)).astype(np.int32)
-        self.order, self.offsets = [], []
-        keys = np.concatenate([self._keys(prints[a : a + ROWS]) for a in range(0, n, ROWS)], axis=1) if n else np.zeros((tables, 0), np.int32)
-        for key in keys:
-            order = np.argsort(key, kind="stable").astype(np.int32)
-            self.order.append(order)
-            self.offsets.append(np.searchsorted(key[order], np.arange((1 << self.width) + 1)).astype(np.int32))
+        self.bits: list[np.ndarray] = []
+        self.order: list[np.ndarray] = []
+        self.offsets: list[np.ndarray] = []
+        self._add(tables)
         self.out = np.full((n, LINKS), -1, np.int32)
         self.back = np.full((n, BACK), -1, np.int32)
         self.back_d = np.full((n, BACK), _FAR, np.int16)
+        self.crowd = np.zeros(n, bool)
         for a in range(0, n, STEP):
             some = np.arange(a, min(n, a + STEP))
             q, p, d = self._entries(prints[some])
+            near = d <= radius
+            many = np.bincount(q[near], minlength=len(some)) > CROWD * BEAM // (2 * beam)  # a wider beam has a wider crowd
+            self.crowd[some[many]] = True
+            self.crowd[p[near & many[q]]] = True
             other = some[q] != p
             self._link(some, q[other], p[other], d[other])
-
-    def _keys(self, points: np.ndarray) -> np.ndarray:
-        """For each table, the number that a point's bits there make."""
+        self.among = np.flatnonzero(self.crowd)
+        self.close = prints[self.among]
+        self.step = int(min(STEP, max(16, (96 << 20) // max(n, 1))))
+        self.seen: np.ndarray | None = None
+        self.home: np.ndarray | None = None
+
+    def _add(self, tables: int) -> None:
+        bits = [self.rng.choice(BITS, self.width, replace=False) for _ in range(tables)]
+        keys = [self._keys(self.prints[a : a + ROWS], bits) for a in range(0, self.size, ROWS)]
+        for key in np.concatenate(keys, axis=1) if keys else np.zeros((tables, 0), np.int32):
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            self.order.append(order)
+            self.offsets.append(np.searchsorted(key[order], np.arange((1 << self.width) + 1)).astype(np.int32))
+        self.bits += bits
+
+    def widen(self) -> None:
+        """Twice the beam and the tables; links and crowd stay."""
+        self.beam *= 2
+        self._add(len(self.bits))
+
+    def join_crowd(self) -> None:
+        m = len(self.among)
+        forest = tuple(np.zeros(0, np.int64) for _ in range(3))
+        self.home = np.arange(m)
+        for a in range(0, m, 64):
+            q, p, d = exact_hits(self.close, self.close[a : a + 64], self.radius)
+            order = np.lexsort((p, d, q))
+            q, p, d = q[order], p[order], d[order]
+            some = (q + a != p) & ((np.arange(len(q)) - np.searchsorted(q, q) <= SEEDS) | (self.home[q + a] != self.home[p]))
+            x, y, d = (np.concatenate([old, new]) for old, new in zip(forest, (q[some] + a, p[some], d[some])))
+            forest = x, y, d
+            if len(d) > 4 * m or a + 64 >= m:
+                self.home, tree = spanning(m, x, y, d)
+                forest = x[tree], y[tree], d[tree]
+        self.home = self.among[self.home]
+        self.forest = self.among[forest[0]], self.among[forest[1]], forest[2]
+
+    def _keys(self, points: np.ndarray, choices: list[np.ndarray]) -> np.ndarray:
+        """For each choice of bits, the number that a point's bits there make."""
         bits = np.unpackbits(np.ascontiguousarray(points).view(np.uint8).reshape(len(points), -1), axis=1)
-        return np.stack([(bits[:, at].astype(np.int32) << np.arange(self.width, dtype=np.int32)).sum(1, dtype=np.int32) for at in self.bits])
+        return np.stack([(bits[:, at].astype(np.int32) << np.arange(self.width, dtype=np.int32)).sum(1, dtype=np.int32) for at in choices])
 
     def _entries(self, queries: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, point, distance): up to SEEDS points for each number of a table that the query's differs from by a bit at most.
@@ -146,16 +192,16 @@ class Graph:
         Those within limit bits; without it those within the radius, and of others LINKS for a query on average.
         """
         found = []
-        for key, order, offsets in zip(self._keys(queries), self.order, self.offsets):
+        for key, order, offsets in zip(self._keys(queries, self.bits), self.order, self.offsets):
             probe = (key[:, None] ^ self.flips).ravel()
-            start = offsets[probe]
-            many = np.minimum(offsets[probe + 1] - start, SEEDS)
+            start = offsets.take(probe)
+            many = offsets[1:].take(probe) - start
             some = np.flatnonzero(many)
-            many = many[some]
+            many = np.minimum(many[some], SEEDS)
             ends = np.cumsum(many)
-            p = order[np.repeat(start[some] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)]
+            p = order.take(np.repeat(start[some] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0))
             q = np.repeat(some // len(self.flips), many)
-            d = hamming(queries[q], self.prints[p])
+            d = hamming(queries.take(q, axis=0), self.prints.take(p, axis=0))
             if limit is not None:
                 near = np.flatnonzero(d <= limit)
                 q, p, d = q[near], p[near], d[near]
@@ -213,18 +259,44 @@ class Graph:
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All hits (query, point, distance) of all queries."""
-        step = int(min(STEP, max(16, (96 << 20) // max(self.size, 1))))
-        hits = [(q + a, p, x) for a in range(0, len(queries), step) for q, p, x in self._search(queries[a : a + step])]
-        return tuple(np.concatenate([h[i] for h in hits]) if hits else np.zeros(0, np.int64) for i in range(3))
+        return self._stepwise(queries, True)[:3]
+
+    def reduced(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As search, but of the crowd only the nearest of each component for a query with many entries; and who has many."""
+        return self._stepwise(queries, False)
+
+    def _stepwise(self, queries: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        hits, many = [], np.zeros(len(queries), bool)
+        for a in range(0, len(queries), self.step):
+            some, many[a : a + self.step] = self._search(queries[a : a + self.step], whole)
+            hits += [(q + a, p, x) for q, p, x in some]
+        return *(np.concatenate([h[i] for h in hits]) if hits else np.zeros(0, np.int64) for i in range(3)), many
+
+    def _scan(self, queries: np.ndarray, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Hits of queries in the crowd."""
+        for a in range(0, len(queries), 64):
+            q, p, d = exact_hits(self.close, queries[a : a + 64], self.radius)
+            if not whole:
+                order = np.lexsort((p, d, self.home[p], q))
+                q, p, d = q[order], p[order], d[order]
+                first = np.append(True, (q[1:] != q[:-1]) | (self.home[p[1:]] != self.home[p[:-1]]))[: len(q)]
+                q, p, d = q[first], p[first], d[first]
+            yield q + a, self.among[p], d
 
-    def _search(self, queries: np.ndarray) -> list:
+    def _search(self, queries: np.ndarray, whole: bool) -> tuple[list, np.ndarray]:
         """A beam begins with entries up to NEAR bits beyond the radius; a query without one has no hit that links lead to."""
         q, p, d = self._entries(queries, self.radius + NEAR)
         within = d <= self.radius
         count, entered = (np.bincount(x, minlength=len(queries)) for x in (q[within], q))
+        many = count > CROWD
         hits: list = []
+        if many.any():
+            lots = np.flatnonzero(many)
+            hits += [(lots[a], b, x) for a, b, x in self._scan(queries[lots], whole)]
+            rest = within & many[q] & ~self.crowd[p]
+            hits.append((q[rest], p[rest], d[rest]))
         for wide in (False, True):  # where entries alone fill a beam, it starts wider
-            own = np.flatnonzero(((count >= self.beam) == wide) & (entered > 0))
+            own = np.flatnonzero(((count >= self.beam) == wide) & (entered > 0) & ~many)
             if len(own):
                 width = max(self.beam, 2 * int(count[own].max())) if wide else self.beam
                 place = np.full(len(queries), -1)
@@ -232,15 +304,20 @@ class Graph:
                 mine = place[q] >= 0
                 hits += [(own[a], b, x) for a, b, x in self._walk(queries[own], place[q[mine]], p[mine], d[mine], min(width, max(self.size, 1)))]
         if not hits:
-            return []
+            return [], many
         q, p, d = (np.concatenate([h[i] for h in hits]) for i in range(3))
         _, one = np.unique(q * self.size + p, return_index=True)
-        return [(q[one], p[one], d[one])]
+        return [(q[one], p[one], d[one])], many
 
     def _walk(self, queries: np.ndarray, q: np.ndarray, p: np.ndarray, x: np.ndarray, width: int) -> list:
-        """Hits of a beam that starts with the nearest entries (q, p, x), and of wider ones where it lies within the radius whole."""
+        """Hits of a beam that starts with the nearest entries (q, p, x), and of wider ones where it lies within the radius whole.
+
+        Beyond FULL places a query is compared with all points.
+        """
         n = len(queries)
-        seen = np.zeros((n, self.size), np.uint8)
+        if self.seen is None:
+            self.seen = np.zeros((self.step, self.size), np.uint8)
+        seen, touched = self.seen, [(q, p)]
         seen[q, p] = 1
         near = x <= self.radius
         hits, again = [(q[near], p[near].astype(np.int64), x[near])] if near.any() else [], []
@@ -265,6 +342,7 @@ class Graph:
                 seen[at, p] = c + 1
                 fresh = seen[at, p] == c + 1
                 r, c, p, at = r[fresh], c[fresh], p[fresh], at[fresh]
+                touched.append((at, p))
                 x = hamming(queries[at], self.prints[p])
                 close = x <= self.radius
                 if close.any():
@@ -282,8 +360,13 @@ class Graph:
                 if full.any():
                     again.append((live[full], ids[full], d[full]))
             live, ids, d, done = live[~over], ids[~over], d[~over], done[~over]
+        for at, p in touched:
+            seen[at, p] = 0
         if again:
             who = np.concatenate([w for w, _, _ in again])
+            if 2 * width > FULL:
+                a, b, y = exact_hits(self.prints, queries[who], self.radius)
+                return [*hits, (who[a], b, y)]
             p, x = (np.concatenate([a[i] for a in again]) for i in (1, 2))
             q = np.repeat(np.arange(len(who)), p.shape[1])
             hits += [(who[a], b, y) for a, b, y in self._walk(queries[who], q, p.ravel(), x.ravel(), min(2 * width, self.size))]
@@ -309,8 +392,8 @@ def audited(prints: np.ndarray, radius: int, beam: int, audit: int, least: float
     """A graph whose search finds the share `least`, averaged by query, of what exact search finds; and that share.
 
     It must be reached by `audit` of its own points, by as many foreign ones, and by those of both that have few hits,
-    though one lost query is no proof in a group of under 1 / (1 - least). Else the graph is built again, with a beam
-    twice as wide and twice the tables. The share returned is the least of the three.
+    though one lost query is no proof in a group of under 1 / (1 - least). Else its beam is made twice as wide and its
+    tables twice as many; every second time the links are built again too. The share returned is the least of the three.
     """
     n = len(prints)
     sample = np.unique(np.linspace(0, n - 1, min(n, audit)).astype(int))
@@ -323,13 +406,17 @@ def audited(prints: np.ndarray, radius: int, beam: int, audit: int, least: float
     true = keys(*exact_hits(prints, queries, radius))
     each = np.bincount(true // n, minlength=len(queries))
     groups = [g for g in ((each > 0) & (home >= 0), (each > 0) & (home < 0), (each > 0) & (each <= FEW)) if g.any()]
+    graph, again = Graph(prints, radius, beam, tables), False
     while True:
-        graph = Graph(prints, radius, beam, tables)
         got = np.bincount(np.intersect1d(true, keys(*graph.search(queries)), assume_unique=True) // n, minlength=len(queries))
         lost = 1 - got / np.maximum(each, 1)
         if beam >= n or all(lost[g].sum() <= max(1.0, (1 - least) * g.sum()) for g in groups):
             return graph, min((1 - lost[g].mean() for g in groups), default=1.0)
-        beam, tables = 2 * beam, 2 * tables
+        beam, tables, again = 2 * beam, 2 * tables, not again
+        if again:
+            graph.widen()
+        else:
+            graph = Graph(prints, radius, beam, tables)
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -385,7 +472,11 @@ def _others(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBa
 
 
 def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float, tables: int = TABLES):
-    """Rows of kind 0: point a is in the component of point b; 1: tree edge; 2: query a's nearest hit b; 3: recall, in ten thousandths; 4: any other hit."""
+    """Rows of kind 0: point a is in the component of point b; 1: tree edge; 2: query a's nearest hit b; 3: recall, in ten thousandths; 4: any other hit; 5: point a is in the crowd's component of point b, or has a hit there.
+
+    Pairs of the crowd, and of it and a query with many entries, have rows of kind 5 in place of 4: all pairs of what these
+    rows join are compared later (_compare).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, prints, asked, graph, shard = [], [], [], None, 0
@@ -397,12 +488,23 @@ def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float,
             order = np.argsort(T.mix(points.view(np.uint64) ^ np.uint64(99)))
             points, own = points[order], own[order]
             graph, share = audited(own, radius, beam, audit, least, np.concatenate([own[:0], *(x for _, x in asked)]), tables)
+            graph.join_crowd()
+            yield _found(5, points[graph.among], points[graph.home], np.zeros(len(graph.among)))
             if shard % slices:
                 return
             yield _found(3, points[:1], points[:1], np.array([round(share * 10_000)]))
-            q, p, d = graph.search(own)
-            pair = q != p
-            q, p, d = q[pair], p[pair], d[pair]
+            place = np.full(len(points), -1)
+            place[graph.among] = graph.home
+            pairs = [graph.forest]
+            for i in range(0, len(own), ASKED):
+                q, p, d, many = graph.reduced(own[i : i + ASKED])
+                joins = many[q] & graph.crowd[p]
+                q = q + i
+                joins &= ~graph.crowd[q]
+                yield _found(5, points[q[joins]], points[place[p[joins]]], np.zeros(int(joins.sum())))
+                pair = (q != p) & ~(graph.crowd[q] & graph.crowd[p])
+                pairs.append((q[pair], p[pair], d[pair]))
+            q, p, d = (np.concatenate([x[i] for x in pairs]) for i in range(3))
             a, b = np.minimum(q, p), np.maximum(q, p)
             _, one = np.unique(a * len(points) + b, return_index=True)
             a, b, d = a[one], b[one], d[one]
@@ -418,7 +520,12 @@ def _search_shard(slices: int, radius: int, beam: int, audit: int, least: float,
             if graph is None:
                 yield from start()
             for i, x in asked:
-                q, p, d = graph.search(x)
+                q, p, d, many = graph.reduced(x)
+                place = np.full(len(points), -1)
+                place[graph.among] = graph.home
+                joins = many[q] & graph.crowd[p]
+                if joins.any():
+                    yield _found(5, i[q[joins]], points[place[p[joins]]], np.zeros(int(joins.sum())))
                 order = np.lexsort((p, d, q))
                 q, p, d = q[order], p[order], d[order]
                 best = np.append(True, q[1:] != q[:-1]) if len(q) else np.zeros(0, bool)
@@ -472,6 +579,51 @@ def _verify(jaccard: float):
     return run
 
 
+def _compare(radius: int, jaccard: float):
+    """Verified links (a, b) between groups (labels), of all pairs of tile i and tile j within the radius: those that unite two, nearest first."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        (_, i, j), table = (k.as_py() for k in key), table.combine_chunks()
+        ids, tile = table["doc_id"].to_numpy(), table["tile"].to_numpy()
+        prints = np.frombuffer(b"".join(table["print"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        packed = table["features"].to_pylist()
+        sizes = np.array([len(x) // 5 for x in packed], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        names, values = np.unique(_features(b"".join(packed)), return_inverse=True)
+        _, group = np.unique(table["label"].to_numpy(), return_inverse=True)
+        group, mark = group.copy(), np.zeros(len(names), bool)
+        first, second = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+        found: list[tuple[int, int]] = []
+        for a in range(0, len(first), 64):
+            some = first[a : a + 64]
+            q, p, d = exact_hits(prints[second], prints[some], radius)
+            u, v = some[q], second[p]
+            apart = (group[u] != group[v]) & ((u < v) | (i != j))
+            u, v, d = u[apart], v[apart], d[apart]
+            order = np.lexsort((v, d, u))
+            u, v = u[order], v[order]
+            for x, near in zip(u[np.flatnonzero(np.append(True, u[1:] != u[:-1]))[: len(u)]].tolist(), np.split(v, np.flatnonzero(u[1:] != u[:-1]) + 1)):
+                own = values[starts[x] : starts[x] + sizes[x]]
+                mark[own] = True
+                size = 8
+                while len(near):
+                    near = near[group[near] != group[x]]
+                    part, near = near[:size], near[size:]
+                    ends = np.cumsum(sizes[part])
+                    if len(part):
+                        both = np.add.reduceat(mark[values[np.repeat(starts[part] - ends + sizes[part], sizes[part]) + np.arange(ends[-1])]], ends - sizes[part], dtype=np.int64)
+                        for y in part[both >= jaccard * (len(own) + sizes[part] - both)].tolist():
+                            if group[x] != group[y]:
+                                group[group == group[y]] = group[x]
+                                found.append((int(ids[x]), int(ids[y])))
+                    size *= 8
+                mark[own] = False
+        T.release()
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return run
+
+
 def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, root) of the nodes of edges (u, v), all of them in this one task."""
     found = [[batch.column(i).to_numpy() for i in range(2)] for batch in batches if batch.num_rows]
@@ -514,6 +666,23 @@ def _apart(hits: DataFrame, roots: DataFrame) -> DataFrame:
     return hits.where("x <> y").select("a", "b", "distance", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
+def _crowded(found: DataFrame, roots: DataFrame, points: DataFrame, sets: DataFrame, n: int, radius: int, jaccard: float) -> DataFrame | None:
+    """Verified links between groups within each crowd, all of its pairs compared by tiles of about TILE bytes; None without a crowd."""
+    edges = found.where("kind = 5 and a <> b").select("a", "b")
+    if edges.isEmpty():
+        return None
+    members = components(edges).select(F.col("id").alias("doc_id"), F.col("root").alias("block")).join(roots.select(F.col("id").alias("doc_id"), F.col("root").alias("label")), "doc_id", "left")
+    members = members.withColumn("label", F.coalesce("label", "doc_id")).join(sets.select("doc_id", F.length("features").alias("size")), "doc_id")
+    place = F.sum(F.col("size") + 1024).over(W.partitionBy("block").orderBy("label", "doc_id")) / TILE
+    members = cut(members.withColumn("tile", F.floor(place).cast("int")).drop("size"))
+    spans = members.groupBy("block", "tile").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    other = spans.select("block", F.col("tile").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    asked = spans.withColumnRenamed("tile", "i").join(other, "block").where("i <= j and least(low, low2) <> greatest(high, high2)")
+    asked = asked.select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
+    rows = members.join(points, "doc_id").join(sets, "doc_id").join(asked, ["block", "tile"])
+    return cut(rows.repartition(n, "block", "i", "j").groupBy("block", "i", "j").applyInArrow(_compare(radius, jaccard), "a long, b long"))
+
+
 def _points(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Print of each document, and, as doc, the least id with the same tokens."""
     return spread(keyed(df, id_col, text_col)).mapInArrow(_print, "doc_id long, first long, second long, print binary")
@@ -541,7 +710,7 @@ def _groups(df: DataFrame, id_col: str, text_col: str, radius: int, jaccard: flo
     pairs = cut(found.where("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(cross).distinct())
     docs = keyed(df, id_col, text_col)
     n = parts(docs)
-    ids = found.where("kind in (1, 2, 4)").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = found.where("kind in (1, 2, 4, 5)").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, features binary")
     sets = cut(sets.groupBy("doc_id").agg(F.min("features").alias("features")))
 
@@ -551,6 +720,10 @@ def _groups(df: DataFrame, id_col: str, text_col: str, radius: int, jaccard: flo
 
     links = verified(pairs)
     roots = cut(components(links.unionByName(exact).repartition(n, "a")))
+    more = _crowded(found, roots, points, sets, n, radius, jaccard)
+    if more is not None:
+        links = links.unionByName(more)
+        roots = cut(components(more.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))).repartition(n, "a")))
     hits = found.where("kind in (2, 4)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
     for few in (FEW, None):
         hits = cut(_apart(hits, roots).join(pairs, ["a", "b"], "left_anti"))

@@ -408,6 +408,63 @@ def test_small_groups_of_other_shards_beside_a_large_one():
     assert len(true) > 500 and len(true & found) >= 0.92 * len(true)
 
 
+def test_large_groups_give_rows_in_proportion():
+    rng, G = np.random.default_rng(17), simhash_graph
+    prints = rng.integers(0, 1 << 63, (6000, 4), dtype=np.uint64)
+    prints[:3000] = prints[0]
+    for _ in range(20):
+        at = rng.integers(0, 256, 3000)
+        prints[np.arange(3000), at // 64] ^= np.uint64(1) << (at % 64).astype(np.uint64)
+    prints, ids = prints[np.argsort(rng.random(6000), kind="stable")], np.arange(6000)
+    blobs = [(0, 0, ids[:3000].tobytes(), prints[:3000].tobytes()), (0, 1, ids[3000:].tobytes(), prints[3000:].tobytes())]
+    batch = pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int32()), pa.array([b[1] for b in blobs], pa.int32()), *(pa.array([b[i] for b in blobs], pa.binary()) for i in (2, 3))], ["shard", "kind", "ids", "prints"])
+    rows = [r for out in G._search_shard(1, G.RADIUS, G.BEAM, G.AUDIT, G.RECALL)([batch]) for r in zip(*(out.column(c).to_pylist() for c in ("kind", "a", "b")))]
+    q, p, _ = G.exact_hits(prints, prints, G.RADIUS)
+    large = np.flatnonzero(np.bincount(q) > 1000)
+    assert len(rows) < 10 * len(prints) < len(q) // 100
+    links = [(a, b) for kind, a, b in rows if kind in (1, 2, 4, 5)]
+    roots, _ = G.spanning(6000, *np.array(links).T, np.zeros(len(links)))
+    assert len(large) > 2900 and len(np.unique(roots[large])) == 1
+
+
+def test_large_template_by_brute_force(spark):
+    rng, texts = random.Random(19), []
+    template = words(rng, 80, 100_000).split()
+    for _ in range(150):
+        w = list(template)
+        for i in rng.sample(range(80), 12):
+            w[i] = f"f{rng.random()}"
+        for _ in range(3):
+            c = list(w)
+            c[rng.randrange(80)] = f"e{rng.random()}"
+            texts.append(" ".join(c))
+    sets, root = [set(w) | set(zip(w, w[1:])) for w in map(str.split, texts)], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= simhash_graph.JACCARD * len(sets[i] | sets[j]):
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    assert 100 < len(set(root)) <= 150
+    got = {r.doc_id: r.group_id for r in simhash_graph.near_duplicates(docs(spark, *texts), shards=2).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+
+
+def test_tiles_compare_all_pairs_between_groups():
+    rng = np.random.default_rng(23)
+    sets = [np.sort(rng.choice(90, 40, replace=False)).astype("<u8") for _ in range(60)]
+    packed = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for x in sets]
+    near = bytes(32)
+    def run(i, j, tile):
+        table = pa.table({"doc_id": np.arange(60), "tile": np.array(tile), "label": np.arange(60), "print": pa.array([near] * 60, pa.binary()), "features": pa.array(packed, pa.binary())})
+        out = simhash_graph._compare(simhash_graph.RADIUS, 0.35)(tuple(map(pa.scalar, (0, i, j))), table)
+        return list(zip(out["a"].to_pylist(), out["b"].to_pylist()))
+    true = {(a, b) for a, b in itertools.combinations(range(60), 2) if len(np.intersect1d(sets[a], sets[b])) >= 0.35 * len(np.union1d(sets[a], sets[b]))}
+    halves = [0] * 30 + [1] * 30
+    for got, want in ((run(0, 0, [0] * 60), true), (run(0, 1, halves), {(a, b) for a, b in true if a < 30 <= b})):
+        assert set(got) <= want and len(got) < 60
+        roots = [simhash_graph.spanning(60, *np.array(sorted(e)).T, np.zeros(len(e)))[0].tolist() for e in (set(got), want)]
+        assert roots[0] == roots[1]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (7, 7)], "a long, b long")
     for most in (0, 100):
