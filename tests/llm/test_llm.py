@@ -408,6 +408,20 @@ def test_small_groups_of_other_shards_beside_a_large_one():
     assert len(true) > 500 and len(true & found) >= 0.92 * len(true)
 
 
+def test_a_failed_audit_keeps_links_every_second_time(monkeypatch):
+    rng, G, built = np.random.default_rng(29), simhash_graph, []
+    prints = rng.integers(0, 1 << 63, (900, 4), dtype=np.uint64)
+    for i in range(300):
+        copy = prints[i].copy()
+        for at in rng.choice(256, 60, replace=False):
+            copy[at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+        prints[i + 300] = copy
+    init = G.Graph.__init__
+    monkeypatch.setattr(G.Graph, "__init__", lambda self, *a: (built.append(1), init(self, *a))[1])
+    graph, share = G.audited(prints, G.RADIUS, 8, 400, 0.95, None, 1)
+    assert len(graph.bits) > 1 and len(built) == 1 + int(np.log2(len(graph.bits))) // 2 and share >= 0.9
+
+
 def test_large_groups_give_rows_in_proportion():
     rng, G = np.random.default_rng(17), simhash_graph
     prints = rng.integers(0, 1 << 63, (6000, 4), dtype=np.uint64)
