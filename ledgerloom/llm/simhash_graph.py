@@ -4,8 +4,8 @@ Each text gets a 256-bit SimHash of its distinct tokens and token pairs (ASCII c
 2,048 slots, then signs of random projections. Texts with equal tokens are one point. Points are dealt to shards by a
 hash of their id; each shard builds one navigable small-world graph, and every point of the table is a query to every
 shard. SimHashes of unlike texts lie as far apart as random ones, so a walk from fixed seeds finds no way to a lone
-copy; a search here enters the graph where points agree with the query in all or all but one of some 16 bits, in any
-of `tables` choices of bits. From the nearest entries it expands its nearest open nodes, and doubles the width of its
+copy; a search here enters the graph where points agree with the query in all of some 10 bits, in any of `tables`
+choices of bits. From the nearest entries it expands its nearest open nodes, and doubles the width of its
 beam as long as the whole beam lies within `radius` bits. Each shard checks its search against exact search for `audit`
 of its own points and as many of other shards, and builds its graph again, with a beam twice as wide and twice the
 tables, while the recall of an average query, or of an average one with few hits, is below `recall`.
@@ -41,9 +41,9 @@ from ledgerloom.llm.common import cut, fresh, keyed, parts, spread
 
 BITS, SLOTS = 256, 2048
 RADIUS, JACCARD = 72, 0.55
-LINKS, BACK, SEEDS, BEAM, OPEN, TABLES = 12, 16, 8, 8, 4, 32
-FEW, ROWS, STEP, NEAR, ASKED, EDGES = 4, 100_000, 1024, 16, 20_000, 1 << 19
-CROWD, FULL, TILE = 32, 128, 8 << 20
+LINKS, BACK, SEEDS, BEAM, OPEN, TABLES, WIDER = 12, 16, 8, 8, 4, 32, 1
+FEW, ROWS, STEP, NEAR, ASKED, EDGES = 4, 100_000, 1024, 16, 60_000, 1 << 19
+CROWD, FULL, TILE, PAIRS = 32, 128, 8 << 20, 1 << 15
 SHARDS, SHARD_POINTS, SLICE_QUERIES, AUDIT, RECALL = 6, 500_000, 4_000_000, 768, 0.95
 _FAR = np.int16(999)
 _BLOCKS = "shard int, kind int, ids binary, prints binary"
@@ -113,8 +113,9 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Graph:
     """A navigable small-world graph of points: links to near ones, half of them beyond the radius, and links back.
 
-    A search enters it where points agree with the query in all of some `width` bits, or in all but one, of any of
-    `tables` random choices of bits; these entries also give the candidates for links.
+    A search enters it where points agree with the query in all of some `width` bits, of any of `tables` random choices of
+    bits; these entries also give the candidates for links. All queries of a bucket are compared with its points at once,
+    by a word of 64 bits, then by two; what remains, by the whole print.
 
     Its crowd are the points with many entries within the radius, and these entries: the members of large groups. A
     query with over CROWD entries within the radius is compared with the whole crowd, which costs far less than a walk
@@ -124,9 +125,12 @@ class Graph:
 
     def __init__(self, prints: np.ndarray, radius: int, beam: int, tables: int) -> None:
         self.prints, self.radius, self.beam, n = prints, radius, beam, len(prints)
-        self.size, self.width = n, int(np.clip(np.ceil(np.log2(max(n, 2))), 8, 18))
+        self.size, self.width = n, int(np.clip(min(np.log2(max(n, 1)) / 2 + WIDER, np.log2(max(n, 1) / SEEDS)), 0, 18))
+        self.most, self.far = 2 * (n >> self.width) + 4 * SEEDS, BITS
         self.rng = np.random.default_rng(77)
-        self.flips = np.append(0, 1 << np.arange(self.width)).astype(np.int32)
+        self.words = np.ascontiguousarray(prints.T)
+        share = radius / BITS  # of a pair at the radius one in 40 differs in more bits of one word, or of two
+        self.word = [np.uint8(k * share + 2 * math.sqrt(k * share * max(1 - share, 0) * (BITS - k) / (BITS - 1))) for k in (64, 128)]
         self.bits: list[np.ndarray] = []
         self.order: list[np.ndarray] = []
         self.offsets: list[np.ndarray] = []
@@ -135,8 +139,9 @@ class Graph:
         self.back = np.full((n, BACK), -1, np.int32)
         self.back_d = np.full((n, BACK), _FAR, np.int16)
         self.crowd = np.zeros(n, bool)
-        for a in range(0, n, STEP):
-            some = np.arange(a, min(n, a + STEP))
+        for a in range(0, n, ASKED):
+            some = np.arange(a, min(n, a + ASKED))
+            self.far = BITS
             q, p, d = self._entries(prints[some])
             near = d <= radius
             many = np.bincount(q[near], minlength=len(some)) > CROWD * BEAM // (2 * beam)  # a wider beam has a wider crowd
@@ -151,13 +156,15 @@ class Graph:
         self.home: np.ndarray | None = None
 
     def _add(self, tables: int) -> None:
-        bits = [self.rng.choice(BITS, self.width, replace=False) for _ in range(tables)]
-        keys = [self._keys(self.prints[a : a + ROWS], bits) for a in range(0, self.size, ROWS)]
-        for key in np.concatenate(keys, axis=1) if keys else np.zeros((tables, 0), np.int32):
-            order = np.argsort(key, kind="stable").astype(np.int32)
-            self.order.append(order)
-            self.offsets.append(np.searchsorted(key[order], np.arange((1 << self.width) + 1)).astype(np.int32))
-        self.bits += bits
+        bits = np.zeros((BITS, tables), np.float32)
+        for t in range(tables):
+            bits[self.rng.choice(BITS, self.width, replace=False), t] = 1 << np.arange(self.width)
+        for a in range(0, tables, 16):
+            for key in self._keys(self.prints, bits[:, a : a + 16]):
+                order = np.argsort(key.astype(np.uint16) if self.width <= 16 else key, kind="stable").astype(np.int32)
+                self.order.append(order)
+                self.offsets.append(np.searchsorted(key[order], np.arange((1 << self.width) + 1)).astype(np.int32))
+        self.bits += list(bits.T)
 
     def widen(self) -> None:
         """Twice the beam and the tables; links and crowd stay."""
@@ -181,39 +188,61 @@ class Graph:
         self.home = self.among[self.home]
         self.forest = self.among[forest[0]], self.among[forest[1]], forest[2]
 
-    def _keys(self, points: np.ndarray, choices: list[np.ndarray]) -> np.ndarray:
-        """For each choice of bits, the number that a point's bits there make."""
-        bits = np.unpackbits(np.ascontiguousarray(points).view(np.uint8).reshape(len(points), -1), axis=1)
-        return np.stack([(bits[:, at].astype(np.int32) << np.arange(self.width, dtype=np.int32)).sum(1, dtype=np.int32) for at in choices])
+    def _keys(self, points: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """For each column of bits, the number that a point's bits there make."""
+        out = np.empty((bits.shape[1], len(points)), np.int32)
+        for a in range(0, len(points), STEP):
+            some = np.unpackbits(np.ascontiguousarray(points[a : a + STEP]).view(np.uint8).reshape(-1, BITS // 8), axis=1)
+            out[:, a : a + STEP] = (some.astype(np.float32) @ bits).T
+        return out
 
     def _entries(self, queries: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, point, distance): up to SEEDS points for each number of a table that the query's differs from by a bit at most.
+        """(query, point, distance): of each table up to `most` points with the query's number, that are near by two words of it too.
 
         Those within limit bits; without it those within the radius, and of others LINKS for a query on average.
         """
-        found = []
-        for key, order, offsets in zip(self._keys(queries, self.bits), self.order, self.offsets):
-            probe = (key[:, None] ^ self.flips).ravel()
-            start = offsets.take(probe)
-            many = offsets[1:].take(probe) - start
-            some = np.flatnonzero(many)
-            many = np.minimum(many[some], SEEDS)
-            ends = np.cumsum(many)
-            p = order.take(np.repeat(start[some] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0))
-            q = np.repeat(some // len(self.flips), many)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int16))]
+        for t, (key, order, offsets) in enumerate(zip(self._keys(queries, np.stack(self.bits, axis=1)), self.order, self.offsets)):
+            i, j = t % len(self.words), (t + 1) % len(self.words)
+            turn = np.argsort(key.astype(np.uint16) if self.width <= 16 else key, kind="stable")
+            asks, also, word, next_ = queries[turn, i], queries[turn, j], self.words[i][order], self.words[j][order]
+            buckets, first = np.unique(key[turn], return_index=True)
+            blocks = []
+            for a, b, x, y in zip(first.tolist(), np.append(first[1:], len(turn)).tolist(), offsets[buckets].tolist(), offsets[buckets + 1].tolist()):
+                y = min(y, x + self.most)
+                rows = max(1, PAIRS // max(y - x, 1))
+                for c in range(a, b if y > x else a, rows):
+                    bits = np.bitwise_count(asks[c : min(b, c + rows), None] ^ word[x:y]).ravel()
+                    near = np.flatnonzero(bits <= self.word[0])
+                    q = near // (y - x)
+                    p = near - q * (y - x)
+                    q += c
+                    p += x
+                    both = np.flatnonzero(bits[near] + np.bitwise_count(also[q] ^ next_[p]) <= self.word[1])
+                    if len(both):
+                        blocks.append((q[both], p[both]))
+            if not blocks:
+                continue
+            q, p = turn[np.concatenate([x for x, _ in blocks])], order[np.concatenate([x for _, x in blocks])]
             d = hamming(queries.take(q, axis=0), self.prints.take(p, axis=0))
-            if limit is not None:
-                near = np.flatnonzero(d <= limit)
-                q, p, d = q[near], p[near], d[near]
-            found.append((q, p, d))
-        q, p, d = (np.concatenate([f[i] for f in found]) for i in range(3))
-        far = d[d > self.radius] if limit is None else d[:0]
-        if len(far) > LINKS * len(queries):
-            near = np.flatnonzero(d <= np.partition(far, LINKS * len(queries))[LINKS * len(queries)])
-            q, p, d = q[near], p[near], d[near]
+            near = np.flatnonzero(d <= (self.far if limit is None else limit))
+            found.append((q[near], p[near], d[near]))
+            if limit is None and sum(len(f[0]) for f in found) > 4 * LINKS * len(queries):
+                found = [self._nearer(found, len(queries))]
+        q, p, d = self._nearer(found, len(queries)) if limit is None else (np.concatenate([f[i] for f in found]) for i in range(3))
         _, one = np.unique(q * self.size + p, return_index=True)
         return q[one], p[one], d[one]
 
+    def _nearer(self, found: list, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of what was found for n queries, what lies within the radius, and of others LINKS for a query on average."""
+        q, p, d = (np.concatenate([f[i] for f in found]) for i in range(3))
+        far = d[d > self.radius]
+        if len(far) > LINKS * n:
+            near = np.flatnonzero(d <= np.partition(far, LINKS * n)[LINKS * n])
+            q, p, d = q[near], p[near], d[near]
+            self.far = max(self.radius, int(d.max()))
+        return q, p, d
+
     def _nearest(self, n: int, q: np.ndarray, p: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest points of each of n queries and their distances, sorted, `most` at most."""
         order = np.lexsort((p, d, q))
@@ -267,8 +296,8 @@ class Graph:
 
     def _stepwise(self, queries: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         hits, many = [], np.zeros(len(queries), bool)
-        for a in range(0, len(queries), self.step):
-            some, many[a : a + self.step] = self._search(queries[a : a + self.step], whole)
+        for a in range(0, len(queries), ASKED):
+            some, many[a : a + ASKED] = self._search(queries[a : a + ASKED], whole)
             hits += [(q + a, p, x) for q, p, x in some]
         return *(np.concatenate([h[i] for h in hits]) if hits else np.zeros(0, np.int64) for i in range(3)), many
 
@@ -296,8 +325,8 @@ class Graph:
             rest = within & many[q] & ~self.crowd[p]
             hits.append((q[rest], p[rest], d[rest]))
         for wide in (False, True):  # where entries alone fill a beam, it starts wider
-            own = np.flatnonzero(((count >= self.beam) == wide) & (entered > 0) & ~many)
-            if len(own):
+            walks = np.flatnonzero(((count >= self.beam) == wide) & (entered > 0) & ~many)
+            for own in (walks[a : a + self.step] for a in range(0, len(walks), self.step)):
                 width = max(self.beam, 2 * int(count[own].max())) if wide else self.beam
                 place = np.full(len(queries), -1)
                 place[own] = np.arange(len(own))

@@ -422,6 +422,21 @@ def test_a_failed_audit_keeps_links_every_second_time(monkeypatch):
     assert len(graph.bits) > 1 and len(built) == 1 + int(np.log2(len(graph.bits))) // 2 and share >= 0.9
 
 
+def test_look_ups_compare_few_whole_prints_and_find_lone_copies(monkeypatch):
+    rng, G, compared = np.random.default_rng(31), simhash_graph, [0]
+    prints = rng.integers(0, 1 << 63, (20_000, 4), dtype=np.uint64)
+    graph, queries = G.Graph(prints, G.RADIUS, G.BEAM, G.TABLES), rng.integers(0, 1 << 63, (4000, 4), dtype=np.uint64)
+    queries[:1000] = prints[:1000]
+    for i in range(1000):
+        for at in rng.choice(256, 55, replace=False):
+            queries[i, at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+    plain = G.hamming
+    monkeypatch.setattr(G, "hamming", lambda a, b: (compared.__setitem__(0, compared[0] + len(b)), plain(a, b))[1])
+    q, p, _ = graph.search(queries)
+    assert compared[0] < 30 * len(queries)
+    assert len({i for i, j in zip(q.tolist(), p.tolist()) if i == j < 1000}) >= 950
+
+
 def test_large_groups_give_rows_in_proportion():
     rng, G = np.random.default_rng(17), simhash_graph
     prints = rng.integers(0, 1 << 63, (6000, 4), dtype=np.uint64)
