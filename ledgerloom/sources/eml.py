@@ -1,16 +1,21 @@
-"""Import of EML messages: MIME parsing in Arrow batches; a message that can't be parsed is a row with an error."""
+"""Import of EML messages: MIME parsing by slices of Arrow batches; a message that can't be parsed is a row with an error."""
 
 from __future__ import annotations
 
-from email import policy
+from collections.abc import Iterator
 from email.parser import BytesParser
+from email.policy import EmailPolicy
 from email.utils import getaddresses
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
+from ledgerloom.functions.slices import slices
+
 PARSED = StructType(
     [
         StructField("message_id", StringType()), StructField("subject", StringType()), StructField("sender", StringType()), StructField("recipients", StringType()),
@@ -20,11 +25,26 @@ PARSED = StructType(
 )
 
 
+class _Remembering(EmailPolicy):
+    """The default policy. It reads a header anew each time that it's asked for, up to 15 times a message; here short ones are kept."""
+
+    def header_fetch_parse(self, name: str, value: str):  # noqa: ANN201
+        return _header(name, value) if type(value) is str and len(value) < 500 else super().header_fetch_parse(name, value)
+
+
+@lru_cache(4096)
+def _header(name: str, value: str):  # noqa: ANN202
+    return EmailPolicy.header_fetch_parse(_POLICY, name, value)
+
+
+_POLICY = _Remembering()
+
+
 def parse_one(raw: bytes | None) -> tuple:
     if not raw:
         return ("", "", "", "", "", "", "", 0, 0, False, "empty message")
     try:
-        m = BytesParser(policy=policy.default).parsebytes(raw)
+        m = BytesParser(policy=_POLICY).parsebytes(raw)
         text, html = m.get_body(("plain",)), m.get_body(("html",))
         senders = [a for _, a in getaddresses(m.get_all("from", []))]
         to = "; ".join(a for _, a in getaddresses(m.get_all("to", [])))
@@ -39,9 +59,21 @@ def parse_one(raw: bytes | None) -> tuple:
         return ("", "", "", "", "", "", "", len(raw), 0, False, f"{type(e).__name__}: {e}")
 
 
-@F.pandas_udf(PARSED)
-def parse_eml(raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([tuple(str(x) if isinstance(x, str) else x for x in parse_one(None if r is None else bytes(r))) for r in raw], columns=PARSED.names)
+def parse_eml(raw: Column, *fields: str) -> Column:
+    """A struct of the fields of PARSED that are named, or of all. Each message is parsed as a whole whatever is named; bodies that nobody asks for stay in the worker."""
+    kind = StructType([PARSED[f] for f in fields or PARSED.names])
+    at = [PARSED.names.index(f) for f in kind.names]
+    types = [to_arrow_type(f.dataType) for f in kind]
+
+    @F.arrow_udf(kind)
+    def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for start, n in slices(batch):
+                rows = [parse_one(x) for x in batch.slice(start, n).to_pylist()]
+                plain = ([str(x) if isinstance(x, str) else x for x in (row[i] for row in rows)] for i in at)
+                yield pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(plain, types)], kind.names)
+
+    return parsed.asNondeterministic()(raw)  # else a filter on ok would parse each message for itself
 
 
 def write_eml(message_id: Column, subject: Column, sender: Column, recipient: Column, body: Column) -> Column:
