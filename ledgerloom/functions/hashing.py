@@ -5,6 +5,8 @@ from __future__ import annotations
 import gzip
 import hashlib
 import zlib
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -12,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+from ledgerloom.functions.slices import mapped
+
 GENESIS = "0" * 64
 _Z32 = "ybndrfg8ejkmcpqxot1uwisza345h769"
 
@@ -41,36 +45,79 @@ def message_id(identity: pd.Series) -> pd.Series:
     return identity.map(lambda x: None if x is None else z_base_32(hashlib.sha3_256(x.encode()).digest()))
 
 
-@F.pandas_udf(BinaryType())
-def gzipped(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else gzip.compress(bytes(x), 6, mtime=0))
+def _gzip(data: bytes) -> bytes:
+    return gzip.compress(data, 6, mtime=0)
+
+
+def _gunzip(data: bytes) -> bytes:
+    return zlib.decompress(data, 31)
+
 
+@F.arrow_udf(BinaryType())
+def gzipped(data: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in data:
+        yield from mapped(pa.binary(), _gzip, batch)
 
-@F.pandas_udf(BinaryType())
-def gunzipped(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else zlib.decompress(bytes(x), 31))
+
+@F.arrow_udf(BinaryType())
+def gunzipped(data: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in data:
+        yield from mapped(pa.binary(), _gunzip, batch)
+
+
+@F.arrow_udf(BinaryType())
+def gzip_round_trip(data: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """What comes back of data that is gzipped and unzipped, row by row: one worker, and no column of what lies between."""
+    for batch in data:
+        yield from mapped(pa.binary(), lambda x: _gunzip(_gzip(x)), batch)
 
 
 #: Codec ids of block flags. Sizes of what was compressed come from the block's header.
 CODECS = {0: None, 1: "gzip", 2: "lz4", 3: "zstd", 4: "brotli"}
 
 
+@lru_cache
 def _codec(number: int) -> pa.Codec | None:
     if number not in CODECS:
         raise ValueError(f"there is no codec {number}")
     return pa.Codec(CODECS[number]) if CODECS[number] else None
 
 
-@F.pandas_udf(BinaryType())
-def compressed(data: pd.Series, codec: pd.Series) -> pd.Series:
-    """Data in the codec of each row; an unknown id is an error."""
-    tools = {int(n): _codec(int(n)) for n in codec.unique()}
-    pick = lambda x, n: None if x is None else tools[int(n)].compress(bytes(x), asbytes=True) if tools[int(n)] else bytes(x)
-    return pd.Series([pick(x, n) for x, n in zip(data, codec)])
+def _known(codec: pa.Array) -> None:
+    """An error where codec has an unknown id, be the data of its row null or not."""
+    for n in codec.unique().to_pylist():
+        _codec(int(n))
+
+
+def _pack(data: bytes, codec: int) -> bytes:
+    tool = _codec(codec)
+    return tool.compress(data, asbytes=True) if tool else data
+
+
+def _unpack(data: bytes, codec: int, size: int) -> bytes:
+    tool = _codec(codec)
+    return tool.decompress(data, size, asbytes=True) if tool else data
+
+
+@F.arrow_udf(BinaryType())
+def compressed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Data (first column) in the codec of each row (second); an unknown id is an error."""
+    for data, codec in batches:
+        _known(codec)
+        yield from mapped(pa.binary(), _pack, data, codec)
+
+
+@F.arrow_udf(BinaryType())
+def unpacked(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Data (first column) out of the codec (second) of each row, whose size (third) is known."""
+    for data, codec, size in batches:
+        _known(codec)
+        yield from mapped(pa.binary(), _unpack, data, codec, size)
 
 
-@F.pandas_udf(BinaryType())
-def unpacked(data: pd.Series, codec: pd.Series, size: pd.Series) -> pd.Series:
-    tools = {int(n): _codec(int(n)) for n in codec.unique()}
-    pick = lambda x, n, k: None if x is None else tools[int(n)].decompress(bytes(x), int(k), asbytes=True) if tools[int(n)] else bytes(x)
-    return pd.Series([pick(x, n, k) for x, n, k in zip(data, codec, size)])
+@F.arrow_udf(BinaryType())
+def codec_round_trip(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """What comes back of data (first column) that is compressed and unpacked in the codec of each row (second)."""
+    for data, codec in batches:
+        _known(codec)
+        yield from mapped(pa.binary(), lambda x, n: _unpack(_pack(x, n), n, len(x)), data, codec)

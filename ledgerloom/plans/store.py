@@ -93,7 +93,7 @@ QUERIES = {
     "fn16_gzip_round_trip": lambda s, d: (
         messages(s, d)
         .select("email_id", F.col("body").cast("binary").alias("raw"))
-        .select("email_id", "raw", H.gunzipped(H.gzipped(F.col("raw"))).alias("back"))
+        .select("email_id", "raw", H.gzip_round_trip("raw").alias("back"))
         .select("email_id", (F.col("raw") == F.col("back")).alias("same"))
     ),
     "fn17_json_payload": lambda s, d: (

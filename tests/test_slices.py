@@ -6,6 +6,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import hashing as H
 from ledgerloom.functions import slices as L
 from ledgerloom.plans.ingest import QUERIES
 from ledgerloom.sources import eml as E
@@ -41,7 +42,22 @@ def test_named_fields_are_those_of_the_whole_message(spark):
 def test_a_query_works_on_each_message_once(spark, sf_dir):
     import __spark_entry__
 
-    for name in ("src10_import_errors", "src10_import_report", "fn18_recipients"):
+    for name in ("src10_import_errors", "src10_import_report", "fn18_recipients", "fn16_gzip_round_trip", "fn16_codecs"):
         plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1, name
     assert [f.name for f in QUERIES["fn18_recipients"](spark, sf_dir).schema] == ["email_id", "recipients"]
+
+
+def test_codecs_of_odd_rows(spark):
+    rows = [(i, n, None if x is None else bytearray(x)) for i, (n, x) in enumerate((n, x) for n in range(5) for x in (b"", None, b"a", b"ab" * 5000))]
+    df = spark.createDataFrame(rows, "i int, codec int, raw binary")
+    back = df.select("raw", H.codec_round_trip("raw", "codec").alias("a"), H.unpacked(H.compressed("raw", "codec"), "codec", F.octet_length("raw")).alias("b"), H.gzip_round_trip("raw").alias("c"), H.gunzipped(H.gzipped("raw")).alias("d"))
+    assert all(r.raw == r.a == r.b == r.c == r.d for r in back.collect())
+
+
+def test_a_worker_holds_a_slice_of_what_it_makes():
+    batch = pa.array([random.Random(i).randbytes(2000) for i in range(20_000)], pa.binary())
+    before, most = pa.total_allocated_bytes(), 0
+    for _ in H.gzip_round_trip.func(iter([batch])):
+        most = max(most, pa.total_allocated_bytes() - before)
+    assert most < 8 << 20
