@@ -36,7 +36,7 @@ def _ops(s, d):  # noqa: ANN001, ANN202
 
 def _codecs(s, d):  # noqa: ANN001, ANN202
     every = messages(s, d).select("email_id", F.col("body").cast("binary").alias("raw"), F.explode(F.array(*map(F.lit, range(5)))).alias("codec"))
-    return every.select("email_id", "codec", "raw", H.unpacked(H.compressed(F.col("raw"), F.col("codec")), F.col("codec"), F.octet_length("raw")).alias("back"))
+    return every.select("email_id", "codec", "raw", H.codec_round_trip("raw", "codec").alias("back"))
 
 
 def _latency(s, d):  # noqa: ANN001, ANN202
