@@ -1,9 +1,11 @@
 """A stored inverted index: postings as Parquet files, so that a search reads those of its terms and no text.
 
-Rows (term, email_id) lie in folders by a hash of the term, and sorted by (term, email_id) in their files. A lookup names
-its folders as a partition filter and its terms as a pushed filter, which skips all row groups of other terms. While
-the index is written, adaptive execution splits large folders over tasks, so a term that most messages have fills
-several files and no task. Envelopes lie beside it, without bodies. New messages are appended as more files.
+Rows (term, email_id) lie in folders by a hash of the term, whose number follows the table: a folder holds the postings
+of about SHARD_BYTES of messages, whatever their number. A lookup names its folders as a partition filter and its terms
+as a pushed filter, so it reads a folder a term. Rows are ordered by folder only: one whole number, which Spark sorts by
+its digits, where terms took comparisons of whole rows and most of the time of a build. While the index is written,
+adaptive execution splits large folders over tasks, so a term that most messages have fills several files and no task.
+Envelopes lie beside it, without bodies. New messages are appended as more files.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ from pyspark.sql import functions as F
 from ledgerloom.session import shared_folder
 
 POSTINGS, ENVELOPES = "term string, email_id long, shard int", "email_id long, message_id string, subject string, sender string, folder string"
-SHARD_BYTES, ROW_GROUP = 1 << 30, 4 << 20
+SHARD_BYTES, ROW_GROUP = 8 << 20, 4 << 20
 #: Raised when tokens, keys or files change, so that no index of an older form is read.
-FORMAT = 1
+FORMAT = 2
 
 
 def shard_of(term: Column, shards: int) -> Column:
@@ -31,7 +33,7 @@ def shard_of(term: Column, shards: int) -> Column:
 def append_index(postings: DataFrame, folder: str, shards: int, mode: str = "append") -> None:
     """Write postings as files of the index in folder; those of messages that it has already would count twice."""
     rows = postings.select("term", F.col("email_id").cast("long").alias("email_id"), shard_of(F.col("term"), shards).alias("shard"))
-    rows = rows.hint("rebalance", F.col("shard")).sortWithinPartitions("shard", "term", "email_id")
+    rows = rows.hint("rebalance", F.col("shard")).sortWithinPartitions("shard")
     rows.write.mode(mode).partitionBy("shard").option("parquet.block.size", ROW_GROUP).parquet(folder)
 
 
@@ -41,7 +43,7 @@ def read_index(spark: SparkSession, folder: str, shards: int) -> DataFrame:
 
 
 def having(postings: DataFrame, terms: Iterable[str]) -> DataFrame:
-    """Postings of the terms. Of a stored index only their folders and row groups are read."""
+    """Postings of the terms. Of a stored index only their folders are read."""
     terms = list(dict.fromkeys(terms))
     found = postings.where(F.col("term").isin(terms))
     if "shard" in postings.columns and terms:

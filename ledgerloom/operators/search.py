@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import STORE_CUTS, index_tokens, store_tokens
+from ledgerloom.functions.text import LEAST, STORE_CUTS, index_tokens, store_tokens
 from ledgerloom.operators.inverted import having
 
 FIELDS = (("subject", "subject"), ("from", "sender"), ("to", "recipient"), ("body", "body"))
@@ -20,8 +20,9 @@ FIELDS = (("subject", "subject"), ("from", "sender"), ("to", "recipient"), ("bod
 
 def postings(messages: DataFrame, columns: tuple[str, ...] = ("body",)) -> DataFrame:
     """(term, email_id): one row for each distinct term of the columns of a message."""
-    tokens = [F.explode(store_tokens(F.col(c))).alias("term") for c in columns]
-    return reduce(DataFrame.unionByName, [messages.select("email_id", t) for t in tokens]).distinct() if len(tokens) > 1 else messages.select("email_id", tokens[0])
+    words = [F.explode(F.array_distinct(F.split(F.lower(F.col(c)), STORE_CUTS))).alias("term") for c in columns]
+    tokens = [messages.select("email_id", w).where(F.length("term") >= LEAST) for w in words]  # store_tokens, but short words go as rows
+    return reduce(DataFrame.unionByName, tokens).distinct() if len(tokens) > 1 else tokens[0]
 
 
 def index_postings(messages: DataFrame) -> DataFrame:

@@ -28,3 +28,16 @@ def test_a_lookup_of_no_term_is_empty(spark, sf_dir, tmp_path):
     append_index(S.postings(messages(spark, sf_dir).where("false")), str(tmp_path / "none"), 4)
     assert having(read_index(spark, str(tmp_path / "none"), 4), []).count() == 0
     assert having(read_index(spark, str(tmp_path / "none"), 4), ["with"]).count() == 0
+
+
+def test_folders_follow_the_table(spark, sf_dir, tmp_path, monkeypatch):
+    from ledgerloom.operators import inverted
+
+    every = messages(spark, sf_dir)
+    monkeypatch.setattr(inverted, "_source", lambda df: ("a-table-of-6-gb", 6 << 30))
+    monkeypatch.setattr(inverted, "shared_folder", lambda s: str(tmp_path))
+    built, _ = stored(every, S.postings(every), "body")
+    assert built.schema["shard"].metadata["shards"] >= 256
+    files = [p for p in (tmp_path / "ledgerloom-index").rglob("*.parquet") if "shard=" in str(p)]
+    assert len({p.parent for p in files}) > 100
+    assert sorted(having(built, ["with", "from"]).collect()) == sorted(having(S.postings(every), ["with", "from"]).collect())
